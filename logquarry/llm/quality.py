@@ -9,13 +9,13 @@ document would average out.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from logquarry.llm.tables import text_bytes
+from logquarry.llm.tables import text_bytes, with_carried
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -81,13 +81,15 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [judge(text or b"", packer) for text in batch.column(1).to_pylist()]
         columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+        made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=names + batch.schema.names[2:])
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text), with its counts, ratios, verdict and kept.
 
+    The columns named by carry are passed on in a struct, carried.
     A null text counts as empty; an empty text has no words and fails.  Repeated rows are judged each
     by itself, null ids are passed on, further columns are ignored.  Narrow: no shuffle.
     """
-    return text_bytes(docs).mapInArrow(_judged, SCHEMA)
+    return text_bytes(docs, carry).mapInArrow(_judged, with_carried(SCHEMA, docs, carry))

@@ -20,7 +20,7 @@ others may share a part of its strings.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.llm.anchors import anchors
-from logquarry.llm.tables import drop, save, small, text_bytes
+from logquarry.llm.tables import drop, save, small, text_bytes, with_carried
 
 #: Into how many ranges a round divides one, and how many rounds there are.
 FAN, ROUNDS = 7, 3
@@ -116,22 +116,29 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 kept.append(data[at:a])
                 at = b
             kept = b"".join([*kept, data[at:]])
-            rows.append((doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            text = kept.decode("utf-8", "ignore")  # a cut may leave part of a character
+            rows.append((doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), text))
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *batch.schema.names[4:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *batch.columns[4:]], names=names)
+
+
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text) without the bytes that repeated strings cover.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in this row or
     another; strings do not cross rows, and are judged on the input.  Gives doc_id, n_bytes, n_removed,
-    n_spans (runs of removed bytes), kept_sha256 and kept_text (the remaining bytes).  A null text is
-    empty.  Rows with equal texts, equal ids included, are each other's repeats; ids may be null.
+    n_spans (runs of removed bytes), kept_sha256 (of the remaining bytes) and kept_text (the same without
+    broken characters); the columns named by carry come in a struct, carried.  A null text is empty.
+     Rows with equal texts, equal ids included, are each other's repeats; ids may be null.
     """
     if length - fan**ROUNDS + 1 < 16:
         raise ValueError(f"strings of {length} bytes are too short for fan {fan}")
-    texts = text_bytes(docs).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    texts = text_bytes(docs, carry).withColumn("text", F.coalesce("text", F.lit(b""))).withColumn("key", F.unhex(F.md5("text")))
     # Texts that stand more than once vanish whole; one row of them speaks for all to the others.
     copies = small(save(
         texts.where(F.length("text") >= length)
@@ -190,6 +197,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN) -> DataFr
     return (
         texts.join(copies.select("key", F.lit(True).alias("copies")), "key", "left")
         .join(spans, "key", "left")
-        .select("doc_id", "text", "copies", "spans")
-        .mapInArrow(lambda b: _cut(b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+        .select("doc_id", "text", "copies", "spans", *(["carried"] if carry else []))
+        .mapInArrow(lambda b: _cut(b, length), with_carried(_OUT, docs, carry))
     )

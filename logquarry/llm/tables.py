@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,15 +58,25 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def text_bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id long, text binary): whole texts as UTF-8, for functions that work on Arrow batches.
+def text_bytes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id long, text binary, carried): whole texts as UTF-8, for functions on Arrow batches.
 
-    Texts can be long, so batches are held to a thousand rows where the session has Spark's default.
+    carried is a struct of the columns named by carry, absent if there are none.  Texts can be long, so
+    batches are held to a thousand rows where the session has Spark's default.
     """
     conf = docs.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("binary").alias("text"),
+        *([F.struct(*carry).alias("carried")] if carry else []),
+    )
+
+
+def with_carried(schema: str, docs: DataFrame, carry: Sequence[str]) -> str:
+    """schema, and the struct that text_bytes() makes of the columns named by carry."""
+    return f"{schema}, carried {docs.select(F.struct(*carry)).schema[0].dataType.simpleString()}" if carry else schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

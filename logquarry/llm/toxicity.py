@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.tables import save, text_bytes
+from logquarry.llm.tables import save, text_bytes, with_carried
 
 #: Labelled rows per class that training reads at most, and words that the model may use at most.
 SAMPLE, WORDS = 3000, 2000
@@ -196,19 +196,20 @@ def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[
                 pa.array(grade, pa.int32()),
                 pa.array(toxic, pa.bool_()),
                 pa.array([not t for t in toxic], pa.bool_()),
+                *batch.columns[2:],
             ],
-            names=["doc_id", "n_known_features", "p_above", "expected_severity", "grade", "toxic", "kept"],
+            names=["doc_id", "n_known_features", "p_above", "expected_severity", "grade", "toxic", "kept", *batch.schema.names[2:]],
         )
 
 
-def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+SCHEMA = "doc_id long, n_known_features long, p_above array<double>, expected_severity double, grade int, toxic boolean, kept boolean"
+
+
+def severity(docs: DataFrame, model: OrdinalModel, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_known_features, p_above (P(grade > j)),
-    expected_severity, grade, toxic, kept.
+    expected_severity, grade, toxic, kept; the columns named by carry come in a struct, carried.
 
-    A null or empty text scores as one without known features.  Null ids and repeated rows are passed on,
-    further columns ignored.  Narrow: no shuffle; the model has a bounded number of words.
+    A null or empty text scores as one without known features.  Null ids and repeated rows are passed
+    on, further columns ignored.  Narrow: no shuffle; the model has a bounded number of features.
     """
-    return text_bytes(docs).mapInArrow(
-        lambda b: _graded(b, model),
-        "doc_id long, n_known_features long, p_above array<double>, expected_severity double, grade int, toxic boolean, kept boolean",
-    )
+    return text_bytes(docs, carry).mapInArrow(lambda b: _graded(b, model), with_carried(SCHEMA, docs, carry))
