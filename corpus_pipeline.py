@@ -1,4 +1,4 @@
-"""Corpus preparation in five stages, each a job that reads what the stage before it wrote."""
+"""Corpus preparation in five stages, each a job over all that the stage before it wrote."""
 
 from __future__ import annotations
 
@@ -15,33 +15,35 @@ from logquarry.llm.tables import save, small, table
 from logquarry.llm.tokens import vocabulary
 from logquarry.llm.toxicity import severity, train_on_labels
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """docs without the ids that verdicts (doc_id, kept) rejects; an id goes with its last kept row."""
-    gone = save(verdicts.where("not kept").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality(docs))
+    """Documents that the quality rules keep."""
+    return quality(docs, COLUMNS).where("kept").select("carried.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train_on_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return _without(docs, severity(docs, model))
+    """Documents that the severity model, trained on the labelled rows among docs, does not call toxic."""
+    return severity(docs, train_on_labels(docs, table(spark, sf_dir, "labels")), COLUMNS).where("kept").select("carried.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs, width=5, percent=80))
+    """One document of each group of near-duplicates: the one with the least doc_id."""
+    gone = save(near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct())
+    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Texts without strings of 400 bytes that stand elsewhere too; documents left with nothing go."""
+    cut = remove_repeats(docs, length=400, carry=["lang", "source"]).where("trim(kept_text) <> ''")
+    return cut.select(
+        "doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", F.length("kept_text").cast("long").alias("n_chars")
+    )
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences of 2048."""
     return pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
@@ -53,4 +55,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
+#: Compression ratios, the severity model and the tokenizer have no SQL form.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir))
+    return docs
