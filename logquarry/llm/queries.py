@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.llm.embedding_dedup import near_embeddings
+from logquarry.llm.license_scan import scan_licenses
 from logquarry.llm.near_dedup import near_duplicates
 from logquarry.llm.packing import pack
+from logquarry.llm.piece_lattice import segment
 from logquarry.llm.quality import quality
 from logquarry.llm.repeats import remove_repeats
 from logquarry.llm.tables import table
 from logquarry.llm.token_files import token_file_round_trip
 from logquarry.llm.tokens import vocabulary
 from logquarry.llm.toxicity import severity, train_on_labels
+from logquarry.llm.url_filter import judge_urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +27,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, model).withColumn("p_above", F.concat_ws(",", F.transform("p_above", lambda p: F.format_string("%.6f", p))))
 
 
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), n=4)
+    return found.withColumn("scores", F.concat_ws(",", F.col("scores").cast("array<string>"))).withColumn(
+        "path_crc32", F.concat_ws(",", F.col("path_crc32").cast("array<string>"))
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -45,10 +68,29 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op3_best_fit_packing, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings)
+    for f in (op1_toxicity, op2_piece_lattice, op3_best_fit_packing, op4_url_filter, op5_license_scan, op6_near_embeddings, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings)
 }
 
 SQL: dict[str, str] = {
+    "op6_near_embeddings": """
+with recursive sound as (
+    select vec_id, label, embedding::double[] as v from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as x, b.vec_id as y from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(x, y) as (
+    select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on l.x = r.y
+), least as (
+    select x, min(y) as component_id from reach group by x
+), degrees as (
+    select x, count(*) as n from links group by x
+)
+select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least l on l.x = e.vec_id left join degrees d on d.x = e.vec_id
+""",
     "op7_near_duplicates": r"""
 with recursive words as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
