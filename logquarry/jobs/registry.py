@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from logquarry.jobs.query import SQL, QUERIES  # noqa: F401  (filled by the imports below)
+from logquarry.jobs import alerting, detection, health, ingest, parsing, pseudonyms, rules, scoring, streams  # noqa: F401, E402
+
+Query = Callable[[SparkSession, str], DataFrame]
