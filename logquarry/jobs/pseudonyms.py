@@ -1 +1,233 @@
-"""Queries."""
+"""Queries: detection of sensitive values, their tokens, and what leaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logquarry.functions import entities as ent
+from logquarry.functions.keyed import pads
+from logquarry.jobs.query import LINES_SQL, log_events, query, raw_lines, table
+from logquarry.operators import pseudonyms as op
+
+KEY, SECRET = b"a key for test tables", b"0123456789abcdef"
+
+
+def _hmac(*parts: str) -> str:
+    """HMAC-SHA256 of SQL text expressions joined by zero bytes, as DuckDB SQL."""
+    inner, outer = (p.hex() for p in pads(KEY))
+    message = " || unhex('00') || ".join(f"encode({p})" for p in parts)
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+#: Values of several kinds made from table columns.
+VALUE_SQL = """vals as (select 'user' as kind, c_name as value from customer union all select 'host', 'srv-' || (c_custkey % 400) from customer union all select 'email', c_name || '@mail' || (c_custkey % 9) || '.example.org' from customer
+    union all select 'fqdn', 'h' || (c_custkey % 300) || '.lab' || (c_custkey % 7) || '.example.net' from customer union all select 'ipv4', case when c_custkey % 2 = 0 then '10.' else '203.' end || (c_custkey % 3) || '.' || (c_custkey % 50) || '.' || (c_custkey % 200) from customer)"""
+
+
+def values(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    k = lambda n: (F.col("c_custkey") % n).cast("string")
+    kinds = {
+        "user": F.col("c_name"), "host": F.concat(F.lit("srv-"), k(400)), "email": F.concat("c_name", F.lit("@mail"), k(9), F.lit(".example.org")),
+        "fqdn": F.concat(F.lit("h"), k(300), F.lit(".lab"), k(7), F.lit(".example.net")),
+        "ipv4": F.concat(F.when(F.col("c_custkey") % 2 == 0, "10.").otherwise("203."), k(3), F.lit("."), k(50), F.lit("."), k(200)),
+    }
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in kinds.items())))
+    return c.select(rows.alias("v")).select("v.*")
+
+
+def _fqdn_sql(v: str) -> str:
+    """Tokens of three- and four-label names."""
+    part = lambda suffix: f"'d' || {_hmac(chr(39) + 'fqdn' + chr(39), suffix, chr(39) + '0' + chr(39))}[1:6]"
+    low = f"lower({v})"
+    tail = lambda i: f"array_to_string(string_split({low}, '.')[{i}:], '.')"
+    n = f"len(string_split({low}, '.'))"
+    last = f"string_split({low}, '.')[-1]"
+    return f"case when {n} = 3 then {part(tail(1))} || '.' || {part(tail(2))} || '.' || {last} else {part(tail(1))} || '.' || {part(tail(2))} || '.' || {part(tail(3))} || '.' || {last} end"
+
+
+_Q = "'"
+_HEX = lambda h, i: f"('0x' || {h}[{2 * i + 1}:{2 * i + 2}])::int"
+TOKEN_SQL = f"""tok as (select distinct kind, value, case kind when 'user' then 'user-' || {_hmac("'user'", 'lower(value)', "'0'")}[1:6] when 'host' then 'host-' || {_hmac("'host'", 'lower(value)', "'0'")}[1:6]
+    when 'email' then 'u' || {_hmac("'email'", "lower(split_part(value, '@', 1))", "lower(split_part(value, '@', 2))", "'0'")}[1:6] || '@' || {_fqdn_sql("split_part(value, '@', 2)")}
+    when 'fqdn' then {_fqdn_sql('value')} else case when value like '10.%' then '10.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} else '198.' || (18 + {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} % 2) end
+        || '.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", 'value', "'0'"), 0)} % 254) end as token from vals)"""
+
+
+@query(f"with {VALUE_SQL}, {TOKEN_SQL} select kind, value, token from tok")
+def q_tokenise(spark, d):
+    return values(spark, d).distinct().withColumn("token", op.token(KEY, F.col("kind"), F.col("value")))
+
+
+@query(f"""with {VALUE_SQL}, {TOKEN_SQL.replace('tok as', 'tok0 as')}, v as (select kind, {_hmac('kind', 'lower(trim(value))')} as digest, min(value) as value, min(token) as token from tok0 group by 1, 2),
+    r as (select *, row_number() over (partition by token order by digest) - 1 as salt from v)
+    select kind, digest, salt, case when salt = 0 then token end as token0, value as original from r""")
+def q_build_vault(spark, d):
+    """Tokens of salt 0 are compared; those moved by a salt are checked to differ in tests."""
+    vault = op.build_vault(values(spark, d), KEY, SECRET)
+    return vault.select("kind", "digest", "salt", F.when(F.col("salt") == 0, F.col("token")).alias("token0"), F.aes_decrypt("enc", F.lit(SECRET)).cast("string").alias("original"))
+
+
+@query("""with n as (select distinct 'h' || (c_custkey % 300) || '.lab' || (c_custkey % 7) || '.example.net' as name from customer)
+    select name, name || ',' || regexp_extract(name, '^[^.]*\\.(.*)$', 1) || ',example.net' as suffixes from n""")
+def q_fqdn_suffixes(spark, d):
+    names = values(spark, d).where("kind = 'fqdn'").select(F.col("value").alias("name")).distinct()
+    return names.select("name", F.array_join(op.fqdn_suffixes(F.col("name")), ",").alias("suffixes"))
+
+
+SIMPLE_SQL = {
+    "email": "[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,24}\\b",
+}
+
+
+@query(f"""with {LINES_SQL}, found as (select doc_id, unnest(list_distinct(regexp_extract_all(line, '{SIMPLE_SQL["email"]}'))) as value from lines) select doc_id, value, count(*) as n from found group by 1, 2""")
+def q_detect_simple(spark, d):
+    found = raw_lines(spark, d).select("doc_id", F.explode(op.detect_simple(F.col("line"), "email")).alias("value"))
+    return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with a as (select distinct case user_id % 8 when 0 then '127.0.0.' when 1 then '0.0.0.' when 2 then '224.1.2.' when 3 then '255.255.255.' when 4 then '10.0.0.' when 5 then '999.1.1.' when 6 then '8.8.8.' else '239.255.1.' end || (event_id % 256) as ip from events)
+    select ip, ip not like '127.%' and ip <> '0.0.0.0' and ip not like '224.%' and ip not like '239.%' and ip <> '255.255.255.255' and ip not like '999.%' as matters from a""")
+def q_ip_sensitive(spark, d):
+    heads = F.array(*map(F.lit, ("127.0.0.", "0.0.0.", "224.1.2.", "255.255.255.", "10.0.0.", "999.1.1.", "8.8.8.", "239.255.1.")))
+    ip = F.concat(F.element_at(heads, (F.col("user_id") % 8 + 1).cast("int")), (F.col("event_id") % 256).cast("string"))
+    return log_events(spark, d).select(ip.alias("ip")).distinct().withColumn("matters", op.ip_sensitive(F.col("ip")))
+
+
+def security_lines(spark, d) -> DataFrame:
+    """line_id, source, line: events as lines that name users, hosts and addresses."""
+    ev = log_events(spark, d)
+    t = lambda c: F.col(c).cast("string")
+    ip = F.concat(F.lit("10.9."), (F.col("user_id") % 200).cast("string"), F.lit(".7"))
+    line = (
+        F.when(F.col("action") == "error", F.concat(F.lit("Failed password for anna"), t("user_id"), F.lit(" from "), ip, F.lit(" port 22")))
+        .when(F.col("action") == "click", F.concat(F.lit("user=anna"), t("user_id"), F.lit(" host=box"), (F.col("user_id") % 20).cast("string"), F.lit(" src="), ip))
+        .when(F.col("action") == "view", F.concat(F.lit("mail to anna"), t("user_id"), F.lit("@corp.example.org from box"), (F.col("user_id") % 20).cast("string")))
+        .otherwise(F.concat(F.lit("nothing to see "), t("event_id")))
+    )
+    return ev.select(F.col("event_id").alias("line_id"), "source", line.alias("line"))
+
+
+@query("""with e as (select event_id as line_id, event_type as a, 'anna' || user_id as u, 'box' || (user_id % 20) as h, '10.9.' || (user_id % 200) || '.7' as ip from events)
+    select line_id, 'user' as kind, u as value from e where a in ('error', 'click') union all select line_id, 'ipv4', ip from e where a in ('error', 'click')
+    union all select line_id, 'host', h from e where a = 'click' union all select line_id, 'email', u || '@corp.example.org' from e where a = 'view'""")
+def q_detect_entities(spark, d):
+    rows = security_lines(spark, d).select("line_id", F.explode(ent.entities(F.col("line"))).alias("e"))
+    return rows.select("line_id", "e.kind", "e.value")
+
+
+@query("""with e as (select event_id as line_id, user_id % 20 as h from events where event_type = 'view') select line_id, 'host' as kind, 'box' || h as value from e
+    union all select event_id, 'user', 'anna' || user_id from events where event_type = 'error' union all select event_id, 'user', 'anna' || user_id from events where event_type = 'click'
+    union all select event_id, 'host', 'box' || (user_id % 20) from events where event_type = 'click'""")
+def q_learned_rules(spark, d):
+    """A learned pattern for hosts after 'from'; users and hosts only are shown."""
+    extra = [("host", r"from (box\d+)")]
+    rows = security_lines(spark, d).select("line_id", F.explode(ent.entities(F.col("line"), extra)).alias("e"))
+    return rows.where("e.kind in ('user', 'host')").select("line_id", "e.kind", "e.value")
+
+
+@query("""select p_partkey as rule_id, case p_partkey % 10 when 0 then 'kind' when 1 then 'type' when 2 then 'key shape' when 3 then 'generic key' when 4 then 'short value' when 5 then 'nested quantifier' when 6 then 'groups' when 7 then 'matches nothing' end as refused from part""")
+def q_validate_learned_rule(spark, d):
+    cases = [("key", "planet", "login"), ("sort", "user", "x"), ("key", "user", "a b"), ("key", "user", "Message"), ("value", "host", "ab"), ("regex", "user", "(a+)+b"), ("regex", "user", "(a)(b)"), ("regex", "host", ".*"), ("key", "user", "suser"), ("regex", "host", r"on (\w+)")]
+    pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in cases)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    rules = table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), pick(0).alias("rtype"), pick(1).alias("kind"), pick(2).alias("pattern"))
+    return op.validate_rules(rules).select("rule_id", "refused")
+
+
+OUT_SQL = f"""e as (select event_id as line_id, 's' || (user_id % 10) as source, event_type as a, 'anna' || user_id as u, 'box' || (user_id % 20) as h, user_id, '10.9.' || (user_id % 200) || '.7' as ip from events),
+    o as (select line_id, source, a, u, h, 'user-' || {_hmac("'user'", 'u', "'0'")}[1:6] as tu, 'host-' || {_hmac("'host'", 'h', "'0'")}[1:6] as th,
+        '10.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.' || (user_id % 200)"), 0)} || '.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.' || (user_id % 200)"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", 'ip', "'0'"), 0)} % 254) as ti,
+        'u' || {_hmac("'email'", 'u', "'corp.example.org'", "'0'")}[1:6] || '@' || {_fqdn_sql("'corp.example.org'")} as tm from e),
+    outgoing as (select line_id, source, case a when 'error' then 'Failed password for ' || tu || ' from ' || ti || ' port 22' when 'click' then 'user=' || tu || ' host=' || th || ' src=' || ti
+        when 'view' then 'mail to ' || tm || ' from ' || h else 'nothing to see ' || line_id end as outgoing, a, u, h, tu, th from o)"""
+
+
+@query(f"with {OUT_SQL} select line_id, outgoing from outgoing")
+def q_pseudonymise_text(spark, d):
+    return op.pseudonymise_text(security_lines(spark, d), "line", KEY).select("line_id", "outgoing")
+
+
+def _propagated(spark, d) -> DataFrame:
+    done = op.pseudonymise_text(security_lines(spark, d), "line", KEY)
+    mapping = done.select("source", F.explode("found").alias("f")).select("source", "f.value", "f.token").distinct()
+    return op.propagate(done.select("line_id", "source", F.col("outgoing").alias("text")), "text", mapping)
+
+
+@query(f"""with {OUT_SQL}, known as (select distinct source, h, th from outgoing where a = 'click')
+    select line_id, case when a = 'view' and k.th is not null then replace(outgoing, ' from ' || o.h, ' from ' || k.th) else outgoing end as text from outgoing o left join known k on k.source = o.source and k.h = o.h""")
+def q_propagate(spark, d):
+    return _propagated(spark, d).select("line_id", "text")
+
+
+@query("""with p as (select * from (values ('user.name', 'user'), ('source.user.name', 'user'), ('user.email', 'email'), ('host.hostname', 'host'), ('observer.name', 'host'), ('url.domain', 'fqdn'), ('message', null), ('process.name', null)) as t(path, kind)),
+    n as (select count(*) as n from events) select path, kind, n from p, n""")
+def q_field_kind(spark, d):
+    """The kind of each path, and how many documents carry it."""
+    paths = ("user.name", "source.user.name", "user.email", "host.hostname", "observer.name", "url.domain", "message", "process.name")
+    each = log_events(spark, d).select(F.explode(F.array(*map(F.lit, paths))).alias("path"))
+    return each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", op.field_kind(F.col("path")))
+
+
+def _doc_leaves(spark, d) -> DataFrame:
+    ev = log_events(spark, d).where("event_id % 3 = 0")
+    user = F.concat(F.lit("anna"), F.col("user_id").cast("string"))
+    leaf = F.explode(F.array(F.struct(F.lit("user.name").alias("path"), user.alias("value")), F.struct(F.lit("message").alias("path"), F.concat(F.lit("hello "), user, F.lit(" on 10.9.1.7")).alias("value")), F.struct(F.lit("event.action").alias("path"), F.col("action").alias("value"))))
+    return ev.select(F.col("event_id").alias("doc_id"), leaf.alias("l")).select("doc_id", "l.*")
+
+
+_IP197 = f"""'10.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.1'"), 0)} || '.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.1'"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", "'10.9.1.7'", "'0'"), 0)} % 254)"""
+
+
+@query(f"""with e as (select event_id as doc_id, event_type, 'user-' || {_hmac("'user'", "'anna' || user_id", "'0'")}[1:6] as t from events where event_id % 3 = 0)
+    select doc_id, 'user.name' as path, t as value from e union all select doc_id, 'message', 'hello ' || t || ' on ' || {_IP197} from e union all select doc_id, 'event.action', event_type from e""")
+def q_pseudonymise_doc(spark, d):
+    return op.pseudonymise_doc(_doc_leaves(spark, d), KEY)
+
+
+@query("""select event_id as line_id, case event_type when 'error' then 'Failed password for anna' || user_id || ' from 10.9.' || (user_id % 200) || '.7 port 22'
+    when 'click' then 'user=anna' || user_id || ' host=box' || (user_id % 20) || ' src=10.9.' || (user_id % 200) || '.7' when 'view' then 'mail to anna' || user_id || '@corp.example.org from box' || (user_id % 20) else 'nothing to see ' || event_id end as text from events""")
+def q_reidentify(spark, d):
+    """Pseudonymised lines restored through the vault are the lines."""
+    done = op.pseudonymise_text(security_lines(spark, d), "line", KEY)
+    vault = op.build_vault(done.select(F.explode("found").alias("f")).select("f.kind", "f.value"), KEY, SECRET)
+    return op.reidentify(done.select("line_id", F.col("outgoing").alias("text")), "text", vault, SECRET)
+
+
+@query("""select event_id as line_id, 'box' || (user_id % 20) as value from events where event_type = 'view'""")
+def q_leak_check(spark, d):
+    """Hosts that stay in mail lines because nothing in the line marks them; 'port' is own vocabulary."""
+    lines = security_lines(spark, d)
+    done = op.pseudonymise_text(lines, "line", KEY).select("line_id", F.col("outgoing").alias("text"))
+    named = lines.select("line_id", F.explode(F.regexp_extract_all("line", F.lit(r"anna\d+|box\d+|port"), 0)).alias("value"))
+    return op.leak_check(done, named, known=spark.createDataFrame([("PORT",)], "value string"))
+
+
+GROUND_SQL = """e as (select event_id, 's' || (user_id % 10) as source, user_id, event_type as a from events), w as (select event_id, source, 'anna' || user_id as value, 'user' as kind, case when a = 'click' then 'user' else '' end as k from e where a in ('error', 'click')
+        union all select event_id, source, 'box' || (user_id % 20), 'host', case when a = 'click' then 'host' else '' end from e where a in ('click', 'view') union all select event_id, source, 'port 22', 'host', '' from e where a = 'error'),
+    grounded as (select source, value, kind, count(distinct event_id) as lines, case when min(k) = max(k) and min(k) <> '' then min(k) end as key from w group by 1, 2, 3)"""
+
+
+def _grounded(spark, d) -> DataFrame:
+    lines = security_lines(spark, d)
+    named = F.explode(F.array(F.struct(F.lit("user").alias("kind"), F.regexp_extract("line", r"\banna\d+\b(?!@)", 0).alias("value")), F.struct(F.lit("host").alias("kind"), F.regexp_extract("line", r"\bbox\d+\b", 0).alias("value")), F.struct(F.lit("host").alias("kind"), F.lit("port 22").alias("value")), F.struct(F.lit("user").alias("kind"), F.lit("nobody").alias("value"))))
+    candidates = lines.select("source", named.alias("c")).select("source", "c.value", "c.kind").where("value <> ''").distinct()
+    return op.ground_candidates(candidates, lines)
+
+
+@query(f"with {GROUND_SQL} select source, value, kind, lines, key from grounded")
+def q_ground_candidates(spark, d):
+    return _grounded(spark, d)
+
+
+@query(f"""with {GROUND_SQL}, r as (select distinct case when key is not null then 'key' else 'value' end as rtype, kind, coalesce(key, value) as pattern from grounded)
+    select rtype, kind, pattern, sha256(rtype || '|' || kind || '|' || pattern)[1:12] as rule_id from r where pattern <> 'port 22'""")
+def q_findings_to_rules(spark, d):
+    rejected = spark.createDataFrame([("value", "host", "port 22")], "rtype string, kind string, pattern string").select(F.substring(F.sha2(F.concat_ws("|", "rtype", "kind", "pattern"), 256), 1, 12).alias("rule_id"))
+    return op.findings_to_rules(_grounded(spark, d), rejected)
+
+
+@query("""select hit, n, (select count(*) from events where event_type = 'view') as changed from (select 'from box' || (user_id % 20) as hit, count(*) as n from events where event_type = 'view' group by 1 order by n desc, hit limit 5)""")
+def q_rule_preview(spark, d):
+    one, top = op.rule_preview(security_lines(spark, d), ("regex", "host", r"from (box\d+)"), KEY, 5)
+    return top.join(F.broadcast(one.select("changed")))
