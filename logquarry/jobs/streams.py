@@ -1 +1,89 @@
-"""Queries."""
+"""Queries: streams over the events table, run to its end and read back; their SQL is that of the batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logquarry.jobs import alerting, ingest
+from logquarry.jobs import rules as rq
+from logquarry.jobs.detection import MATCH_SQL
+from logquarry.jobs.query import EV_SQL, LINES_SQL, host_table, instant, micros, query, table
+from logquarry.sources.sinks import scratch_path
+from logquarry.streaming import jobs as op
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream of files, with the columns that log_events() has."""
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return rows.select(
+        "event_id", F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("source"), "user_id", F.col("event_type").alias("action"),
+        instant("ts").alias("at"), "value", F.get_json_object("props", "$.k").alias("port"),
+    )
+
+
+def _ran(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    path = scratch_path(spark, "stream")
+    op.run_once(stream, path, mode)
+    return spark.read.parquet(f"{path}/rows")
+
+
+def routed_stream(spark, d) -> DataFrame:
+    records = event_stream(spark, d).select(
+        "event_id", "source", F.col("action").alias("raw"), F.col("at").alias("received_at"), F.when(F.col("value") >= 20, F.to_json(F.struct("port"))).alias("ecs"),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise("p1").alias("parser_id"), F.when(F.col("value") >= 20, F.col("value") * 10).alias("skew"),
+    )
+    return op.route_stream(records, host_table(spark, d))
+
+
+@query(f"with {ingest.REC_SQL} select event_id, route, held from routed")
+def q_stream_route(spark, d):
+    return _ran(spark, routed_stream(spark, d)).select("event_id", "route", "held")
+
+
+@query(f"""with {ingest.REC_SQL} select source, (us // 60000000) * 60000000 as minute_us, count(*) as total, count(*) filter (route = 'event') as parsed, round(coalesce(sum(skew), 0), 4) as skew_sum, count(skew) as skew_n from routed where route <> 'dropped' group by 1, 2""")
+def q_stream_minute_stats(spark, d):
+    rows = op.latest(_ran(spark, op.minute_stats_stream(routed_stream(spark, d)), "update"), ["source", "minute"])
+    return rows.select("source", micros("minute").alias("minute_us"), "total", "parsed", F.round("skew_sum", 4).alias("skew_sum"), "skew_n")
+
+
+@query(f"with {MATCH_SQL} select rule_id, event_id from matches where rule_id in ('failure', 'purchase')")
+def q_stream_matches(spark, d):
+    rules = [r for r in rq.compiled() if r.id in ("failure", "purchase")]
+    return _ran(spark, op.matches_stream(event_stream(spark, d), rules)).select("rule_id", "event_id")
+
+
+@query(f"""with {EV_SQL}, m as (select * from ev where action = 'error') select e.event_id, e.source, e.user_id, count(*) as n from m e join m p on p.source = e.source and p.user_id = e.user_id and p.event_id <= e.event_id
+    and p.us between e.us - 86400000000 and e.us group by all having count(*) >= 2""")
+def q_stream_correlation(spark, d):
+    failures = event_stream(spark, d).where("action = 'error'").select("event_id", "source", "user_id", "at")
+    return _ran(spark, op.correlation_stream(failures, ["user_id"], 86_400), "update").where("n >= 2").select("event_id", "source", "user_id", "n")
+
+
+SESSION_SQL = f"""{alerting.HITS_SQL}, marked as (select *, case when us - 86400000000 > lag(us) over w or lag(us) over w is null then 1 else 0 end as fresh from hits window w as (partition by source, user_id order by us)),
+    islands as (select *, sum(fresh) over (partition by source, user_id order by us, event_id) as no from marked) select source, user_id, min(us) as first_us, max(us) as last_us, count(*) as n from islands group by source, user_id, no"""
+
+
+@query(f"with {SESSION_SQL}")
+def q_stream_alert_dedup(spark, d):
+    hits = event_stream(spark, d).where("action = 'error'").select(F.lit("rule").alias("kind"), F.lit("failure").alias("rule_id"), "source", F.col("user_id").cast("string").alias("group_key"), "at")
+    rows = _ran(spark, op.alert_stream(hits, 1440), "complete")
+    return rows.select("source", F.col("group_key").cast("long").alias("user_id"), micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"), F.col("count").alias("n"))
+
+
+@query(f"""with {EV_SQL}, last as (select user_id, max(us) as last_us from ev group by 1) select user_id, last_us from last where last_us // 1000 + 6 * 3600000 < (select max(us) // 1000 from ev)""")
+def q_stream_silence(spark, d):
+    return _ran(spark, op.silence_stream(event_stream(spark, d), "user_id", 360), "update").select("user_id", "last_us")
+
+
+@query(f"with {LINES_SQL} select count(*) as n, sum(length(line))::bigint as chars from lines")
+def q_stream_inbox(spark, d):
+    """The documents' lines as text files in a folder, followed as a stream."""
+    from logquarry.jobs.query import raw_lines
+    from logquarry.sources.records import stream_inbox
+
+    path = scratch_path(spark, "inbox")
+    raw_lines(spark, d).select("line").write.option("lineSep", "\n").text(f"{path}/part")
+    inbox = stream_inbox(spark, f"{path}/part", "*.txt")
+    return _ran(spark, inbox).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"))
