@@ -60,6 +60,27 @@ def test_against_brute_force(make):
         assert got == brute(rows, width, 80)
 
 
+def test_wide_family_in_blocks(make, monkeypatch):
+    """Drifting copies whose members mostly miss each other, in blocks and by buckets."""
+    from logquarry.llm import near_dedup
+
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for k in r.sample(range(120), r.randint(0, 6)):
+            copy[k] = f"x{r.randrange(10**6)}"
+        rows.append((i * 3, " ".join(copy)))
+    want = brute(rows, 4, 80)
+    assert len({c for _, c, _ in want.values()}) > 2
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    for group in (20_000, 10):
+        monkeypatch.setattr(near_dedup, "GROUP", group)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(make(rows), 4).collect()}
+        assert got == want
+
+
 def test_edges(make):
     assert near_duplicates(make([])).count() == 0
     rows = near_duplicates(make([(None, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f")])).collect()
