@@ -6,9 +6,10 @@ two documents that agree on a band become candidates.  At similarity 0.8 a pair
 probability (1 - 0.8**4)**20 < 3e-5, less for closer pairs.
 
 Candidates are compared on their full sets, and only as far as components need it: each band bucket
-first links its members to one of them, then buckets that still hold several components try other
-members, and at last all pairs of different components in a bucket are compared.  No pair of the
-same component is listed, so a group of copies costs its size, not its square.
+first links its members to one of them, then buckets that still hold several components try two
+more.  What such buckets tie together is compared last: the members outside a group's main component
+with all its members, as products of set blocks in numpy, which list no pairs but a spanning edge for
+each row.  So a group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from logquarry.llm.tables import save, small, text_bytes
 PERMS, ROWS = 40, 4
 BANDS = 2 * PERMS // ROWS
 #: Bit masks that order ids differently; the first (none) makes the least id the one to compare with.
-_MASKS = ((0,), (0x2AAA_AAAA_AAAA_AAAA, 0x5555_5555_5555_5555), (0x3333_3333_3333_3333, 0x0F0F_0F0F_0F0F_0F0F, 0x71C7_1C71_C71C_71C7, 0x1248_1248_1248_1248))
+_MASKS = ((0,), (0x2AAA_AAAA_AAAA_AAAA, 0x5555_5555_5555_5555))
+#: Rows of a block of sets, and members up to which a group is compared as one, not bucket by bucket.
+BLOCK, GROUP = 384, 20_000
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,6 +102,86 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+_BLOCKS = ["group", "bucket", "x", "y"]
+
+
+def _block_links(data: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rep, least rep that its links lead to) for rows of one block pair with links across components."""
+    rep, component, block = (data[c].to_numpy() for c in ("rep", "component", "block"))
+    x, y = data["x"][0].as_py(), data["y"][0].as_py()
+    sets = [np.frombuffer(v, np.uint64) for v in data["items"].to_pylist()]
+    sizes = np.array([len(v) for v in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[item] > 1
+    row, item = row[shared], np.cumsum(times > 1)[item[shared]] - 1
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(item, kind="stable")
+    row, item = row[order], item[order]
+    width = max(1, 4_000_000 // len(sets))
+    for start in range(0, int(item[-1]) + 1 if len(item) else 0, width):
+        a, b = np.searchsorted(item, [start, start + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], item[a:b] - start] = 1
+        both += part @ part.T
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    near &= (block[:, None] == x) & (block[None, :] == y) & (component[:, None] != component[None, :])
+    i, j = np.nonzero(near)
+    edge = np.arange(len(sets))
+    while len(i):
+        before = edge.copy()
+        np.minimum.at(edge, i, edge[j])
+        np.minimum.at(edge, j, edge[i])
+        edge = edge[edge]
+        if (edge == before).all():
+            break
+    moved = np.flatnonzero(edge != np.arange(len(edge)))
+    return rep[moved], rep[edge[moved]]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each block pair; rows come sorted by it."""
+    held = None
+    for batch in (*batches, None):
+        if batch is not None:
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if held is None:
+            return
+        keys = [held[c].to_numpy() for c in _BLOCKS]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        cuts = [0, *change.tolist(), *([held.num_rows] if batch is None else [])]
+        made = [_block_links(held.slice(a, b - a), percent) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        held = held.slice(cuts[-1])
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*made)], names=["a", "b"])
+
+
+def _compare_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components that open buckets (band, hash, rep, component) tie together."""
+    heads = open_.groupBy("band", "hash").agg(F.min("rep").alias("head"))
+    tied = components(open_.join(heads, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    sizes = tied.groupBy("component").count().select(F.col("component").alias("group"), "count")
+    tied = save(tied.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(sizes, "group"))
+    whole = open_.select("rep", "component").distinct().join(tied.where(F.col("count") <= GROUP), "rep").select("group", F.lit(-1).alias("bucket"), "rep", "component")
+    parts = open_.join(tied.where(F.col("count") > GROUP), "rep").select(F.col("hash").alias("group"), F.col("band").alias("bucket"), "rep", "component")
+    rows = save(whole.unionByName(parts))
+    counts = rows.groupBy("group", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    # The main component's rows meet only those of others; these also meet each other.
+    plan = save(
+        counts.groupBy("group", "bucket")
+        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        .select("group", "bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("major"))
+    )
+    placed = (
+        rows.join(plan, ["group", "bucket"])
+        .withColumn("block", F.expr("cast(if(component = main, minor + pmod(xxhash64(rep), major), pmod(xxhash64(rep), minor)) as int)"))
+        .withColumn("with", F.explode(F.expr("if(component = main, sequence(0, minor - 1), sequence(0, minor + major - 1))")))
+        .select("group", "bucket", F.expr("cast(least(block, with) as int) as x"), F.expr("cast(greatest(block, with) as int) as y"), "block", "rep", "component")
+        .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    )
+    return placed.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS).mapInArrow(lambda b: _compared(b, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -137,31 +220,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = None
     state = members.withColumn("component", F.col("rep"))
     for masks in (*_MASKS, None):
-        open_ = save(
-            state.join(
-                state.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash"),
-                ["band", "hash"],
-            )
-        )
+        groups = state.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        open_ = save(state.join(groups.select("band", "hash"), ["band", "hash"]))
         if open_.limit(1).count() == 0:
             break
-        if masks is not None:
-            heads = open_.groupBy("band", "hash").agg(*(F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{i}") for i, m in enumerate(masks)))
-            pairs = open_.join(heads, ["band", "hash"]).select("rep", F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(len(masks)))))).alias("head")).where("rep <> head")
-            pairs = pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
+        if masks is None:
+            new = save(_compare_groups(open_, sets, percent))
         else:
-            sizes = open_.groupBy("band", "hash", "component").count()
-            main = sizes.groupBy("band", "hash").agg(F.max(F.struct("count", "component")).alias("top")).select("band", "hash", F.col("top.component").alias("main"))
-            minor = open_.join(main, ["band", "hash"]).where("component <> main").select("band", "hash", F.col("rep").alias("p"), F.col("component").alias("c"))
-            pairs = minor.join(open_, ["band", "hash"]).where("c <> component").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-        new = confirm(pairs)
+            heads = open_.groupBy("band", "hash").agg(
+                *(F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{i}") for i, m in enumerate(masks))
+            )
+            head = F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(len(masks)))))).alias("head")
+            pairs = open_.join(heads, ["band", "hash"]).select("rep", head).where("rep <> head")
+            new = confirm(pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")))
         found = new if found is None else found.unionByName(new)
-        if masks is not None and new.limit(1).count() == 0:
+        if masks is None or new.limit(1).count() == 0:
             continue
         tree = components(found)
-        state = (
-            members.join(tree, members["rep"] == tree["node"], "left")
-            .select("rep", "band", "hash", F.coalesce("component", "rep").alias("component"))
+        state = members.join(tree, members["rep"] == tree["node"], "left").select(
+            "rep", "band", "hash", F.coalesce("component", "rep").alias("component")
         )
     # Copies of one set follow its least id; ids with several texts tie their classes together.
     links = named.join(classes.where("rep <> most").select("print", "rep"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
