@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(slots(plan(histogram, capacity), capacity))
     return (
-        pieces.join(small(bases.drop("n")), ["part", "length"])
+        pieces.join(small(bases).drop("n"), ["part", "length"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
         .mapInArrow(
             lambda b: _placed(b, places),

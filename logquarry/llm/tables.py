@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which the small side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of files up to which a saved table is broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: list[tempfile.TemporaryDirectory] = []
@@ -46,16 +46,24 @@ def save(df: DataFrame, fmt: str = "parquet") -> DataFrame:
     return out
 
 
+def _files(df: DataFrame):
+    """(file system, path) of a table made by save()."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()), path
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by save() that nothing reads any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _files(df)
+        fs.delete(path, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a saved table, marked for broadcast if it has at most limit rows; as it is otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A table made by save(), marked for broadcast if it is small enough; as it is otherwise."""
+    fs, path = _files(df)
+    fits = fs.getContentSummary(path).getLength() <= size and df.limit(rows + 1).count() <= rows
+    return F.broadcast(df) if fits else df
 
 
 def text_bytes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.tables import drop, save
+from logquarry.llm.tables import drop, save, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,8 +129,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, limit: float = L
         .groupBy("host")
         .agg(F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("fit.verdict") == "block").cast("double").alias("bad"))
     )
-    ranks = save(spread(save(host_links(parsed)), seeds)).withColumnRenamed("host", "ranked")
-    ranks = F.broadcast(ranks) if ranks.limit(500_001).count() <= 500_000 else ranks
+    ranks = small(save(spread(save(host_links(parsed)), seeds).withColumnRenamed("host", "ranked")))
     blame = F.col("distrust") / F.expr("nullif(trust + distrust, 0)")
     return (
         ruled.join(ranks, F.col("host") == F.col("ranked"), "left")
