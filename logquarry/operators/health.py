@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
+# The limits that senders are judged by unless they have their own.
 DAY = 1440
 DEFAULTS = {
     "silence_min_minutes": 30.0, "silence_factor": 10.0, "volume_drop": 0.2, "volume_spike": 5.0,
