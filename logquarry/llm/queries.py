@@ -114,5 +114,27 @@ with recursive words as (
 )
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d join least on x = d.doc_id left join sizes using (doc_id)
+""",
+    "op10_repeated_strings": """
+with texts as (
+    select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), places as (
+    select r, p, md5(h[2 * p + 1:2 * p + 800]) as s from (select r, h, unnest(range(0, len(h) // 2 - 399)) as p from texts where len(h) >= 800)
+), again as (
+    select r, p from (select r, p, count(*) over (partition by s) as n from places) where n > 1
+), runs as (
+    select r, p, sum(fresh) over (partition by r order by p) as run
+    from (select r, p, case when p > lag(p) over (partition by r order by p) + 400 then 1 else 0 end as fresh from again)
+), spans as (
+    select r, min(p) as a, max(p) + 400 as b from runs group by r, run
+), kept as (
+    select r, a, coalesce(lag(b) over (partition by r order by a), 0) as from_, b from spans
+), glued as (
+    select r, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as last_, string_agg(h[2 * from_ + 1:2 * a], '' order by a) as head
+    from kept join texts using (r) group by r
+)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(head, '') || h[2 * coalesce(last_, 0) + 1:])) as kept_sha256
+from texts left join glued using (r)
 """,
 }
