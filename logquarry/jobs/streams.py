@@ -87,3 +87,16 @@ def q_stream_inbox(spark, d):
     raw_lines(spark, d).select("line").write.option("lineSep", "\n").text(f"{path}/part")
     inbox = stream_inbox(spark, f"{path}/part", "*.txt")
     return _ran(spark, inbox).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("chars"))
+
+
+@query("select 'syslog:10.0.0.' || (user_id % 50) as source, count(*) as n, count(distinct event_id) as n_lines from events group by 1")
+def q_stream_syslog(spark, d):
+    """Events as keyed messages in files, followed as a topic would be."""
+    from logquarry.jobs.query import log_events
+    from logquarry.sources.records import stream_syslog
+
+    path = scratch_path(spark, "topic")
+    sender = F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string"))
+    log_events(spark, d).select(sender.cast("binary").alias("key"), F.concat_ws(" ", "action", F.col("event_id").cast("string")).cast("binary").alias("value")).write.parquet(path)
+    rows = _ran(spark, stream_syslog(spark, {"path": path}, "parquet", "key binary, value binary"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("n_lines"))
