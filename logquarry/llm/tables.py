@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,6 +16,14 @@ BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: list[tempfile.TemporaryDirectory] = []
+_tables: list[DataFrame] = []
+
+
+@atexit.register
+def _leave() -> None:
+    """When the driver ends, its tables go: frames that read them end with it."""
+    with contextlib.suppress(Exception):  # the engine may have ended first
+        drop(*_tables)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +52,7 @@ def save(df: DataFrame, fmt: str = "parquet") -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.format(fmt).schema(df.schema).load(path)
     out.saved_at = path
+    _tables.append(out)
     return out
 
 
