@@ -33,7 +33,7 @@ _WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are features beside the words: they catch inflected forms.
 PREFIXES = (4, 5, 6)
 #: Words that a worker remembers the known features of.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def words_of(text: bytes) -> Counter:
@@ -167,7 +167,7 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, wo
 
 
 def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[str]] = {}
+    known: dict[str, tuple[str, ...]] = {}
     for batch in batches:
         n, tops, expected = [], [], []
         for text in batch.column(1).to_pylist():
@@ -178,7 +178,7 @@ def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[
             for word, times in words.items():
                 mine = known.get(word)
                 if mine is None:
-                    mine = known[word] = [f for f in features_of(word) if f in model.weights]
+                    mine = known[word] = tuple(f for f in features_of(word) if f in model.weights)
                 for feature in mine:
                     counts[feature] += times
             above = model.above(counts)
