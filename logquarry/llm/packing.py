@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.tables import save, small, text_bytes
-from logquarry.llm.tokens import encoder
+from logquarry.llm.tokens import CACHE, encoder
 
 Pattern = tuple[list[int], int]
 
@@ -130,14 +130,14 @@ def slots(patterns: list[Pattern], capacity: int) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(v, np.int64).T) for k, v in out.items()}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, cache: int) -> Iterator[pa.RecordBatch]:
     part, end, seen = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
     for batch in batches:
         for i in range(0, batch.num_rows, 100):
             some = batch.slice(i, 100)
             texts = [(t or b"").decode("utf-8", "replace") for t in some.column(1).to_pylist()]
             rows = []
-            for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path).encode(texts)):
+            for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path, cache).encode(texts)):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     data = ids[k : k + 4 * capacity]
@@ -166,13 +166,14 @@ def _placed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
         )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, cache: int = CACHE) -> DataFrame:
     """Pack every text of docs (doc_id, text) into sequences of at most capacity ids.
 
     A text's ids end with end_id; only texts of more than capacity ids are cut.  Gives doc_id, piece,
     start, length, ids_crc32, sequence_id and offset.  A null text is empty and becomes one piece of
     length 1; null or repeated doc_ids are packed row by row; further columns are ignored.  An empty
-    table gives an empty one.
+    table gives an empty one.  cache: stretches of text whose ids a worker remembers, for workers that
+    keep memory for other steps too.
 
     A piece's rank among those of its length is its place in its input partition plus what earlier
     partitions hold of that length, so ranking moves one row for each partition and length.  The plan
@@ -181,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     spark = docs.sparkSession
     pieces = save(
         text_bytes(docs).mapInArrow(
-            lambda b: _pieces(b, tokenizer_path, capacity, end_id),
+            lambda b: _pieces(b, tokenizer_path, capacity, end_id, cache),
             "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long",
         )
     )

@@ -5,7 +5,7 @@ Walking back from the end, that score is the exact cost of the rest, so A* searc
 in order of their scores and expands nothing in vain.  Stretches end where no piece reaches across;
 they are independent, so the N best of a text are the N least sums of their losses, and only the N - 1
 words with the smallest first loss can differ from the best path.  That loss needs no search: it is the
-best that a piece off the best path reaches with the passes from both sides.
+difference between the two best scores that a forward pass can carry along.
 
 Piece scores are log-probabilities of a Zipf distribution over the vocabulary's order.  They are whole
 micro-nats, so sums are exact.  Characters without a piece fall back to their UTF-8 bytes.
@@ -27,13 +27,31 @@ from logquarry.llm.tables import text_bytes
 
 BLANK = "▁"
 #: Words that a worker remembers the best paths of.
-CACHE = 150_000
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+CACHE = 1_000_000
+_NEVER = 1 << 60
+#: No piece reaches across the end of such a part: a word with the blanks before it, blanks, a line end.
+_WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _lattices: dict[tuple, "Lattice"] = {}
 
 Paths = list[tuple[int, bytes]]
 
 
+class _Words(dict):
+    """(score, ids, loss of the second best path or _NEVER) of words, computed when first asked for."""
+
+    def __init__(self, owner: "Lattice"):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, word: str) -> tuple[int, bytes, int]:
+        # A mark that no piece joins to what is before it only adds to that: not worth keeping.
+        if len(word) > 2 and word[-1] in ".,:;!?" and word[-2:] not in self.owner.joined:
+            (s, ids, loss), (t, more, other) = self[word[:-1]], self[word[-1]]
+            return s + t, ids + more, min(loss, other)
+        found = self[word] = self.owner.word(word)
+        return found
+
+
 class Lattice:
     """Best segmentations under the vocabulary file at path."""
 
@@ -53,29 +71,34 @@ class Lattice:
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(self.scores.values()) - 10_000_000
         self.raw = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        #: Beginnings of pieces, with the id of those that are pieces themselves.
-        self.starts: dict[str, int] = {}
-        for piece in self.ids:
-            for j in range(1, len(piece)):
-                self.starts.setdefault(piece[:j], -1)
-        self.starts |= self.ids
+        #: Pieces by their characters, node by node; a node's "" is the (score, id) of the piece it ends.
+        self.root: dict = {}
+        for piece, i in self.ids.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (self.scores[i], i)
         #: Neighbours inside some piece; between any others every path divides.
         self.joined = {a + b for p in self.ids for a, b in zip(p, p[1:])}
-        self.known: dict[str, tuple[int, bytes, int | None]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = _Words(self)
         self.deep: dict[str, Paths] = {}
 
     def edges(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, score, id) of all pieces in a stretch by start; id -1 stands for bytes."""
-        out, starts, scores, n = [], self.starts, self.scores, len(text)
+        out, n = [], len(text)
         for i in range(n):
             if text[i] not in self.ids:
                 out.append((i, i + 1, self.byte_score * len(text[i].encode("utf-8", "replace")), -1))
-            for j in range(i + 1, n + 1):
-                piece = starts.get(text[i:j])
-                if piece is None:
+            node = self.root
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
                     break
-                if piece >= 0:
-                    out.append((i, j, scores[piece], piece))
+                if "" in node:
+                    out.append((i, j + 1, *node[""]))
         return out
 
     def _ids(self, text: str, start: int, piece: int) -> tuple[int, ...]:
@@ -90,39 +113,57 @@ class Lattice:
     @staticmethod
     def _forward(edges: list[tuple[int, int, int, int]], n: int) -> tuple[list, list]:
         """Best score of a path to each position, and the edge that it ends with."""
-        best: list = [0] + [None] * n
+        best = [0] + [-_NEVER] * n
         last: list = [None] * (n + 1)
         for edge in edges:
             i, j, s, _ = edge
             s += best[i]
-            if best[j] is None or s > best[j]:
+            if s > best[j]:
                 best[j] = s
                 last[j] = edge
         return best, last
 
-    def word(self, word: str) -> tuple[int, bytes, int | None]:
-        """(score, ids, loss of the second best path or None) of a word's best path."""
-        total, ids, loss = 0, [], None
-        for text in self._cuts(word):
-            n = len(text)
-            edges = self.edges(text)
-            best, last = self._forward(edges, n)
-            path, at = [], n
-            while at:
-                path.append(last[at])
-                at = last[at][0]
-            for i, _, _, piece in reversed(path):
-                ids.extend(self._ids(text, i, piece))
-            total += best[n]
-            if len(edges) > len(path):
-                rest: list = [None] * n + [0]
-                for i, j, s, _ in reversed(edges):
-                    if rest[j] is not None and (rest[i] is None or s + rest[j] > rest[i]):
-                        rest[i] = s + rest[j]
-                taken = set(path)
-                other = max(best[e[0]] + e[2] + rest[e[1]] for e in edges if e not in taken)
-                loss = best[n] - other if loss is None else min(loss, best[n] - other)
-        return total, np.array(ids, "<u4").tobytes(), loss
+    def word(self, word: str) -> tuple[int, bytes, int]:
+        """(score, ids, loss of the second best path or _NEVER) of a word's best path.
+
+        A forward pass keeps the two best scores to each position.
+        """
+        n, root, ids = len(word), self.root, self.ids
+        best, second = [0] + [-_NEVER] * n, [-_NEVER] * (n + 1)
+        last: list = [None] * (n + 1)
+        for i in range(n):
+            one, two = best[i], second[i]
+            if word[i] not in ids:
+                s = self.byte_score * len(word[i].encode("utf-8", "replace"))
+                if one + s > best[i + 1]:
+                    second[i + 1], best[i + 1], last[i + 1] = best[i + 1], one + s, (i, -1)
+                elif one + s > second[i + 1]:
+                    second[i + 1] = one + s
+                if two + s > second[i + 1]:
+                    second[i + 1] = two + s
+            node = root
+            for j in range(i, n):
+                node = node.get(word[j])
+                if node is None:
+                    break
+                end = node.get("")
+                if end is not None:
+                    j += 1
+                    s = one + end[0]
+                    if s > best[j]:
+                        second[j], best[j], last[j] = best[j], s, (i, end[1])
+                    elif s > second[j]:
+                        second[j] = s
+                    if two + end[0] > second[j]:
+                        second[j] = two + end[0]
+        path, at = [], n
+        while at:
+            at, piece = last[at]
+            path.append((at, piece))
+        out: list[int] = []
+        for i, piece in reversed(path):
+            out.extend(self._ids(word, i, piece))
+        return best[n], np.array(out, "<u4").tobytes(), best[n] - second[n] if second[n] > -_NEVER // 2 else _NEVER
 
     def search(self, text: str) -> Paths:
         """The n best (score, ids) of a stretch, best first."""
@@ -167,31 +208,25 @@ class Lattice:
         """
         if not text:
             return [(0, b"")]
+        if len(self.words) > CACHE:
+            self._forget()
         words = _WORD.findall(BLANK + text.replace(" ", BLANK))
-        if len(self.known) + len(words) > CACHE:
-            self.known = {}
-        known = self.known
-        found = []
-        for w in words:
-            one = known.get(w)
-            if one is None:
-                one = known[w] = self.word(w)
-            found.append(one)
-        score = sum([f[0] for f in found])
-        few = heapq.nsmallest(self.n - 1, [(f[2], i) for i, f in enumerate(found) if f[2] is not None])
-        if len(self.deep) > CACHE // 10:
-            self.deep = {}
-        few = sorted(i for _, i in few)
+        known = self.words
+        scores, chosen, losses = zip(*[known[w] for w in words])
+        score, chosen = sum(scores), list(chosen)
+        order = np.argsort(np.array(losses, np.int64), kind="stable")[: self.n - 1].tolist()
+        few = sorted(i for i in order if losses[i] < _NEVER)
         paths = []
         for i in few:
             w = words[i]
             if w not in self.deep:
+                if len(self.deep) > CACHE // 10:
+                    self.deep = {}
                 self.deep[w] = self.best_of_word(w)
             paths.append(self.deep[w])
         choices: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         for mine in paths:
             choices = heapq.nsmallest(self.n, ((loss + mine[0][0] - s, picks + (k,)) for loss, picks in choices for k, (s, _) in enumerate(mine)))
-        chosen = [f[1] for f in found]
         out = []
         for loss, picks in choices:
             for i, k, mine in zip(few, picks, paths):
@@ -202,7 +237,7 @@ class Lattice:
     def decode(self, ids: bytes) -> str:
         """The text of a path."""
         raw = self.raw
-        text = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text else text
 
 

@@ -1,6 +1,6 @@
 """Token ids of whole texts by the tokenizers library, with a cache of short stretches of text.
 
-Both vocabularies used here divide text into words before merging, so a text's ids are the ids of its
+The vocabularies used here divide text into words before merging, so a text's ids are the ids of its
 stretches between blanks, put one after the other.  A worker keeps the ids of stretches it has seen.
 """
 
@@ -11,11 +11,17 @@ import re
 
 import numpy as np
 
-#: Stretches that a worker remembers; it starts anew when they are full.
+#: Stretches that a worker remembers: twice so many at most, the older half goes when the newer is full.
 CACHE = 400_000
 _STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_BLANK = re.compile(r"[^\S \n]")
-_encoders: dict[str, "Encoder"] = {}
+#: Blanks in a row: they belong together, so cutting at single ones is not enough.
+_RUN = re.compile(r" [ \n]|\n ")
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others,
+#: in order, as those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -25,68 +31,78 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids of stretches after a prefix, computed when first asked for."""
+
+    def __init__(self, owner: "Encoder", prefix: str):
+        super().__init__()
+        self.owner, self.prefix, self.older = owner, prefix, {}
+
+    def age(self) -> None:
+        """Keep what has been asked for lately."""
+        if len(self) > self.owner.cache:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            ids = self.owner.stretch(self.prefix, stretch, self)
+        if "\n" not in stretch or stretch == "\n":  # others hardly come again
+            self[stretch] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, for the vocabulary file at path."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         #: With a normaliser, case and blanks do not matter; without, a blank belongs to the next word.
         self.folds = self.tokenizer.normalizer is not None
-        self.known: dict[str, bytes] = {}
+        self.bare, self.spaced = _Known(self, ""), _Known(self, " ")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stretches(self, text: str) -> list[str] | None:
-        """Parts that can be encoded alone; None if the text has blanks whose reach is unclear."""
-        if self.folds:
-            return text.replace("\n", " ").split(" ")
-        return None if _OTHER_BLANK.search(text) else _STRETCH.findall(text)
-
-    def _base(self, stretch: str) -> tuple[str, str]:
-        """(stretch without a last full stop or comma, in lower case where case is dropped; that mark).
-
-        Only after a letter of the Latin blocks: there the mark always begins a word of its own.
-        """
-        mark = ""
-        if len(stretch) > 1 and stretch[-1] in ".," and "A" <= stretch[-2] < "ɐ" and stretch[-2].isalpha():
-            stretch, mark = stretch[:-1], stretch[-1]
-        if self.folds and all(c < "İ" for c in stretch):
-            stretch = stretch.lower()
-        return stretch, mark
-
-    def _learn(self, stretches: list[str]) -> None:
-        bases = {s: self._base(s) for s in stretches}
-        new = list(dict.fromkeys(x for pair in bases.values() for x in pair if x and x not in self.known))
-        if new:
-            got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            words = np.array(got.word_ids, np.int64)
-            cuts = np.searchsorted(words, np.arange(len(new) + 1)) * 4
-            raw = np.array(got.ids, "<u4").tobytes()
-            for word, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.known[word] = raw[a:b]
-        for stretch, (base, mark) in bases.items():
-            self.known[stretch] = self.known[base] + self.known[mark] if mark else self.known[base]
+    def stretch(self, prefix: str, text: str, known: _Known) -> bytes:
+        """Ids of prefix + text.  A word of Latin letters is one word to the vocabulary, so its model can
+        be asked directly; a full stop or comma after one begins a new word."""
+        if text.isalpha() and max(text) < "İ":
+            word = prefix + text.lower() if self.folds else prefix + text
+            pieces = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
+            return np.array([p.id for p in pieces], "<u4").tobytes()
+        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] < "İ":
+            return known[text[:-1]] + self.bare[text[-1]]
+        if text.count("\n") == 1 and " " not in text and text[0] != "\n" != text[-1]:
+            before, after = text.split("\n")
+            return known[before] + self.bare["\n"] + self.bare[after]
+        return self._whole(prefix + text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._stretches(t) for t in texts]
-        self.known.setdefault("", b"")
-        seen = set().union(*(p for p in parts if p))
-        new = [s for s in seen if s not in self.known]
-        if len(self.known) + 2 * len(new) > CACHE:
-            self.known = {"": b""}
-            new = [s for s in seen if s]
-        if new:
-            self._learn(new)
-        known = self.known
-        return [self._whole(t) if p is None else b"".join([known[s] for s in p]) for t, p in zip(texts, parts)]
-
-
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        bare, spaced, out = self.bare, self.spaced, []
+        bare.age()
+        spaced.age()
+        for text in texts:
+            if self.folds:
+                parts = text.replace("\n", " ").split(" ") if _OTHER_BLANK.search(text) else text.split()
+                out.append(b"".join([bare[s] for s in parts]))
+            elif _OTHER_BLANK.search(text):
+                out.append(self._whole(text))
+            elif _RUN.search(text):
+                out.append(b"".join([bare[s] for s in _STRETCH.findall(text)]))
+            else:
+                first, *rest = text.split(" ")
+                out.append(bare[first] + b"".join([spaced[s] for s in rest]))
+        return out
+
+
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """This worker's encoder for a vocabulary file, which remembers about twice cache stretches."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
