@@ -47,7 +47,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids and their places in sequences of 2048."""
-    return pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0, cache=80_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
