@@ -27,7 +27,7 @@ from logquarry.llm.tables import text_bytes
 
 BLANK = "▁"
 #: Words that a worker remembers the best paths of.
-CACHE = 1_000_000
+CACHE = 700_000
 _NEVER = 1 << 60
 #: No piece reaches across the end of such a part: a word with the blanks before it, blanks, a line end.
 _WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
