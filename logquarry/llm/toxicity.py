@@ -57,11 +57,13 @@ def feature_counts(text: bytes) -> Counter:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """weights of features, rising thresholds, and the expected grade from which a text is toxic."""
+    """weights of features, rising thresholds, the expected grade from which a text is toxic, and how
+    many rows labelled clean and toxic it was fitted on."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
     limit: float = 0.6
+    rows_used: tuple[int, int] = (0, 0)
 
     def above(self, counts: Counter) -> list[float]:
         """P(grade > j) for each threshold j."""
@@ -101,12 +103,14 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 500, las
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of sampled texts; near copies of a text mostly share the key, their least word hash."""
+    """Features of sampled texts, a null one for a text without words.  The key is a digest of all the
+    text's words in their order: only copies, but for case, blanks and signs, share it."""
     for batch in batches:
         ids, keys, words, counts = [], [], [], []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns[:2])):
-            key = min(map(xxhash.xxh3_64_intdigest, words_of(text or b"")), default=0) >> 1
-            for word, n in feature_counts(text or b"").items():
+            sequence = " ".join(_WORD.findall((text or b"").decode("utf-8", "replace").lower()))
+            key = xxhash.xxh3_64_intdigest(sequence) >> 1
+            for word, n in (feature_counts(text or b"") or {None: 0}).items():
                 ids.append(doc_id)
                 keys.append(key)
                 words.append(word)
@@ -122,7 +126,8 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, wo
 
     Features are words and their beginnings.  Their statistics over the sample are computed in Spark;
     the driver receives at most ``words`` of them and their counts in the sampled rows.  Rows with a null id or label are left out, one row stays of
-    those that share an id or a key of near copies.  Without both classes the model calls nothing toxic.
+    those that share an id, or the class and all words in their order.  Every other sampled row is fitted,
+    also one without a chosen feature.  Without both classes the model calls nothing toxic.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -131,9 +136,11 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, wo
     low = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     picked = F.broadcast(save(low[0].unionByName(low[1])))  # two times sample rows at most
     found = save(text_bytes(docs).join(picked, "doc_id").select("doc_id", "text").mapInArrow(_words, "doc_id long, key long, word string, n long"))
-    heads = found.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    found = save(found.join(F.broadcast(heads), "doc_id").join(picked, "doc_id").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n")))
-    totals = {r["toxic"]: r["n"] for r in found.select("doc_id", "toxic").distinct().groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    heads = save(found.join(picked, "doc_id").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct())
+    found = save(found.where("word is not null").join(F.broadcast(heads), "doc_id").groupBy("doc_id", "toxic", "word").agg(F.max("n").alias("n")))
+    rows = heads.orderBy("doc_id").toArrow()
+    ids, toxic = (rows[c].to_numpy() for c in ("doc_id", "toxic"))
+    totals = Counter(toxic.tolist())
     if len(totals) < 2:
         return OrdinalModel({}, tuple(50.0 + j for j in range(GRADES - 1)))
     seen = found.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(F.lit(1) - F.col("toxic")).alias("good")).where("bad + good >= 5")
@@ -145,25 +152,21 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, wo
     evidence = {r["word"] for r, (a, b) in zip(chosen, rate) if a > 20 * b and r["bad"] >= max(5, 0.01 * totals[1])}
 
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(w,) for w in index] or [("",)], "word string"))
-    rows = found.join(wanted, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    rows = rows.join(picked, "doc_id", "right").where(F.col("words").isNotNull()).orderBy("doc_id").collect()
-    if not rows:
-        return OrdinalModel({}, tuple(50.0 + j for j in range(GRADES - 1)))
-    x, y = np.zeros((len(rows), max(1, len(index))), np.float32), np.zeros(len(rows), np.int64)
-    for i, r in enumerate(rows):
-        by_kind: Counter = Counter()
-        for word, n in r["words"]:
-            x[i, index[word]] = 1 + math.log(n)
-            if word in evidence:
-                by_kind[len(word) if word.endswith("-") else 0] += n
-        hits = max(by_kind.values(), default=0)
-        y[i] = 0 if not r["toxic"] else 1 if not hits else 2 if hits < 4 else 3
+    wanted = F.broadcast(spark.createDataFrame(list(index.items()), "word string, i int"))
+    cells = found.join(wanted, "word").select("doc_id", "i", "n").toArrow()
+    row, column, n = np.searchsorted(ids, cells["doc_id"].to_numpy()), cells["i"].to_numpy(), cells["n"].to_numpy()
+    x = np.zeros((len(ids), max(1, len(index))), np.float32)
+    x[row, column] = 1 + np.log(n)
+    kinds = np.array([-1 if word not in evidence else len(word) if word.endswith("-") else 0 for word in index] or [-1])
+    hits = np.zeros(len(ids))
+    for kind in set(kinds.tolist()) - {-1}:
+        mine = kinds[column] == kind
+        hits = np.maximum(hits, np.bincount(row[mine], n[mine], len(ids)))
+    y = np.where(toxic == 0, 0, np.where(hits == 0, 1, np.where(hits < 4, 2, 3)))
     # Classes weigh as in all labels, however many rows of them were sampled.
-    drawn = Counter(int(r["toxic"]) for r in rows)
-    weight = np.array([sizes[int(r["toxic"])] / drawn[int(r["toxic"])] for r in rows]) * np.where(y == 1, DOUBT, 1.0)
+    weight = np.where(toxic == 0, sizes[0] / totals[0], sizes[1] / totals[1]) * np.where(y == 1, DOUBT, 1.0)
     w, theta = fit(x, y, weight)
-    return OrdinalModel({word: float(w[i]) for word, i in index.items() if abs(w[i]) > 1e-6}, tuple(float(t) for t in theta))
+    return OrdinalModel({word: float(w[i]) for word, i in index.items() if abs(w[i]) > 1e-6}, tuple(float(t) for t in theta), rows_used=(totals[0], totals[1]))
 
 
 def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:

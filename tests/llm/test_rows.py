@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from logquarry.llm.license_scan import BASE, Signature, scan_licenses, signatures
 from logquarry.llm.quality import quality
@@ -91,6 +92,21 @@ def test_toxicity_edges(make):
     assert not severity(make([(1, "a")]), odd).first()["toxic"]
 
 
+def test_toxicity_trains_on_all_but_copies(make):
+    """Texts that share their word of least hash, across both classes, and rows without a known feature."""
+    words = [f"common{i}" for i in range(2000)]
+    least = min(words, key=xxhash.xxh3_64_intdigest)
+    r = random.Random(6)
+    docs = [(i, f"{least} {prose(r, 30)}" + (" vile nasty filth" if i % 2 else "")) for i in range(200)]
+    docs += [(200, docs[0][1].upper() + "!"), (201, docs[0][1]), (202, docs[1][1]), (203, "?!"), (204, None), (205, "zyx")]
+    labels = [(i, i % 2) for i in range(202)] + [(i, 0) for i in range(202, 206)]
+    model = train_on_labels(make(docs), make(labels, "doc_id long, toxic int"))
+    # 200 is a copy of 0; 201 and 202 are copies of rows of the other class; 203 and 204 are both empty.
+    assert model.rows_used == (100 + 1 + 1 + 1, 100 + 1)
+    rows = severity(make([(1, "so vile, nasty filth"), (2, f"{least} of plain words")]), model).collect()
+    assert [x["toxic"] for x in sorted(rows, key=lambda x: x["doc_id"])] == [True, False]
+
+
 def test_fit_orders_grades():
     import numpy as np
 
