@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -49,6 +50,24 @@ def test_quality(make):
     assert len(twice) == 3
 
 
+BASE64, PRINTABLE = string.ascii_letters + string.digits + "+/", "".join(map(chr, range(33, 127)))
+
+
+def test_incompressible(make):
+    """Noise of several lengths and noise inside prose go, prose of these lengths stays."""
+    r = random.Random(3)
+    lengths = (400, 700, 1200, 2500, 5000, 20000, 100000)
+
+    def noise(signs, size):
+        return " ".join("".join(r.choice(signs) for _ in range(r.randint(3, 9))) for _ in range(size // 4))[:size]
+
+    noises = [noise(signs, n) for signs in (BASE64, PRINTABLE) for n in lengths]
+    inside = [prose(r, 2000) + " " + noise(signs, 8192) + " " + prose(r, 2000) for signs in (BASE64, PRINTABLE)]
+    clean = [prose(r, n)[:n] for n in lengths]
+    rows = {x["doc_id"]: x["verdict"] for x in quality(make(list(enumerate(noises + inside + clean)))).collect()}
+    assert [rows[i] for i in range(len(rows))] == ["incompressible"] * len(noises + inside) + ["kept"] * len(clean)
+
+
 BAD = ["vile", "nasty", "filth"]
 
 
