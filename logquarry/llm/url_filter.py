@@ -8,6 +8,7 @@ Everything is DataFrame code; ranks live in saved tables, one small row for each
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,8 +41,11 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Iterations, share of a rank that is handed on, and share of distrust from which a host is blocked.
+#: Iterations of a spread of fixed length, share of a rank that is handed on, and share of distrust from
+#: which a host is blocked.
 ROUNDS, DAMPING, LIMIT = 8, 0.85, 0.5
+#: Share of its rank by which no host may change in the last round of a spread that runs until it settles.
+TOLERANCE = 1e-9
 
 #: Host part of absolute links, and host names of two labels or more that the page's text mentions.
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
@@ -84,11 +88,21 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.join(named.select(F.col("host").alias("dst")).distinct(), "dst").select("src", "dst", "n")
 
 
-def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def _settled(old: DataFrame, new: DataFrame) -> bool:
+    """Whether each rank of new is that of old, but for TOLERANCE of itself."""
+    before = old.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+    moved = (F.abs(F.col("trust") - F.col("t")) > TOLERANCE * F.col("trust")) | (F.abs(F.col("distrust") - F.col("d")) > TOLERANCE * F.col("distrust"))
+    return new.join(before, "host").where(moved).limit(1).count() == 0
+
+
+def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust): personalised PageRank along links and, for distrust, against them.
 
     links: src, dst, n; seeds: host, good, bad (any weights; hosts without seeds have zeros).  What a
     host without onward links would hand on is lost, so ranks sum to one at most.
+
+    rounds: so many iterations, or None: until no host gains a first rank and none changes by more than
+    TOLERANCE of its own, however small it is, as verdicts are ratios.
     """
     totals = seeds.agg(F.greatest(F.sum("good"), F.lit(1e-300)).alias("g"), F.greatest(F.sum("bad"), F.lit(1e-300)).alias("b"))
     seeds = save(
@@ -101,15 +115,18 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     links = save(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")))
     ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     last = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         trust = links.join(ranks, links["src"] == ranks["host"]).where("trust > 0").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         distrust = links.join(ranks, links["dst"] == ranks["host"]).where("distrust > 0").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         gained = trust.unionByName(distrust).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         mix = lambda seed, gain: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(gain, F.lit(0.0))
         new = save(seeds.join(gained, "host", "left").select("host", mix("good", F.col("t")).alias("trust"), mix("bad", F.col("d")).alias("distrust")))
+        settled = rounds is None and _settled(ranks, new)
         if last is not None:
             drop(last)
         ranks = last = new
+        if settled:
+            break
     return ranks
 
 
@@ -129,7 +146,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, limit: float = L
         .groupBy("host")
         .agg(F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("fit.verdict") == "block").cast("double").alias("bad"))
     )
-    ranks = small(save(spread(save(host_links(parsed)), seeds).withColumnRenamed("host", "ranked")))
+    ranks = small(save(spread(save(host_links(parsed)), seeds, rounds=None).withColumnRenamed("host", "ranked")))
     blame = F.col("distrust") / F.expr("nullif(trust + distrust, 0)")
     return (
         ruled.join(ranks, F.col("host") == F.col("ranked"), "left")

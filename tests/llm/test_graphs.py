@@ -70,6 +70,32 @@ def test_blame_flows_against_links(make):
     assert judge_urls(make([(1, "http://a.example.net/", "h", "r", "v")], SCHEMA + ", rule string, verdict string")).first()["verdict"] == "allow"
 
 
+def test_ranks_reach_the_end_of_a_chain(make):
+    """Each of twelve hosts links on to the next, the last one is blocked: all of them share its blame."""
+    n = 12
+    rows = [(i, f"http://h{i}.example.net/", f'<a href="http://h{i + 1}.example.net/">x</a>') for i in range(n - 1)]
+    rows[-1] = (n - 2, rows[-1][1], '<a href="http://end.example.com/">x</a>')
+    rows.append((n - 1, "http://end.example.com/de/1", None))
+    got = {r["page_id"]: (r["verdict"], r["blame"]) for r in judge_urls(make(rows, SCHEMA)).collect()}
+    assert got == {i: ("block", 1.0) for i in range(n)}
+
+
+def test_ranks_settle(spark):
+    """A cycle with a tail, against the solution of the linear equations."""
+    edges, damping = [(0, 1, 1), (1, 2, 2), (2, 0, 1), (2, 3, 4), (3, 4, 1)], 0.3
+    seeds = [(str(i), float(i == 0), float(i == 4)) for i in range(5)]
+    got = spread(spark.createDataFrame([(str(a), str(b), n) for a, b, n in edges], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, good double, bad double"), rounds=None, damping=damping)
+    got = {int(x["host"]): (x["trust"], x["distrust"]) for x in got.collect()}
+    w = np.zeros((5, 5))
+    for a, b, n in edges:
+        w[a, b] = n
+    forth, back = w / np.maximum(w.sum(1, keepdims=True), 1e-300), w / np.maximum(w.sum(0, keepdims=True), 1e-300)
+    trust = np.linalg.solve(np.eye(5) - damping * forth.T, (1 - damping) * np.eye(5)[0])
+    distrust = np.linalg.solve(np.eye(5) - damping * back, (1 - damping) * np.eye(5)[4])
+    for i in range(5):
+        assert got[i] == pytest.approx((trust[i], distrust[i]), rel=1e-8)
+
+
 def brute(rows, threshold=0.93):
     def sound(v):
         return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
