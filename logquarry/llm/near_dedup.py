@@ -15,6 +15,7 @@ each row.  So a group of copies costs its size, not its square.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +143,7 @@ def _block_links(data: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of each block pair; rows come sorted by it."""
     held = None
-    for batch in (*batches, None):
+    for batch in chain(batches, (None,)):  # each batch is taken when the one before is done
         if batch is not None:
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
         if held is None:

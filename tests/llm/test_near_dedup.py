@@ -1,7 +1,10 @@
 import random
 import re
 
-from logquarry.llm.near_dedup import near_duplicates
+import numpy as np
+import pyarrow as pa
+
+from logquarry.llm.near_dedup import _compared, near_duplicates
 
 
 def words(text):
@@ -90,3 +93,17 @@ def test_edges(make):
     assert {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 1), (4, 1)}
     more = make([(1, "a b", 0.5, "x")], "doc_id long, text string, band double, hash string")
     assert near_duplicates(more).collect()[0]["kept"]
+
+
+def test_block_pairs_are_compared_as_batches_come():
+    taken = []
+
+    def batches():
+        for g in range(6):
+            taken.append(g)
+            items = np.arange(9, dtype=np.uint64).tobytes()
+            yield pa.RecordBatch.from_pylist([{"group": g, "bucket": -1, "x": 0, "y": 0, "block": 0, "rep": i, "component": i, "items": items} for i in (2 * g, 2 * g + 1)])
+
+    made = _compared(batches(), 80)
+    assert next(made).to_pydict() == {"a": [1], "b": [0]} and taken == [0, 1]
+    assert [a for batch in made for a in batch.column(0).to_pylist()] == [3, 5, 7, 9, 11]
