@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.tables import save, small, text_bytes
-from logquarry.llm.tokens import CACHE, encoder
+from logquarry.llm.tokens import CACHE, as_texts, encoder, slices
 
 Pattern = tuple[list[int], int]
 
@@ -131,18 +131,16 @@ def slots(patterns: list[Pattern], capacity: int) -> dict[int, tuple[np.ndarray,
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, cache: int) -> Iterator[pa.RecordBatch]:
-    part, end, seen = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
+    part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
     for batch in batches:
-        for i in range(0, batch.num_rows, 100):
-            some = batch.slice(i, 100)
-            texts = [(t or b"").decode("utf-8", "replace") for t in some.column(1).to_pylist()]
+        for some in slices(batch):
+            lists = encoder(path, cache).lists(as_texts(some.column(1)), end_id)
+            cuts, data = lists.offsets.to_pylist(), memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<i4")).cast("B")
             rows = []
-            for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path, cache).encode(texts)):
-                ids += end
-                for k in range(0, len(ids), 4 * capacity):
-                    data = ids[k : k + 4 * capacity]
-                    n = len(data) // 4
-                    rows.append((doc_id, k // (4 * capacity), k // 4, n, zlib.crc32(data), part, seen[n]))
+            for doc_id, first, last in zip(some.column(0).to_pylist(), cuts, cuts[1:]):
+                for k in range(first, last, capacity):
+                    n = min(capacity, last - k)
+                    rows.append((doc_id, (k - first) // capacity, k - first, n, zlib.crc32(data[4 * k : 4 * (k + n)]), part, seen[n]))
                     seen[n] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "local")

@@ -27,9 +27,13 @@ def _leave() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local temporary one where the session has none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or that of setCheckpointDir(); a local temporary one where a
+    local session has none (tests).  On a cluster without either it raises, as executors would write
+    to their own disks."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append(tempfile.TemporaryDirectory(prefix="logquarry-"))
             atexit.register(_fallback[0].cleanup)
@@ -50,10 +54,14 @@ def save(df: DataFrame, fmt: str = "parquet") -> DataFrame:
         df.write.format(fmt).save(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    out = spark.read.format(fmt).schema(df.schema).load(path)
-    out.saved_at = path
-    _tables.append(out)
-    return out
+    return saved(spark.read.format(fmt).schema(df.schema).load(path), path)
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df, which reads the files at path: they can be dropped, and go when the driver ends."""
+    df.saved_at = path
+    _tables.append(df)
+    return df
 
 
 def _files(df: DataFrame):

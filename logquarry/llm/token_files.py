@@ -17,10 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.tables import save, shared_dir, small, text_bytes
-from logquarry.llm.tokens import encoder
-
-_STEP = 100
+from logquarry.llm.tables import save, saved, shared_dir, small, text_bytes
+from logquarry.llm.tokens import as_texts, encoder, slices
 
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -32,20 +30,15 @@ OPTIONS = {
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    shard, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+    shard, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for i in range(0, batch.num_rows, _STEP):
-            part = batch.slice(i, _STEP)
-            texts = [(t or b"").decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-            ids = [x + end for x in encoder(path).encode(texts)]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(sizes)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
-            starts = at + ends - sizes
-            at += int(ends[-1])
+        for part in slices(batch):
+            lists = encoder(path).lists(as_texts(part.column(1)), end_id)
+            cuts = lists.offsets.to_numpy().astype(np.int64)
+            starts = at + cuts[:-1]
+            at += int(cuts[-1])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(starts), lists],
+                [part.column(0), pa.array(np.full(len(starts), shard, np.int32)), pa.array(starts), lists],
                 names=["doc_id", "shard", "place", "ids"],
             )
 
@@ -83,7 +76,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_digests(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of what read_token_files() gives.
 
-    The files' own totals, one row a file, give where each file begins.
+    The files' own totals, one row a file, give where each file begins.  Null and repeated doc_ids keep
+    their rows; an empty set of files gives no rows.
     """
     rows = save(files.mapInArrow(_digests, "doc_id long, shard int, place long, n_tokens long, ids_crc32 long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +87,8 @@ def token_digests(files: DataFrame) -> DataFrame:
 
 
 def token_file_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """Write docs as token files in the shared folder and return the digests read from them."""
+    """Write docs as token files in the shared folder and return the digests read from them: one row for
+    each row of docs, whatever is null, empty or repeated (see write_token_files)."""
     path = f"{shared_dir(docs.sparkSession)}/logquarry-ids-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer_path, end_id)
-    return token_digests(read_token_files(docs.sparkSession, path))
+    return token_digests(saved(read_token_files(docs.sparkSession, path), path))
