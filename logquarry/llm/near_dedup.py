@@ -7,9 +7,9 @@ probability (1 - 0.8**4)**20 < 3e-5, less for closer pairs.
 
 Candidates are compared on their full sets, and only as far as components need it: each band bucket
 first links its members to one of them, then buckets that still hold several components try two
-more.  What such buckets tie together is compared last: the members outside a group's main component
-with all its members, as products of set blocks in numpy, which list no pairs but a spanning edge for
-each row.  So a group of copies costs its size, not its square.
+more.  Buckets that are still open are compared last, each by itself and whatever its size: the members
+outside its main component with all its members, as products of set blocks in numpy, which list no
+pairs but a spanning edge for each row.  So a group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ PERMS, ROWS = 40, 4
 BANDS = 2 * PERMS // ROWS
 #: Bit masks that order ids differently; the first (none) makes the least id the one to compare with.
 _MASKS = ((0,), (0x2AAA_AAAA_AAAA_AAAA, 0x5555_5555_5555_5555))
-#: Rows of a block of sets, and members up to which a group is compared as one, not bucket by bucket.
-BLOCK, GROUP = 384, 20_000
+#: Rows of a block of sets.
+BLOCK = 384
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +103,8 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-_BLOCKS = ["group", "bucket", "x", "y"]
+_BUCKET = ["band", "hash"]
+_BLOCKS = [*_BUCKET, "x", "y"]
 
 
 def _block_links(data: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,27 +158,20 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*made)], names=["a", "b"])
 
 
-def _compare_groups(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components that open buckets (band, hash, rep, component) tie together."""
-    heads = open_.groupBy("band", "hash").agg(F.min("rep").alias("head"))
-    tied = components(open_.join(heads, ["band", "hash"]).select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    sizes = tied.groupBy("component").count().select(F.col("component").alias("group"), "count")
-    tied = save(tied.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(sizes, "group"))
-    whole = open_.select("rep", "component").distinct().join(tied.where(F.col("count") <= GROUP), "rep").select("group", F.lit(-1).alias("bucket"), "rep", "component")
-    parts = open_.join(tied.where(F.col("count") > GROUP), "rep").select(F.col("hash").alias("group"), F.col("band").alias("bucket"), "rep", "component")
-    rows = save(whole.unionByName(parts))
-    counts = rows.groupBy("group", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+def _compare_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components inside the open buckets (band, hash, rep, component)."""
+    counts = open_.groupBy(*_BUCKET, "component").agg(F.count(F.lit(1)).alias("n"))
     # The main component's rows meet only those of others; these also meet each other.
     plan = save(
-        counts.groupBy("group", "bucket")
+        counts.groupBy(*_BUCKET)
         .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-        .select("group", "bucket", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("major"))
+        .select(*_BUCKET, F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("major"))
     )
     placed = (
-        rows.join(plan, ["group", "bucket"])
+        open_.join(small(plan), _BUCKET)
         .withColumn("block", F.expr("cast(if(component = main, minor + pmod(xxhash64(rep), major), pmod(xxhash64(rep), minor)) as int)"))
         .withColumn("with", F.explode(F.expr("if(component = main, sequence(0, minor - 1), sequence(0, minor + major - 1))")))
-        .select("group", "bucket", F.expr("cast(least(block, with) as int) as x"), F.expr("cast(greatest(block, with) as int) as y"), "block", "rep", "component")
+        .select(*_BUCKET, F.expr("cast(least(block, with) as int) as x"), F.expr("cast(greatest(block, with) as int) as y"), "block", "rep", "component")
         .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
     )
     return placed.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS).mapInArrow(lambda b: _compared(b, percent), "a long, b long")
@@ -198,15 +192,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = signed.where("doc_id is not null and print is not null")
     classes = save(named.groupBy("print", "bands").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    shared = banded.groupBy("band", "hash").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("band", "hash")
-    members = save(banded.join(shared, ["band", "hash"]).distinct())
+    shared = save(banded.groupBy(*_BUCKET).agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select(*_BUCKET))
+    members = save(banded.join(small(shared), _BUCKET).distinct())
 
     wanted = small(save(members.select(F.col("rep").alias("doc_id")).distinct()))
-    sets = save(
-        texts.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(lambda b: _sets(b, width), "doc_id long, items binary")
-        .distinct()
-    )
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda b: _sets(b, width), "doc_id long, items binary")
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        sets = sets.distinct()  # rows that repeat an id and its text
+    sets = save(sets)
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -221,18 +214,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = None
     state = members.withColumn("component", F.col("rep"))
     for masks in (*_MASKS, None):
-        groups = state.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        open_ = save(state.join(groups.select("band", "hash"), ["band", "hash"]))
+        groups = save(state.groupBy(*_BUCKET).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*_BUCKET))
+        open_ = save(state.join(small(groups), _BUCKET))
         if open_.limit(1).count() == 0:
             break
         if masks is None:
-            new = save(_compare_groups(open_, sets, percent))
+            new = save(_compare_buckets(open_, sets, percent))
         else:
-            heads = open_.groupBy("band", "hash").agg(
-                *(F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{i}") for i, m in enumerate(masks))
+            heads = save(
+                open_.groupBy(*_BUCKET).agg(*(F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"h{i}") for i, m in enumerate(masks)))
             )
             head = F.explode(F.array_distinct(F.array(*(f"h{i}" for i in range(len(masks)))))).alias("head")
-            pairs = open_.join(heads, ["band", "hash"]).select("rep", head).where("rep <> head")
+            pairs = open_.join(small(heads), _BUCKET).select("rep", head).where("rep <> head")
             new = confirm(pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")))
         found = new if found is None else found.unionByName(new)
         if masks is None or new.limit(1).count() == 0:
