@@ -63,7 +63,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("kept_text", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -133,8 +133,8 @@ with texts as (
     select r, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as last_, string_agg(h[2 * from_ + 1:2 * a], '' order by a) as head
     from kept join texts using (r) group by r
 )
-select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-    sha256(unhex(coalesce(head, '') || h[2 * coalesce(last_, 0) + 1:])) as kept_sha256
-from texts left join glued using (r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(k)) as kept_sha256,
+    decode(unhex(array_to_string(regexp_extract_all(k, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', 1), ''))) as text
+from (select *, coalesce(head, '') || h[2 * coalesce(last_, 0) + 1:] as k from texts left join glued using (r))
 """,
 }

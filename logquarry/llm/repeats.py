@@ -159,8 +159,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN, carry: Se
     done: list[DataFrame] = []
     width = fan**ROUNDS
     while True:
-        # Ranks of several places that some open range has; mixed if their members differ further out.
-        ranks = (
+        # Ranks of several places that some open range has; mixed if their members differ further out.  A rank
+        # can be very common: its table is written, so that the join's sides are dealt anew and split by skew.
+        ranks = save(
             ranked.groupBy("shared")
             .agg(
                 F.min(place).alias("x"), F.max(place).alias("y"), F.max("open").alias("any"),
@@ -169,16 +170,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN, carry: Se
             .where("x <> y and any")
             .select("shared", F.expr("n < m or a <> b").alias("mixed"))
         )
-        shared = save(ranked.join(ranks, "shared").drop("shared"))
-        drop(ranked)
-        same = shared.where("whole is not null").groupBy("whole").agg(F.min(place).alias("witness"), F.max(place).alias("y")).where("witness <> y").drop("y")
+        shared = save(ranked.join(small(ranks), "shared").drop("shared"))
+        drop(ranked, ranks)
+        same = save(shared.where("whole is not null").groupBy("whole").agg(F.min(place).alias("witness"), F.max(place).alias("y")).where("witness <> y").drop("y"))
         state = save(
-            shared.join(same, "whole", "left").select(
+            shared.join(small(same), "whole", "left").select(
                 "key", "pos", "low", "high", "open", "mixed",
                 F.col("witness").isNotNull().alias("again"), F.coalesce(F.col("witness") == place, F.lit(False)).alias("witness"),
             )
         )
-        drop(shared)
+        drop(shared, same)
         done.append(state.where("open and again"))
         if width == 1:
             break

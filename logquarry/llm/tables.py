@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of files up to which a saved table is broadcast; beyond them the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Rows and bytes of (compressed) files up to which a saved table is broadcast; beyond them the join shuffles.
+#: Files grow some tenfold in memory, lists most of all, so a broadcast stays well below 100 MB.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 8 << 20
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: list[tempfile.TemporaryDirectory] = []

@@ -54,6 +54,7 @@ def test_against_brute_force(make, length, fan, seed):
     texts = sample(seed, 40, length)
     rows = remove_repeats(make([(i, t) for i, t in enumerate(texts)]), length, fan).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert all(len(r["kept_text"].encode()) <= r["n_bytes"] - r["n_removed"] for r in rows)
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
