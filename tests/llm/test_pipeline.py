@@ -82,6 +82,24 @@ def test_pipeline(spark, make, tmp_path):
     assert sorted((p["doc_id"], p["ids_crc32"]) for p in again.collect()) == sorted((p["doc_id"], p["ids_crc32"]) for p in packed)
 
 
+def test_repeated_rows_and_null_ids_lose_no_document(spark, make):
+    """Stage by stage: one row of each text stays whole, whatever its id."""
+    r = random.Random(3)
+    a, b, c, d, e = (prose(r, 120) for _ in range(5))
+    near = c.replace(c.split()[50], "zzz", 1)
+    rows = [(1, a), (1, a), (2, b), (3, c), (3, d), (None, e), (None, e), (None, b), (7, near), (8, None), (8, ""), (None, None)]
+    docs = make([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    assert kept.count() == 9
+    one = save(corpus_pipeline.near_dedup(spark, docs, ""))
+    got = sorted(((x["doc_id"] or 0, x["text"]) for x in one.collect()), key=str)
+    # c stands beside d under one id, so the row with an id of its own is the one that stays.
+    assert got == sorted([(1, a), (2, b), (3, d), (0, e), (7, near), (8, None), (8, ""), (0, None)], key=str)
+    cut = sorted((x["doc_id"] or 0, x["text"]) for x in corpus_pipeline.suffix_dedup(spark, one, "").collect())
+    assert cut == sorted([(1, a), (2, b), (3, d), (0, e), (7, near)])
+    assert corpus_pipeline.packing(spark, one, "").count() == len(got)
+
+
 def test_empty_tables(spark, make, tmp_path):
     make([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     make([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
