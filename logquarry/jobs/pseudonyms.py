@@ -170,7 +170,7 @@ def q_field_kind(spark, d):
 
 
 def _doc_leaves(spark, d) -> DataFrame:
-    ev = log_events(spark, d).where("event_id % 3 = 0")
+    ev = log_events(spark, d)
     user = F.concat(F.lit("anna"), F.col("user_id").cast("string"))
     leaf = F.explode(F.array(F.struct(F.lit("user.name").alias("path"), user.alias("value")), F.struct(F.lit("message").alias("path"), F.concat(F.lit("hello "), user, F.lit(" on 10.9.1.7")).alias("value")), F.struct(F.lit("event.action").alias("path"), F.col("action").alias("value"))))
     return ev.select(F.col("event_id").alias("doc_id"), leaf.alias("l")).select("doc_id", "l.*")
@@ -179,7 +179,7 @@ def _doc_leaves(spark, d) -> DataFrame:
 _IP197 = f"""'10.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.1'"), 0)} || '.' || {_HEX(_hmac("'ipv4-prefix'", "'10.9.1'"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", "'10.9.1.7'", "'0'"), 0)} % 254)"""
 
 
-@query(f"""with e as (select event_id as doc_id, event_type, 'user-' || {_hmac("'user'", "'anna' || user_id", "'0'")}[1:6] as t from events where event_id % 3 = 0)
+@query(f"""with e as (select event_id as doc_id, event_type, 'user-' || {_hmac("'user'", "'anna' || user_id", "'0'")}[1:6] as t from events)
     select doc_id, 'user.name' as path, t as value from e union all select doc_id, 'message', 'hello ' || t || ' on ' || {_IP197} from e union all select doc_id, 'event.action', event_type from e""")
 def q_pseudonymise_doc(spark, d):
     return op.pseudonymise_doc(_doc_leaves(spark, d), KEY)
@@ -205,7 +205,8 @@ def q_leak_check(spark, d):
 
 GROUND_SQL = """e as (select event_id, 's' || (user_id % 10) as source, user_id, event_type as a from events), w as (select event_id, source, 'anna' || user_id as value, 'user' as kind, case when a = 'click' then 'user' else '' end as k from e where a in ('error', 'click')
         union all select event_id, source, 'box' || (user_id % 20), 'host', case when a = 'click' then 'host' else '' end from e where a in ('click', 'view') union all select event_id, source, 'port 22', 'host', '' from e where a = 'error'),
-    grounded as (select source, value, kind, count(distinct event_id) as lines, case when min(k) = max(k) and min(k) <> '' then min(k) end as key from w group by 1, 2, 3)"""
+    grounded as (select source, value, kind, count(distinct event_id) as lines, case when min(k) = max(k) and min(k) <> '' then min(k) end as key,
+        case when kind = 'user' and min(k) = '' then '\\bfor ([\\w.$@-]+) from\\b' else '' end as contexts from w group by 1, 2, 3)"""
 
 
 def _grounded(spark, d) -> DataFrame:
@@ -215,12 +216,12 @@ def _grounded(spark, d) -> DataFrame:
     return op.ground_candidates(candidates, lines)
 
 
-@query(f"with {GROUND_SQL} select source, value, kind, lines, key from grounded")
+@query(f"with {GROUND_SQL} select source, value, kind, lines, key, contexts from grounded")
 def q_ground_candidates(spark, d):
-    return _grounded(spark, d)
+    return _grounded(spark, d).withColumn("contexts", F.concat_ws(",", "contexts"))
 
 
-@query(f"""with {GROUND_SQL}, r as (select distinct case when key is not null then 'key' else 'value' end as rtype, kind, coalesce(key, value) as pattern from grounded)
+@query(f"""with {GROUND_SQL}, r as (select distinct case when key is not null then 'key' else 'value' end as rtype, kind, coalesce(key, value) as pattern from grounded union select 'regex', kind, contexts from grounded where contexts <> '')
     select rtype, kind, pattern, sha256(rtype || '|' || kind || '|' || pattern)[1:12] as rule_id from r where pattern <> 'port 22'""")
 def q_findings_to_rules(spark, d):
     rejected = spark.createDataFrame([("value", "host", "port 22")], "rtype string, kind string, pattern string").select(F.substring(F.sha2(F.concat_ws("|", "rtype", "kind", "pattern"), 256), 1, 12).alias("rule_id"))

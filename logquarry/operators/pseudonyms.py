@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import entities as ent
 from logquarry.functions.addresses import ipv4_number, ipv6_digits
 from logquarry.functions.keyed import hmac_hex
+from logquarry.sources.sinks import written
 
 SIMPLE = {"email": (ent.EMAIL, 0), "ipv4": (ent.IPV4, 0), "mac": (ent.MAC, 0), "sid": (ent.SID, 0), "url_host": (ent.URL_HOST, 1)}
 
@@ -98,22 +99,31 @@ def fqdn_suffixes(name: Column) -> Column:
     return F.filter(F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), lambda s: F.contains(s, F.lit(".")))
 
 
-def build_vault(found: DataFrame, key: bytes, secret: bytes, width: int = 6) -> DataFrame:
-    """kind, digest, token, salt, enc for the distinct values of found (kind, value).
+def build_vault(found: DataFrame, key: bytes, secret: bytes, width: int = 6, rounds: int = 100) -> DataFrame:
+    """kind, digest, token, salt, collided, enc for the distinct values of found (kind, value).
 
     Values are one if their digests are.  Where values share a token, the one with the least digest keeps
-    it and each other takes its place among them as salt; salted tokens that meet yet another are marked
-    by a count, collided.  enc is the value, encrypted with secret (16, 24 or 32 bytes).
+    it and each other takes its place among them as salt; whoever meets a token of a lesser salt again
+    takes the next salt, until no two tokens are equal.  collided counts who still shares the token after
+    so many rounds: 0 unless tokens have too few digits for the values.  enc is the value, encrypted with
+    secret (16, 24 or 32 bytes).
     """
     values = found.where("value is not null").select("kind", "value", digest(key, F.col("kind"), F.col("value")).alias("digest"))
     distinct = values.groupBy("kind", "digest").agg(F.min("value").alias("value"))
     first = distinct.withColumn("_t", token(key, F.col("kind"), F.col("value"), width=width))
     place = F.row_number().over(Window.partitionBy("_t").orderBy("digest")) - 1
-    salted = first.withColumn("salt", place).withColumn("token", F.when(F.col("salt") == 0, F.col("_t")).otherwise(token(key, F.col("kind"), F.col("value"), F.col("salt"), width)))
-    return salted.select(
-        "kind", "digest", "token", F.col("salt").cast("long").alias("salt"),
-        (F.count(F.lit(1)).over(Window.partitionBy("token")) - 1).alias("collided"), F.aes_encrypt(F.col("value"), F.lit(secret)).alias("enc"),
-    )
+    salted = lambda: token(key, F.col("kind"), F.col("value"), F.col("salt"), width)
+    vault = first.withColumn("salt", place.cast("long")).withColumn("token", F.when(F.col("salt") == 0, F.col("_t")).otherwise(salted())).drop("_t")
+    order = Window.partitionBy("token").orderBy("salt", "digest")
+    for _ in range(rounds):
+        vault = written(vault.withColumn("_late", F.row_number().over(order) > 1), "vault")
+        if vault.where("_late").limit(1).count() == 0:
+            break
+        moved = vault.where("_late").withColumn("salt", F.col("salt") + 1)
+        vault = vault.where("not _late").unionByName(moved.withColumn("token", salted())).drop("_late")
+    return vault.select(
+        "kind", "digest", "token", "salt", (F.count(F.lit(1)).over(Window.partitionBy("token")) - 1).alias("collided"), F.aes_encrypt(F.col("value"), F.lit(secret)).alias("enc")
+    )
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
@@ -206,8 +216,19 @@ def leak_check(outgoing: DataFrame, originals: DataFrame, by: str = "line_id", k
     return check.distinct().join(outgoing.select(by, "text"), by).where(found).select(by, "value")
 
 
-#: Keys too common to tell a name, and shapes that a learned pattern must not have.
-GENERIC_KEYS = ("id", "type", "name", "msg", "message", "level", "time", "date", "status", "code", "action", "data", "value", "info")
+# Keys whose values are free text or enumerations, and values that never name anybody.
+GENERIC_KEYS = (
+    "msg", "message", "reason", "action", "act", "desc", "description", "text", "info", "status", "result", "type", "proto", "protocol", "rule", "policy", "level", "severity",
+    "sev", "cat", "category", "outcome", "event", "method", "code", "id", "time", "date", "timestamp", "ts", "dir", "direction", "service", "app", "product", "vendor", "version",
+)
+SKIP_VALUES = ("-", "", "null", "none", "n/a", "na", "unknown", "true", "false", "yes", "no", "0", "1", "local", "localhost", "any", "all", "default", "system", "root")
+
+
+def plausible(value: Column) -> Column:
+    """Whether a value can name somebody: it has a letter, a sound length, and is no pseudonym or common word."""
+    low = F.lower(F.trim(value))
+    token_ = low.rlike(r"^(?:(?:user|host)-[0-9a-f]{6}$|d[0-9a-f]{6}(?:\.|$))")
+    return F.length(low).between(2, 128) & low.rlike("[a-z]") & ~low.isin(*SKIP_VALUES) & ~token_
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
@@ -230,29 +251,55 @@ def rule_pattern(rtype: str, pattern: str) -> str:
     return rf"(?<![\w.-])({re.escape(pattern)})(?![\w-])" if rtype == "value" else pattern
 
 
+#: The value of a learned context, and how many contexts of a value are kept.
+CONTEXT_VALUE, CONTEXTS = r"([\w.$@-]+)", 3
+
+
+def context_of(line: Column, value: Column) -> Column:
+    """An expression for what stands between the plain words around a value in a line; null unless such
+    words stand on both sides."""
+    around = F.concat(F.lit(r"(?:^|\s)([A-Za-z]{2,24}) "), quoted(value), F.lit(r" ([A-Za-z]{2,24})(?=[\s.,;:]|$)"))
+    before, after = (F.call_function("regexp_extract", line, around, F.lit(i)) for i in (1, 2))
+    return F.when(before != "", F.concat(F.lit(r"\b"), before, F.lit(f" {CONTEXT_VALUE} "), after, F.lit(r"\b")))
+
+
 def ground_candidates(candidates: DataFrame, lines: DataFrame, by: str = "source") -> DataFrame:
-    """source, value, kind, lines, key of candidates (source, value, kind) found in lines (source, line_id,
-    line): in how many, and the key before them where it is the same everywhere.
+    """source, value, kind, lines, key, contexts of plausible candidates (source, value, kind) found in lines
+    (source, line_id, line): in how many; the key before them where it is the same everywhere and not
+    generic; without one, the most frequent expressions for the words around them.
 
-    Single-word values meet lines by their words; others by comparison inside their sender.
+    Values of single words meet lines by their words.  Others meet, by their first word, only lines that
+    hold that word; those without a word are compared with their sender's lines.
     """
     pieces = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(r"[\w.@-]+"), 0), F.lower))
     words = lines.select(by, "line_id", "line", F.explode(pieces).alias("_w"))
-    c = candidates.distinct().withColumn("_w", F.lower("value"))
-    plain = c.where(c["_w"].rlike(r"^[\w.@-]+$"))
-    hits = words.join(plain, [by, "_w"]).select(by, "value", "kind", "line_id", "line")
-    odd = c.where(~F.col("_w").rlike(r"^[\w.@-]+$")).drop("_w")
-    hits = hits.unionByName(lines.join(odd, by).where(F.contains(F.lower("line"), F.lower("value"))).select(by, "value", "kind", "line_id", "line"))
+    c = candidates.where(plausible(F.col("value"))).distinct()
+    # Of a value with other signs, a word between two of them surely stands whole in the line.
+    inner = F.regexp_extract(F.lower("value"), r"^(?:.*?[^\w.@-])([\w.@-]+)(?=[^\w.@-])", 1)
+    c = c.withColumn("_w", F.when(F.col("value").rlike(r"^[\w.@-]+$"), F.lower("value")).when(inner != "", inner))
+    held = (F.lower("value") == F.col("_w")) | F.contains(F.lower("line"), F.lower("value"))
+    hits = words.join(c.where("_w is not null"), [by, "_w"]).where(held).select(by, "value", "kind", "line_id", "line")
+    hits = hits.unionByName(lines.join(c.where("_w is null").drop("_w"), by).where(F.contains(F.lower("line"), F.lower("value"))).select(by, "value", "kind", "line_id", "line"))
     key = F.regexp_substr("line", F.concat(F.lit(r"(?i)[A-Za-z_][\w.-]*(?=[\"']?\s?[=:]\s?[\"']?"), quoted(F.col("value")), F.lit(r"(?![\w-]))")))
-    found = hits.withColumn("_key", F.coalesce(F.lower(key), F.lit("")))
-    return found.groupBy(by, "value", "kind").agg(F.count_distinct("line_id").alias("lines"), F.when((F.min("_key") == F.max("_key")) & (F.min("_key") != ""), F.min("_key")).alias("key"))
+    found = hits.withColumn("_key", F.coalesce(F.lower(key), F.lit(""))).withColumn("_context", context_of(F.col("line"), F.col("value")))
+    same = [by, "value", "kind"]
+    # A line has one context of a value, so lines can be counted for each context and summed.
+    each = found.groupBy(*same, "_context").agg(F.count_distinct("line_id").alias("_n"), F.min("_key").alias("_a"), F.max("_key").alias("_b"))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("_context").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_context").alias("c")))))
+    whole = each.groupBy(*same).agg(F.sum("_n").alias("lines"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.transform(F.slice(ranked, 1, CONTEXTS), lambda x: x["c"]).alias("contexts"))
+    named = (F.col("_a") == F.col("_b")) & (F.col("_a") != "") & ~F.col("_a").isin(*GENERIC_KEYS)
+    whole = whole.withColumn("key", F.when(named, F.col("_a")))
+    return whole.select(*same, "lines", "key", F.when(F.col("key").isNull(), F.col("contexts")).otherwise(F.array().cast("array<string>")).alias("contexts"))
 
 
 def findings_to_rules(grounded: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """rule_id, rtype, kind, pattern: a key rule where a finding has a key that is not generic, else a value
-    rule; each once, none that was rejected (rule_id)."""
-    keyed = F.col("key").isNotNull() & ~F.lower("key").isin(*GENERIC_KEYS)
-    rules = grounded.select(F.when(keyed, "key").otherwise("value").alias("rtype"), "kind", F.when(keyed, F.col("key")).otherwise(F.col("value")).alias("pattern")).distinct()
+    """rule_id, rtype, kind, pattern: a key rule where a finding has a key, else a value rule and one for each
+    of its contexts, which may catch names not seen yet; each once, none that was rejected (rule_id)."""
+    keyed = F.col("key").isNotNull()
+    rule = lambda rtype, pattern: F.struct(F.lit(rtype).alias("rtype"), pattern.alias("pattern"))
+    own = F.when(keyed, rule("key", F.col("key"))).otherwise(rule("value", F.col("value")))
+    every = F.concat(F.array(own), F.transform("contexts", lambda c: rule("regex", c)))
+    rules = grounded.select("kind", F.explode(every).alias("r")).select("r.rtype", "kind", "r.pattern").distinct()
     out = rules.withColumn("rule_id", F.substring(F.sha2(F.concat_ws("|", "rtype", "kind", "pattern"), 256), 1, 12))
     return out.join(rejected.select("rule_id"), "rule_id", "left_anti") if rejected is not None else out
 

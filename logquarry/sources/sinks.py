@@ -11,11 +11,23 @@ LEVELS = ("informational", "low", "medium", "high", "critical")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or in the warehouse where there is none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the shared folder of spark.checkpoint.dir, or in the warehouse where there is none.
+
+    On a cluster a warehouse on local disks is refused: each executor would write to its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a new table in the shared folder: its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_date(rows: DataFrame, path: str, at: str = "received_at") -> None:
     """Append rows as Parquet, partitioned by the UTC date of a timestamp."""
     day = F.date_format(F.to_utc_timestamp(F.col(at), F.current_timezone()), "yyyy-MM-dd")

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from logquarry.jobs import registry
@@ -12,7 +13,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 def rows(frame):
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, float):
             return round(x, 6)

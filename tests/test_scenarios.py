@@ -156,9 +156,26 @@ LINES = {
     "System.Management.Automation.dll loaded app.log 127.0.0.1 224.0.0.1": [],
     "user-0a1b2c logged in": [],
 }
+MORE_LINES = {
+    r"logon of CORP\ahuber and CORP\admins\bkurz": ["user:ahuber", "user:bkurz"],
+    'web7.lan - jroth [10/Oct/2024:13:55:36 +0200] "GET / HTTP/1.1" 200 5': ["fqdn:web7.lan", "user:jroth"],
+    'edge4 idmeier - [10/Oct/2024:13:55:36 +0200] "GET /" 200 5': ["host:edge4", "user:idmeier"],
+    "<189>core-sw1 %LINK-3-UPDOWN: up": ["host:core-sw1"],
+    "<34>Oct 11 22:14:15 mymachine su: opened": ["host:mymachine"],
+    "<165>1 2024-10-11T22:14:15.003Z relay9 app 1 ID - x": ["host:relay9"],
+    "Oct  1 2024 22:14:15 gate: authentication failure for cvogel": ["host:gate", "user:cvogel"],
+    "denied user 'dlang' and user <elorenz>, username 'fbraun'": ["user:dlang", "user:elorenz", "user:fbraun"],
+    "Accepted publickey for gkaiser; session opened for user hbusch; by user ikoch; illegal user jfuchs": ["user:gkaiser", "user:hbusch", "user:ikoch", "user:jfuchs"],
+    "sudo:   klutz : TTY=pts/0": ["user:klutz"],
+    "(C:\\\\Users\\\\Public) a/home/pohl file:/Users/nott/x": ["user:nott"],
+    "cat /home/lmaurer/x": ["user:lmaurer"],
+    "xauthuser=moser remuser: nagel client_name=pc-77 dvc_host=fw-3 srcname=\"nas 2\" dst_user_name=opitz uid=0": ["host:fw-3", "host:nas 2", "host:pc-77", "user:moser", "user:nagel", "user:opitz"],
+    "outside:2a02:810d::1/443 seen, key aa:bb:cc:dd:ee:ff:00:11": ["ipv6:2a02:810d::1"],
+    "GET https://Intra.Example.ORG:8443/a?b std::vector 10.1.2.3:80, 10.1.2.300": ["fqdn:Intra.Example.ORG", "ipv4:10.1.2.3"],
+}
 
 
-@pytest.mark.parametrize("line,want", LINES.items())
+@pytest.mark.parametrize("line,want", [*LINES.items(), *MORE_LINES.items()])
 def test_entities(line, want):
     assert sorted(f"{k}:{v}" for k, _, _, v in ent.detect(line)) == want
 
@@ -182,7 +199,9 @@ def test_pseudonyms_keep_shape_and_leak_nothing(spark):
 def test_colliding_tokens_get_salts(spark):
     found = spark.createDataFrame([("user", f"u{i}") for i in range(60)], "kind string, value string")
     vault = pseudonyms.build_vault(found, KEY, b"k" * 16, width=1).collect()
-    assert len(vault) == 60 and max(r["salt"] for r in vault) > 0 and any(r["collided"] for r in vault)
+    assert len(vault) == 60 and max(r["salt"] for r in vault) > 0
+    few = pseudonyms.build_vault(found.limit(14), KEY, b"k" * 16, width=1).collect()  # of 16 tokens
+    assert len({r["token"] for r in few}) == 14 and not any(r["collided"] for r in few)
 
 
 def test_hmac_and_addresses(spark):
