@@ -1,32 +1,38 @@
-"""Near-duplicate embeddings: binary codes choose the pairs whose cosine is worth computing.
-
-A vector is rotated at random and kept as the signs of its coordinates, with a correction factor: the
-inner product of the unit vector and its code.  Dividing a code's inner product with a query by that
-factor estimates the cosine without bias, and the factor bounds its error.  Pairs whose upper bound
-reaches the threshold are computed exactly, in double precision; the rest are surely below it.
-
-Which pairs meet at all follows from stretches of a longer code: two vectors at the threshold agree on
-a stretch of BITS signs with probability (1 - angle/pi)**BITS, and TABLES stretches are tried.  Equal
-vectors are one row throughout, and a bucket yields counts and a spanning edge for each row, so groups
-of copies are never listed as pairs.  Large buckets are divided into blocks that meet two by two.
+"""Near-duplicate embeddings: stored binary codes choose and bound the pairs whose cosine is computed.
+
+A vector is turned by random rotations and kept as the signs of all turned coordinates, with a
+correction factor: the inner product of the turned unit vector and its code.  Codes and factors are
+written once, and everything up to the last step reads them, not the vectors:
+
+* Stretches of BITS signs are buckets.  Two vectors at the threshold agree on one with probability
+  (1 - angle/pi)**BITS, and a code has so many stretches that all of them miss with chance MISS.
+* Within a bucket, the share of signs that differ is an unbiased estimate of the angle; only rows with
+  a partner whose angle may still reach the threshold, SIGMAS standard errors allowed, go on.
+* Their vectors are fetched.  A code's inner product with the other's turned vector, divided by the
+  code's factor, estimates the cosine without bias, and the factor bounds its error.  Pairs whose upper
+  bound reaches the threshold are computed exactly, in double precision.
+
+Equal vectors are one row throughout, and a bucket yields counts and a spanning edge for each row, so
+groups of copies are never listed as pairs.  Large buckets are divided into blocks that meet two by two.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.llm.components import components
-from logquarry.llm.tables import save, small
+from logquarry.llm.tables import drop, save, small
 
-#: Chance that a pair at the threshold shares no bucket, and rows of a block of a large bucket.
-MISS, BLOCK = 5e-3, 512
-#: Standard errors of an estimate up to which its pair is computed exactly.
+#: Signs of a bucket, chance that a pair at the threshold shares no bucket, rows of a block of a bucket.
+BITS, MISS, BLOCK = 16, 5e-3, 512
+#: Standard errors of an estimate up to which its pair goes on.
 SIGMAS = 6.0
 
 
@@ -36,137 +42,160 @@ def tables_needed(bits: int, threshold: float, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+_kept: dict[tuple[int, int], np.ndarray] = {}
 
 
-def hyperplanes(dim: int, bits: int, tables: int, seed: int = 12) -> np.ndarray:
-    return np.random.default_rng([seed, dim, bits]).normal(size=(dim, bits * tables))
+def rotations(dim: int, signs: int, seed: int = 11) -> np.ndarray:
+    """So many random orthogonal matrices side by side that a turned vector has signs coordinates."""
+    n = math.ceil(signs / dim)
+    if (dim, n) not in _kept:
+        random = np.random.default_rng([seed, dim])
+        turns = [np.linalg.qr(random.normal(size=(dim, dim))) for _ in range(n)]
+        _kept[dim, n] = np.hstack([q * np.sign(np.diag(r)) for q, r in turns]) / math.sqrt(n)
+    return _kept[dim, n]
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)  # squares of tiny or huge components stay finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """rep, label, n, dim, vec, and the bucket that each table puts the vector into."""
-    power = 1 << np.arange(bits, dtype=np.int64)
-    for batch in batches:
-        vectors = [np.array(v, np.float64) for v in batch.column(3).to_pylist()]
-        buckets = []
-        for v in vectors:
-            u = v / np.abs(v).max()
-            signs = (u @ hyperplanes_of(len(v), bits, tables)) > 0
-            buckets.append((signs.reshape(tables, bits) @ power).tolist())
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-            names=["rep", "label", "n", "vec", "buckets"],
-        )
+def codes(unit: np.ndarray, signs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signs of the turned unit rows as 0 and 1, correction factors)."""
+    turned = unit @ rotations(unit.shape[1], signs)
+    return turned > 0, np.abs(turned).sum(1) / math.sqrt(turned.shape[1])
 
 
-_kept: dict[tuple, np.ndarray] = {}
-
-
-def hyperplanes_of(dim: int, bits: int, tables: int) -> np.ndarray:
-    key = (dim, bits, tables)
-    if key not in _kept:
-        _kept[key] = hyperplanes(dim, bits, tables)
-    return _kept[key]
-
+def _coded(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """group, rep, n, kind (of label and length), code (all signs, packed), factor, buckets: one for each table."""
+    power = 1 << np.arange(bits, dtype=np.int64)
+    for batch in batches:
+        kinds, packed, factors, buckets = [], [], [], []
+        for label, raw in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            code, factor = codes(_unit(np.array([raw], np.float64)), bits * tables)
+            seed = xxhash.xxh3_64_intdigest(f"{len(raw)} {label}")
+            stretches = (code[0, : bits * tables].reshape(tables, bits) @ power).tolist()
+            kinds.append(seed - (1 << 63))
+            packed.append(np.packbits(code[0]).tobytes())
+            factors.append(float(factor[0]))
+            buckets.append([xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), (seed + t) % (1 << 64)) - (1 << 63) for t, k in enumerate(stretches)])
+        made = [pa.array(kinds, pa.int64()), pa.array(packed, pa.binary()), pa.array(factors, pa.float64()), pa.array(buckets, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["group", "rep", "n", "kind", "code", "factor", "buckets"])
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotated rows, codes of length one, correction factors)."""
-    dim = unit.shape[1]
-    if (dim,) not in _kept:
-        _kept[(dim,)] = rotation(dim)
-    rotated = unit @ _kept[(dim,)]
-    code = np.where(rotated > 0, 1.0, -1.0) / math.sqrt(dim)
-    return rotated, code, (rotated * code).sum(1)
 
+_KEY = ["bucket", "x", "y"]
 
-def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of a, j of b) of rows with cosine of threshold at least.
 
-    Estimates come first; only pairs that they leave open are computed in double precision.
-    """
-    a, b = _unit(a), _unit(b)
-    _, code, factor = codes(a)
-    rotated, _, _ = codes(b)
-    estimate = (code @ rotated.T) / factor[:, None]
-    error = np.sqrt(np.maximum(1 - factor * factor, 0) / np.maximum(factor * factor, 1e-12) / max(1, a.shape[1] - 1))
-    i, j = np.nonzero(estimate + SIGMAS * error[:, None] >= threshold)
-    exact = (a[i] * b[j]).sum(1)
-    return i[exact >= threshold], j[exact >= threshold]
-
-
-_KEY = ["label", "no", "bucket", "x", "y"]
-
-
-def _group_links(data: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links inside one block of a bucket, or between two: for each row that has some, (row, rows
-    behind its links that no earlier table has met, least row that the links lead to)."""
-    table_no, x, y = (data[c][0].as_py() for c in ("no", "x", "y"))
-    block, rep, n = (data[c].to_numpy() for c in ("block", "rep", "n"))
-    raw = data["vec"].to_pylist()
-    seen = np.array(data["earlier"].to_pylist(), np.int64)[:, :table_no]
-    count, edge = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    sizes = np.array([len(v) for v in raw])
-    for size in np.unique(sizes).tolist():
-        left = np.flatnonzero((sizes == size) & (block == x))
-        right = np.flatnonzero((sizes == size) & (block == y))
-        if not len(left) or not len(right) or len(left) == 1 and x == y:
-            continue
-        vec_a, vec_b = (np.frombuffer(b"".join([raw[k] for k in side]), np.float64).reshape(len(side), -1) for side in (left, right))
-        i, j = near_pairs(vec_a, vec_b, threshold)
-        i, j = left[i], right[j]
-        if x == y:
-            i, j = i[i < j], j[i < j]
-        if table_no and len(i):
-            fresh = ~(seen[i] == seen[j]).any(1)
-            i, j = i[fresh], j[fresh]
+def _by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What work makes of each run of rows with equal keys; rows come sorted by key."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        keys = [held[c].to_numpy() for c in _KEY]
+        cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield from work(held.slice(a, b - a)) if b - a > 1 else ()
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows > 1:
+        yield from work(held)
+
+
+def _signs(data: pa.Table) -> np.ndarray:
+    """Packed codes of equal length as rows of bytes."""
+    raw = data["code"].to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def _pairs(data: pa.Table, bits: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j where a block meets itself) across the two blocks that meet in this table first and
+    whose codes allow the threshold."""
+    table, x, y = (data[c][0].as_py() for c in ("no", "x", "y"))
+    code, block = _signs(data), data["block"].to_numpy()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    total = 8 * code.shape[1]
+    differ = np.zeros((len(left), len(right)), np.int32)
+    for a, b in zip(code[left].T, code[right].T):
+        differ += np.bitwise_count(a[:, None] ^ b[None, :])
+    at = math.acos(threshold) / math.pi
+    i, j = np.nonzero(differ <= total * at + SIGMAS * math.sqrt(total * at * (1 - at)))
+    i, j = left[i], right[j]
+    if x == y:
+        i, j = i[i < j], j[i < j]
+    if table and len(i):
+        stretches = np.unpackbits(code, axis=1)[:, : bits * table].reshape(len(code), table, bits)
+        stretches = stretches @ (1 << np.arange(bits, dtype=np.int64))
+        fresh = ~(stretches[i] == stretches[j]).any(1)
+        i, j = i[fresh], j[fresh]
+    return i, j
+
+
+def _kinds(data: pa.Table) -> Iterator[pa.Table]:
+    """The rows of one block pair by kind: buckets of different labels can share a number by chance."""
+    kind = data["kind"].to_numpy()
+    for k in np.unique(kind):
+        mine = np.flatnonzero(kind == k)
+        if len(mine) > 1:
+            yield data.take(pa.array(mine)).combine_chunks()
+
+
+def _open(data: pa.Table, bits: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows of one block pair that have a partner."""
+    for part in _kinds(data):
+        rows = np.unique(np.concatenate(_pairs(part, bits, threshold)))
+        if len(rows):
+            yield part.select(["group", "no", *_KEY, "block"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of unit rows of a and b may have a cosine of threshold: their estimates' upper bounds reach
+    it.  code and factor are those of a's rows."""
+    turned = b @ rotations(b.shape[1], code.shape[1])
+    signs = np.where(code[:, : turned.shape[1]], np.float32(1), np.float32(-1))
+    estimate = signs @ turned.T.astype(np.float32) / (math.sqrt(turned.shape[1]) * factor[:, None])
+    error = np.sqrt(np.maximum(1 - factor * factor, 0) / max(1, b.shape[1] - 1)) / factor
+    return estimate + SIGMAS * error[:, None] + 1e-5 >= threshold
+
+
+def _links(data: pa.Table, bits: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of one block pair: for each row that has some (group, rep, rows behind its links that no earlier
+    table has met, least rep that the links lead to)."""
+    for part in _kinds(data):
+        i, j = _pairs(part, bits, threshold)
+        group, rep, n, factor = (part[c].to_numpy() for c in ("group", "rep", "n", "factor"))
+        raw = part["vec"].to_pylist()
+        unit = _unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
+        code = np.unpackbits(_signs(part), axis=1).astype(bool)
+        left, right = np.unique(i), np.unique(j)
+        if len(i):
+            may = near_pairs(unit[left], unit[right], code[left], factor[left], threshold)
+            may = may[np.searchsorted(left, i), np.searchsorted(right, j)]
+            i, j = i[may], j[may]
+        near = [(unit[i[k : k + 32768]] * unit[j[k : k + 32768]]).sum(1) >= threshold for k in range(0, len(i), 32768)]
+        near = np.concatenate(near) if near else np.empty(0, bool)
+        i, j = i[near], j[near]
+        count, least = np.zeros(len(rep), np.int64), rep.copy()
         np.add.at(count, i, n[j])
         np.add.at(count, j, n[i])
-        while len(i):  # each row's edge goes to the least row that its links lead to
-            before = edge.copy()
-            np.minimum.at(edge, i, edge[j])
-            np.minimum.at(edge, j, edge[i])
-            edge = edge[edge]
-            if (edge == before).all():
+        while len(i):  # the least rep that each row's links lead to
+            before = least.copy()
+            np.minimum.at(least, i, least[j])
+            np.minimum.at(least, j, least[i])
+            if (least == before).all():
                 break
-    some = np.flatnonzero(count)
-    return rep[some], count[some], rep[edge[some]]
-
-
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """The links of each group of rows with equal keys; rows come sorted by key."""
-    held, made = None, []
+        some = np.flatnonzero(count)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (group[some], rep[some], count[some], least[some])], names=["group", "rep", "links", "other"])
 
-    def groups(data: pa.Table, last: bool):
-        keys = [data[c].to_numpy() for c in _KEY]
-        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        cuts = [0, *change.tolist(), *([data.num_rows] if last else [])]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                made.append(_group_links(data.slice(a, b - a), threshold))
-        return data.slice(cuts[-1])
-
-    def flush():
-        columns = [np.concatenate(c) for c in zip(*made)] if made else [np.empty(0, np.int64)] * 3
-        made.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "other"])
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        held = groups(held, False).combine_chunks()
-        yield flush()
-    if held is not None and held.num_rows:
-        groups(held, True)
-        yield flush()
+        raw = [np.array(v, np.float64).tobytes() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["group", "vec"])
 
 
-def near_embeddings(vectors: DataFrame, threshold: float = 0.93, bits: int | None = None) -> DataFrame:
+def near_embeddings(vectors: DataFrame, threshold: float = 0.93, bits: int = BITS) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is
@@ -175,44 +204,51 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, bits: int | Non
     components, and each of them counts among others' links; a null vec_id links with nothing and is
     kept.  Further columns are ignored.
 
-    bits: signs of a bucket; by default what spreads the rows over buckets of a few.
+    bits: signs of a bucket, the same whatever the table's size, so which pairs meet does not depend on it.
     """
-    base = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    base = vectors.select("vec_id", "label", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"))
     sound = "vec_id is not null and label is not null and embedding is not null and size(embedding) > 0"
     sound += " and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = save(base.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False))))
-    groups = save(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    if bits is None:
-        bits = max(8, min(24, math.ceil(math.log2(max(2, groups.count())))))
+    same = F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64(F.lit("b"), "embedding", "label").alias("b"))
+    rows = save(base.withColumn("same", F.when(F.coalesce(F.expr(sound), F.lit(False)), same)))
+    named = rows.where("same is not null")
+    groups = save(named.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("group", F.monotonically_increasing_id()))
+    one = named.join(small(groups), "same").where("vec_id = rep")  # a group's vector
+    if named.groupBy("vec_id").count().where("count > 1").limit(1).count():
+        one = one.dropDuplicates(["group"])
     tables = tables_needed(bits, threshold)
-    bucketed = save(
-        groups.select("rep", F.col("label").cast("string").alias("label"), "n", "embedding").mapInArrow(
-            lambda b: _bucketed(b, bits, tables), "rep long, label string, n long, vec binary, buckets array<long>"
+    coded = save(
+        one.select("group", "rep", "n", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(
+            lambda b: _coded(b, bits, tables), "group long, rep long, n long, kind long, code binary, factor double, buckets array<long>"
         )
     )
-    keys = bucketed.select("rep", "label", F.posexplode("buckets").alias("no", "bucket"))
-    shared = keys.groupBy("label", "no", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    wanted = save(
-        keys.join(shared, ["label", "no", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        .withColumn("block", F.expr("pmod(xxhash64(rep, 5), blocks)").cast("int"))
-    )
+    keys = coded.select("group", F.posexplode("buckets").alias("no", "bucket"))
+    shared = save(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     # Each row goes to every pair of blocks that its own block is part of.
-    placed = wanted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", "label", "no", "bucket", "block", F.least("block", "with").cast("int").alias("x"), F.greatest("block", "with").cast("int").alias("y")
+    placed = (
+        keys.join(small(shared), "bucket")
+        .withColumn("blocks", F.expr("cast(ceil(size / {0}) as int)".format(BLOCK)))
+        .withColumn("block", F.expr("cast(pmod(xxhash64(group, 5), blocks) as int)"))
+        .join(coded.select("group", "kind", "code"), "group")
+        .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("group", "kind", "code", "no", "bucket", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block")
     )
-    placed = placed.join(bucketed.select("rep", "label", "n", "vec", F.col("buckets").alias("earlier")), ["rep", "label"])
-    found = save(
-        placed.withColumn("label", F.xxhash64("label"))
-        .repartition(*_KEY)
-        .sortWithinPartitions(*_KEY)
-        .mapInArrow(lambda b: _linked(b, threshold), "rep long, links long, other long")
-    )
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    tied = rows.where("sound").join(groups, ["label", "embedding"]).select("vec_id", "rep", "n")
-    tied = save(tied)
+
+    def by_key(df: DataFrame, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        return save(df.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(lambda b: _by_key(b, lambda t: work(t, bits, threshold)), schema))
+
+    open_ = by_key(placed, _open, "group long, no int, bucket long, x int, y int, block int")
+    drop(shared)
+    some = small(save(open_.select("group").distinct()))
+    vecs = one.join(some, "group", "left_semi").select("group", "embedding").mapInArrow(_vectors, "group long, vec binary")
+    full = save(coded.drop("buckets").join(vecs, "group"))
+    found = by_key(open_.join(full, "group"), _links, "group long, rep long, links long, other long")
+    drop(full, open_)
+    counts = found.groupBy("group").agg(F.sum("links").alias("links"))
+    tied = save(named.join(small(groups), "same").select("vec_id", "group", "rep", "n"))
     edges = found.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(tied.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     tree = save(components(edges))
-    links = save(tied.join(counts, "rep", "left").groupBy("vec_id").agg(F.max(F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    links = save(tied.join(counts, "group", "left").groupBy("vec_id").agg(F.max(F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     return (
         rows.select("vec_id")
         .join(small(links), "vec_id", "left")
