@@ -124,6 +124,12 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), *batch.columns[4:]], names=names)
 
 
+def _lists(df: DataFrame) -> DataFrame:
+    """A table of places by text, to be joined with texts.  It grows with the corpus, and its lists more in
+    memory than in files, so it is never broadcast: both sides are dealt by key, its parts are hashed."""
+    return df.hint("shuffle_hash")
+
+
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
@@ -187,14 +193,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, fan: int = FAN, carry: Se
         rest = state.where("mixed and (not again or witness)").withColumn("open", F.expr("open and not again"))
         rest = save(rest.groupBy("key").agg(F.collect_list(F.struct("pos", "low", "high", "open")).alias("found")))
         ranked = save(
-            single.join(small(rest), "key").select("key", "text", "found").mapInArrow(lambda b, w=width: _next_ranks(b, length, w), _RANKED)
+            single.join(_lists(rest), "key").select("key", "text", "found").mapInArrow(lambda b, w=width: _next_ranks(b, length, w), _RANKED)
         )
         drop(rest)
     spans = None
     for rows in done:
         rows = rows.select("key", F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end")).alias("span"))
         spans = rows if spans is None else spans.unionByName(rows)
-    spans = small(save(spans.groupBy("key").agg(F.collect_list("span").alias("spans"))))
+    spans = _lists(save(spans.groupBy("key").agg(F.collect_list("span").alias("spans"))))
     return (
         texts.join(copies.select("key", F.lit(True).alias("copies")), "key", "left")
         .join(spans, "key", "left")
