@@ -1,18 +1,22 @@
 """License statements in texts: ordered signature rules over normalised words.
 
 A text becomes its words, lower-cased and divided by single blanks, and rules are regular expressions
-over that.  A rule runs only where its keyword stands in the text.  Detections overlap (a version's
-statement holds the license's name): one that lies inside another of the same or a higher priority is
-dropped.  All of it is column expressions inside one row; texts are neither shuffled nor exploded.
+over that (license_rules.py).  Rules share keywords: only texts that hold one are searched, once for
+each priority, by all its rules as ordered alternatives; the match then tells which rule it was.
+Detections overlap (a version's statement holds the license's name): one that lies inside another of
+the same or a higher priority is dropped.  All of it is column expressions inside one row; texts are
+neither shuffled nor exploded.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.llm.license_rules import Signature, gate, signatures
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What divides words: all ASCII but digits and lower-case letters.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -21,98 +25,40 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 
-@dataclass(frozen=True)
-class Signature:
-    """label where pattern matches; priority decides overlaps, confidence the score."""
-
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    confidence: float
-
-
-#: (label, keyword, names, versions) of licenses known by name.
-_NAMED = (
-    ("gpl", "gnu", r"gnu general public licen[sc]e", ("1", "2", "3")),
-    ("gpl", "gpl", r"gpl", ("1", "2", "3")),
-    ("lgpl", "gnu", r"gnu (?:lesser|library) general public licen[sc]e", ("2", "2 1", "3")),
-    ("lgpl", "lgpl", r"lgpl", ("2", "2 1", "3")),
-    ("agpl", "gnu", r"gnu affero general public licen[sc]e", ("1", "3")),
-    ("agpl", "agpl", r"agpl", ("1", "3")),
-    ("gfdl", "gnu", r"gnu free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", r"apache(?: software)? licen[sc]e", ("1 0", "1 1", "2 0", "2")),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", r"eclipse public licen[sc]e", ("1 0", "2 0")),
-    ("cddl", "common", r"common development and distribution licen[sc]e", ("1 0", "1 1")),
-    ("eupl", "european", r"european union public licen[sc]e", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", r"artistic licen[sc]e", ("1 0", "2 0")),
-    ("bsl", "boost", r"boost software licen[sc]e", ("1 0",)),
-    ("ms-pl", "microsoft", r"microsoft public licen[sc]e", ()),
-    ("ofl", "open", r"(?:sil )?open font licen[sc]e", ("1 0", "1 1")),
-    ("afl", "academic", r"academic free licen[sc]e", ("2 1", "3 0")),
-    ("odbl", "open", r"open database licen[sc]e", ("1 0",)),
-    ("mit", "mit", r"mit licen[sc]e", ()),
-    ("isc", "isc", r"isc licen[sc]e", ()),
-    ("zlib", "zlib", r"zlib licen[sc]e", ()),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?", ()),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd)(?: licen[sc]e)?", ()),
-    ("bsd", "bsd", r"bsd licen[sc]e", ()),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", ()),
-    ("wtfpl", "wtfpl", r"wtfpl", ("2",)),
-    ("python", "python", r"python software foundation licen[sc]e", ("2",)),
-    ("cc0", "cc0", r"cc0", ("1 0",)),
-)
-
-#: Creative Commons licenses: the clauses in names and in short forms, with versions.
-_CC = (("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by nc", "attribution non ?commercial"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"))
-_CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-
-#: Sentences that only one license has.
-_SENTENCES = (
-    ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", r"neither the name of .{1,120} nor the names of its contributors may be used to endorse"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
-    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("zlib", "alter", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it"),
-    ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public", r"(?:dedicated|released|placed) (?:in|in ?to|to) the public domain"),
-    ("proprietary", "reserved", r"all rights reserved"),
-    ("proprietary", "confidential", r"proprietary and confidential"),
-    ("cc0", "waived", r"has waived all copyright and related or neighboring rights"),
-)
-
-_UNDER = r"(?:licen[sc]ed|released|distributed|available|published|provided|offered) under (?:the )?(?:terms of )?(?:the |an? )?"
-_SPDX = r"spdx license identifier "
-
-
-def signatures() -> list[Signature]:
-    """All rules: for each name bare, versioned, stated and as an SPDX tag; then sentences."""
-    out = []
-    for label, keyword, name, versions in _NAMED:
-        forms = [(label, name)] + [(f"{label}-{v.replace(' ', '.')}", rf"{name}(?: v| version)? v?{v}") for v in versions]
-        for i, (full, form) in enumerate(forms):
-            tag = full.replace("-", " ").replace(".", " ")
-            out.append(Signature(full, keyword, form, 2 if i else 1, 0.8 if i else 0.6))
-            out.append(Signature(full, keyword, _UNDER + form, 3, 0.95 if i else 0.85))
-            out.append(Signature(full, "spdx", _SPDX + tag + "(?: only| or later)?", 4, 1.0))
-    for short, long in _CC:
-        label = "cc-" + short.replace(" ", "-")
-        for v in ("", *_CC_VERSIONS):
-            full = f"{label}-{v.replace(' ', '.')}" if v else label
-            end = f" {v}" if v else ""
-            for keyword, form in (("cc", rf"cc {short}{end}"), ("creative", rf"creative commons {long}(?: {v}| international| unported| licen[sc]e)*{end}")):
-                out.append(Signature(full, keyword, form, 2 if v else 1, 0.8 if v else 0.6))
-                out.append(Signature(full, keyword, _UNDER + form, 3, 0.95 if v else 0.85))
-            out.append(Signature(full, "spdx", _SPDX + f"cc {short}{end}", 4, 1.0))
-    out += [Signature(label, keyword, sentence, 4, 0.9) for label, keyword, sentence in _SENTENCES]
-    return out
+def lowered(text: Column) -> Column:
+    """A text with A-Z lowered, null as empty.  lower() does that and more; two letters beyond ASCII would
+    become ASCII ones, so texts that hold them are translated letter by letter."""
+    text = F.coalesce(text, F.lit(""))
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
+    return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def _places(rules: Sequence[Signature]) -> str:
+    """SQL for the places in norm where rules, all of one keyword and priority, match: s, ne (the end,
+    negative), np (the priority, negative), label, c."""
+    every = f"r'(?<= )(?:{'|'.join(r.pattern for r in rules)})(?= )'"
+    which = " ".join(f"when m.t rlike r'^(?:{r.pattern})$' then named_struct('label', '{r.label}', 'c', {r.confidence}D)" for r in rules)
+    return f"""if(norm rlike {every}, transform(transform(
+        aggregate(
+            zip_with(slice(split(norm, {every}, -1), 1, size(regexp_extract_all(norm, {every}, 0))), regexp_extract_all(norm, {every}, 0), (a, b) -> named_struct('skip', length(a), 't', b)),
+            named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,t:string>>)),
+            (acc, x) -> named_struct('at', acc.at + x.skip + length(x.t),
+                'out', array_append(acc.out, named_struct('s', acc.at + x.skip, 'e', acc.at + x.skip + length(x.t), 't', x.t))),
+            acc -> acc.out),
+        m -> named_struct('m', m, 'r', case {which} end)),
+        x -> named_struct('s', x.m.s, 'ne', -x.m.e, 'np', -{rules[0].priority}, 'label', x.r.label, 'c', x.r.c)), {_NONE})"""
+
+
+_NONE = "cast(array() as array<struct<s:int,ne:int,np:int,label:string,c:double>>)"
+
+
+def _found(rules: Sequence[Signature]) -> str:
+    """SQL for all places of all rules, keyword by keyword."""
+    by: dict[str, dict[int, list[Signature]]] = {}
+    for r in rules:
+        by.setdefault(r.keyword, {}).setdefault(r.priority, []).append(r)
+    each = (f"if(contains(norm, '{keyword}'), concat({', '.join(map(_places, of.values()))}), {_NONE})" for keyword, of in by.items())
+    return f"concat({', '.join(each)})"
 
 
 def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None) -> DataFrame:
@@ -122,20 +68,23 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None) -> Data
     Words are runs of a-z, 0-9 and all beyond ASCII, after A-Z are lowered.  n_base counts the places
     of BASE phrases, first_word and last_word their least and greatest first word, from 0.  labels adds
     those of detections that no other suppresses; n_found counts these, score is the confidence of the
-    surest.  Of equal intervals of equal priority the lesser label stays.  A null text is empty;
+    surest.  Of equal intervals of equal priority the lesser label stays; of rules with one keyword and
+    priority the first that matches at a place is the one detected.  A null text is empty;
     null ids and repeated rows are passed on; further columns are ignored.  Narrow: no shuffle.
     """
     rules = signatures() if rules is None else rules
-    lower = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    words = F.trim(F.regexp_replace(lower, _BETWEEN, " "))
+    words = F.trim(F.regexp_replace(lowered(F.col("text")), _BETWEEN, " "))
     norm = docs.select("doc_id", words.alias("norm")).select(
         "doc_id", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("norm"), (F.col("norm") == "").alias("empty")
     )
+    # Base phrases and rules are looked for only where a word begins one of the keywords.
+    keywords = [*(r.keyword for r in rules), *(phrase for phrase, _ in BASE)]
+    norm = norm.select("*", F.col("norm").rlike(gate(keywords)).alias("gate"))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     has = {phrase: F.contains("norm", F.lit(f" {phrase} ")) for phrase, _ in BASE}
 
     def base(phrase: str, column) -> F.Column:
-        return F.when(has[phrase], column)
+        return F.when(F.col("gate") & has[phrase], column)
 
     columns = {"n_words": F.when(F.col("empty"), 0).otherwise(blanks(F.col("norm")) - 1).cast("long")}
     columns["n_base"] = sum((F.coalesce(base(p, F.regexp_count("norm", F.lit(f"(?<= ){p}(?= )"))), F.lit(0)) for p, _ in BASE), F.lit(0)).cast("long")
@@ -145,24 +94,6 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None) -> Data
     columns["last_word"] = F.greatest(*(base(p, end(p)) for p, _ in BASE)).cast("long")
     columns["base_list"] = F.array_compact(F.array(*(base(p, F.lit(label)) for p, label in BASE)))
 
-    # The rule table is a literal of a few hundred structs; keyword tests come before any expression.
-    quoted = lambda s: "r'" + s + "'"
-    literal = ", ".join(
-        f"named_struct('label', {quoted(r.label)}, 'key', {quoted(f' {r.keyword} ')}, 'rx', {quoted(f'(?<= ){r.pattern}(?= )')}, 'p', {r.priority}, 'c', {r.confidence}D)" for r in rules
-    )
-    keys = "|".join(sorted({r.keyword for r in rules}))
-    gate = F.col("norm").rlike(f" (?:{keys}) ")
-    found = F.expr(
-        f"""flatten(transform(filter(array({literal}), r -> contains(norm, r.key) and norm rlike r.rx), r -> transform(
-            aggregate(
-                zip_with(slice(split(norm, r.rx, -1), 1, size(regexp_extract_all(norm, r.rx, 0))), regexp_extract_all(norm, r.rx, 0),
-                    (a, b) -> named_struct('skip', length(a), 'len', length(b))),
-                named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int>>)),
-                (acc, x) -> named_struct('at', acc.at + x.skip + x.len,
-                    'out', array_append(acc.out, named_struct('s', acc.at + x.skip, 'e', acc.at + x.skip + x.len))),
-                acc -> acc.out),
-            m -> named_struct('s', m.s, 'ne', -m.e, 'np', -r.p, 'label', r.label, 'c', r.c))))"""
-    )
     kept = F.expr(
         """aggregate(array_sort(found),
             named_struct('ends', array(0, 0, 0, 0), 'labels', cast(array() as array<string>), 'score', 0D, 'n', 0L),
@@ -174,8 +105,8 @@ def scan_licenses(docs: DataFrame, rules: list[Signature] | None = None) -> Data
     )
     empty = F.expr("cast(array() as array<string>)")
     return (
-        norm.select("doc_id", "norm", *(c.alias(n) for n, c in columns.items()))
-        .withColumn("found", F.when(gate, found))
+        norm.select("doc_id", "norm", "gate", *(c.alias(n) for n, c in columns.items()))
+        .withColumn("found", F.when(F.col("gate"), F.expr(_found(rules))))
         .drop("norm")
         .withColumn("kept", kept)
         .select(

@@ -137,7 +137,7 @@ def test_fit_orders_grades():
 
 
 def scanned(text):
-    """All rules on all of a text, one after the other."""
+    """All rules on all of a text, keyword by keyword and priority by priority, without any gate."""
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     norm = f" {' '.join(words)} "
@@ -145,7 +145,14 @@ def scanned(text):
     for phrase, label in BASE:
         p = phrase.split()
         base += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
-    found = [(m.start(), m.end(), s, i) for i, s in enumerate(signatures()) for m in re.finditer(f"(?<= ){s.pattern}(?= )", norm)]
+    groups = {}
+    for i, s in enumerate(signatures()):
+        groups.setdefault((s.keyword, s.priority), []).append((i, s))
+    found = []
+    for rules in groups.values():
+        for m in re.finditer(f"(?<= )(?:{'|'.join(s.pattern for _, s in rules)})(?= )", norm):
+            assert rules[0][1].keyword in m[0]
+            found.append((*m.span(), *next((s, i) for i, s in rules if re.fullmatch(s.pattern, m[0]))))
     kept = []
     for a, b, s, i in found:
         rank = lambda z: (-z[2].priority, z[2].label, z[2].confidence, z[3])
@@ -162,6 +169,10 @@ LICENSES = [
     "CC BY CC-BY cc by-nc 4.0, Licensed under CC BY-SA 3.0", "SPDX-License-Identifier: GPL-3.0-or-later\n// apache license apache license", "Creative Commons Attribution ShareAlike 4.0",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "Neither the name of the Foo Inc. nor the names of its contributors may be used to endorse it",
     "All rights reserved. all rights reserved", "École MIT Licence mit licensee", "boost software license 1.0; distributed under the Boost Software License, Version 1.0", "cc0 1.0 cc0", "x " * 300 + "mit license " * 40,
+    "Dual licensed under Apache 2.0 or MIT; apache license v2.0 with LLVM exception", "you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPLv2.1, GPLv3 and AGPL v3", "released under the BSD 3-Clause License (New BSD), 0BSD, BSD-style license", "placed in the public domain; no part of this book may be reproduced",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/ http://www.gnu.org/licenses/gpl-3.0.html https://opensource.org/licenses/MIT", "\u212a mit licence MIT LICENSE \u0130 CC BY",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "This is free and unencumbered software released into the public domain. unlicense.org", "mit der Lizenz", "sublicense gplx",
 ]
 
 
@@ -174,6 +185,20 @@ def test_licenses(make):
         assert got == scanned(text), text
 
 
+def test_every_rule_has_its_keyword_and_can_match(make):
+    """A text written from each expression is detected by it or by one before it."""
+    texts = []
+    for s in signatures():
+        text = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", s.pattern))
+        text = text.replace("[cs]", "c").replace("[sz]", "s").replace("[1234] [05]", "4 0").replace("[123]", "3").replace("[23]", "3").replace("[^ ]{1,4}", "xyz").replace("[^ ]+ {1,20}", "some ")
+        text = re.sub(r"(.)\?", r"\1", text)
+        assert re.fullmatch(s.pattern, text), s.pattern
+        texts.append(text)
+    rows = {r["doc_id"]: r for r in scan_licenses(make(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i]["n_found"] >= 1 and (rows[i]["labels"], rows[i]["n_found"]) == (scanned(text)[5], scanned(text)[7]), text
+
+
 def test_license_overlaps(make):
     rules = [Signature("inner", "b", "b", 1, 0.5), Signature("outer", "a", "a b c", 1, 0.6), Signature("strong", "b", "b c", 3, 0.9)]
     x = scan_licenses(make([(1, "a b c"), (1, "a b c"), (None, "b")]), rules).collect()
