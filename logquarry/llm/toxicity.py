@@ -1,9 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word counts.
 
 One weight vector serves all thresholds: P(grade > j) = sigmoid(w . x - theta_j), theta rising with j.
-The prediction is the expected grade.  Labels say only toxic or not, so training grades come from the
-label and from evidence words, which are those that labelled toxic rows use and clean rows do not:
-0 clean, 1 labelled toxic without evidence (a mild or doubtful case), 2 some evidence, 3 much of it.
+The prediction is the expected grade; a text's grade is that, rounded, and it is toxic from grade 1 on.
+Labels say only toxic or not, so training grades come from the label and from evidence words, which are
+those that labelled toxic rows use and clean rows do not: 0 clean, 1 labelled toxic without evidence (a
+mild or doubtful case), 2 some evidence, 3 much of it.
 """
 
 from __future__ import annotations
@@ -57,12 +58,10 @@ def feature_counts(text: bytes) -> Counter:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """weights of features, rising thresholds, the expected grade from which a text is toxic, and how
-    many rows labelled clean and toxic it was fitted on."""
+    """weights of features, rising thresholds, and how many rows labelled clean and toxic it was fitted on."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
-    limit: float = 0.6
     rows_used: tuple[int, int] = (0, 0)
 
     def above(self, counts: Counter) -> list[float]:
@@ -188,8 +187,8 @@ def _graded(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[
             n.append(len(counts))
             tops.append([round(p, 6) for p in above])
             expected.append(round(sum(above), 6))
-        grade = [sum(p >= 0.5 for p in above) for above in tops]
-        toxic = [e >= model.limit for e in expected]
+        grade = [int(e + 0.5) for e in expected]
+        toxic = [g > 0 for g in grade]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -210,7 +209,8 @@ SCHEMA = "doc_id long, n_known_features long, p_above array<double>, expected_se
 
 def severity(docs: DataFrame, model: OrdinalModel, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_known_features, p_above (P(grade > j)),
-    expected_severity, grade, toxic, kept; the columns named by carry come in a struct, carried.
+    expected_severity, grade (that, rounded), toxic (grade 1 or more), kept; the columns named by carry
+    come in a struct, carried.
 
     A null or empty text scores as one without known features.  Null ids and repeated rows are passed
     on, further columns ignored.  Narrow: no shuffle; the model has a bounded number of features.

@@ -1,5 +1,6 @@
 """Operators that judge rows by themselves: quality, toxicity, licenses."""
 
+import math
 import random
 import re
 import string
@@ -100,6 +101,29 @@ def test_toxicity_on_held_out_rows(make):
     assert again.weights.keys() == model.weights.keys()
 
 
+def test_toxicity_against_brute_force(make):
+    """The fitted model's grades of all texts, feature by feature; very long, null and repeated ones too."""
+    docs, labels = labelled(3, 400)
+    docs += [(400, " ".join(t for _, t in docs[:200]) * 20), (401, None), (402, "?!"), (5, docs[5][1])]
+    model = train_on_labels(make(docs), make(labels, "doc_id long, toxic int"))
+    got = sorted((x["doc_id"], x["n_known_features"], x["grade"], x["toxic"], x["kept"], round(x["expected_severity"], 4)) for x in severity(make(docs), model).collect())
+    want = []
+    for doc_id, text in docs:
+        times = {}
+        for word in re.findall(r"\w+", (text or "").lower()):
+            for f in [word] + [word[:n] + "-" for n in (4, 5, 6) if len(word) > n]:
+                times[f] = times.get(f, 0) + 1
+        known = [f for f in times if f in model.weights]
+        score = sum(model.weights[f] * (1 + math.log(times[f])) for f in known)
+        expected = sum(1 / (1 + math.exp(min(50, max(-50, t - score)))) for t in model.thresholds)
+        grade = int(expected + 0.5)
+        want.append((doc_id, len(known), grade, grade > 0, grade == 0, round(expected, 4)))
+    assert [g[:5] for g in got] == [w[:5] for w in sorted(want)]
+    assert all(abs(g[5] - w[5]) < 2e-4 for g, w in zip(got, sorted(want)))
+    extra = make([(1, "vile vile", "x", 1, 2)], "doc_id long, text string, grade string, word int, kept int")
+    assert severity(extra, model).columns[-1] == "kept"
+
+
 def test_toxicity_edges(make):
     model = OrdinalModel({"vile": 9.0}, (4.0, 5.0, 6.0))
     rows = severity(make([(1, None), (2, ""), (None, "VILE!"), (2, "fine")]), model).collect()
