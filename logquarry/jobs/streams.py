@@ -61,6 +61,13 @@ def q_stream_correlation(spark, d):
     return _ran(spark, op.correlation_stream(failures, ["user_id"], 86_400), "update").where("n >= 2").select("event_id", "source", "user_id", "n")
 
 
+@query(f"""with {EV_SQL}, m as (select *, coalesce(case when event_id % 9 <> 0 then port end, 'none') as v from ev where action <> 'view') select e.event_id, e.source, e.user_id, count(distinct p.v) as n
+    from m e join m p on p.source = e.source and p.user_id = e.user_id and p.event_id <= e.event_id and p.us between e.us - 86400000000 and e.us group by all having count(distinct p.v) >= 2""")
+def q_stream_value_correlation(spark, d):
+    rows = event_stream(spark, d).where("action <> 'view'").select("event_id", "source", "user_id", "at", F.when(F.col("event_id") % 9 != 0, F.col("port")).alias("port"))
+    return _ran(spark, op.correlation_stream(rows, ["user_id"], 86_400, field="port"), "update").where("n >= 2").select("event_id", "source", "user_id", "n")
+
+
 SESSION_SQL = f"""{alerting.HITS_SQL}, marked as (select *, case when us - 86400000000 > lag(us) over w or lag(us) over w is null then 1 else 0 end as fresh from hits window w as (partition by source, user_id order by us)),
     islands as (select *, sum(fresh) over (partition by source, user_id order by us, event_id) as no from marked) select source, user_id, min(us) as first_us, max(us) as last_us, count(*) as n from islands group by source, user_id, no"""
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.sources.sinks import LEVELS
@@ -12,7 +15,31 @@ STATUSES = ("new", "acknowledged", "closed_tp", "closed_fp", "resolved")
 KEY = ("kind", "rule_id", "source", "group_key")
 
 
-def dedup(hits: DataFrame, minutes: int = 60, closed: DataFrame | None = None) -> DataFrame:
+#: Event ids of a block of a key's history.
+_BLOCK = 1 << 20
+
+
+def _running(rows: DataFrame, key: Sequence[str], value: Column, how: Callable[[Column | str], Column], name: str, inclusive: bool, block: int = _BLOCK) -> DataFrame:
+    """rows with name: how (a sum or maximum) of value over a key's rows up to each, by event_id; the row
+    itself belongs to them if inclusive.
+
+    A key's history is cut into blocks of ids.  Blocks are summed up first; only these sums, one row for each
+    block, are run through in order, so that no key is worked off by a single task.
+    """
+    cut = rows.withColumn("_value", value).withColumn("_block", F.floor(F.col("event_id") / block))
+    same = [*key, "_block"]
+    order = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*same).agg(how("_value").alias("_of")).withColumn("_before", how("_of").over(order)).drop("_of")
+    before = before.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(same)), "_before")
+    # At one id a hit comes before what closes its alert.
+    inside = Window.partitionBy(*same).orderBy("event_id", *(["_closed"] if "_closed" in rows.columns else [])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    both = F.array_compact(F.array("_before", how("_value").over(inside)))
+    joined = cut.join(before, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(same))))
+    total = F.array_max(both) if how is F.max else F.aggregate(both, F.lit(0).cast("long"), lambda a, b: a + b)
+    return joined.withColumn(name, total).select(*rows.columns, name)
+
+
+def dedup(hits: DataFrame, minutes: int = 60, closed: DataFrame | None = None, block: int = _BLOCK) -> DataFrame:
     """Alerts folded from hits (kind, rule_id, source, group_key, event_id, at, n): key, alert_no,
     first_seen, last_seen, count, first_event.
 
@@ -20,18 +47,18 @@ def dedup(hits: DataFrame, minutes: int = 60, closed: DataFrame | None = None) -
     most ``minutes`` before it (or after it); otherwise it opens one.  count adds 1 for each hit, or is
     the largest n where hits have one.  closed (key, event_id) closes what is open when that event has
     arrived.  Alerts are islands: a running maximum decides where one starts, and nothing loops.
+
+    block: event ids of a stretch of history that one task runs through.
     """
-    rows = hits.withColumn("_closed", F.lit(False))
-    if closed is not None:
-        marks = closed.select(*KEY, "event_id", F.lit(True).alias("_closed"))
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy(*KEY).orderBy("event_id", "_closed")
-    rows = rows.withColumn("_era", F.sum(F.col("_closed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("not _closed")
-    past = Window.partitionBy(*KEY, "_era").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    us = F.unix_micros("at")
-    starts = F.coalesce(us - minutes * 60_000_000 > F.max(us).over(past), F.lit(True)).cast("int")
-    whole = Window.partitionBy(*KEY).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    islands = rows.withColumn("_new", starts).withColumn("alert_no", F.sum("_new").over(whole))
+    rows, us = hits, F.unix_micros("at")
+    if closed is None:
+        rows = rows.withColumn("_era", F.lit(0).cast("long"))
+    else:
+        rows = rows.withColumn("_closed", F.lit(False)).unionByName(closed.select(*KEY, "event_id", F.lit(True).alias("_closed")), allowMissingColumns=True)
+        rows = _running(rows, KEY, F.col("_closed").cast("long"), F.sum, "_era", True, block).where("not _closed")
+    rows = _running(rows, [*KEY, "_era"], us, F.max, "_last", False, block)
+    starts = F.coalesce(us - minutes * 60_000_000 > F.col("_last"), F.lit(True)).cast("long")
+    islands = _running(rows, KEY, starts, F.sum, "alert_no", True, block)
     return islands.groupBy(*KEY, "alert_no").agg(
         F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.coalesce(F.max("n"), F.count(F.lit(1))).alias("count"), F.min("event_id").alias("first_event")
     )

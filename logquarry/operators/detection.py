@@ -45,9 +45,18 @@ def with_groups(matches: DataFrame, group: Sequence[str]) -> DataFrame:
     return matches.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
-def _frame(group: Sequence[str], span: int, key: Sequence[str]) -> tuple:
-    """The window of span seconds up to a row, both ends included."""
-    return Window.partitionBy(*key, *group).orderBy(F.unix_micros("at")).rangeBetween(-span * 1_000_000, 0)
+_US = 1_000_000
+
+
+def _chunked(rows: DataFrame, span: int) -> DataFrame:
+    """rows twice: with _chunk, the stretch of span seconds that they lie in (_own), and for the next stretch.
+
+    What lies in the span seconds up to a row has the row's own _chunk, so a key's history is dealt out by
+    time and none of it meets in one task.
+    """
+    chunk = F.floor(F.unix_micros("at") / (max(span, 1) * _US))
+    both = F.array(F.struct(chunk.alias("_chunk"), F.lit(True).alias("_own")), F.struct((chunk + 1).alias("_chunk"), F.lit(False).alias("_own")))
+    return rows.withColumn("_c2", F.explode(both)).select(*rows.columns, "_c2.*")
 
 
 def event_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",)) -> DataFrame:
@@ -57,8 +66,9 @@ def event_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequen
     """
     found = with_groups(matches, group)
     by = [*key, *group, "at"]
-    each = found.groupBy(*by).agg(F.count(F.lit(1)).alias("_c"))
-    summed = each.withColumn("n", F.sum("_c").over(_frame(group, span, key))).drop("_c")
+    each = _chunked(found.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")), span)
+    frame = Window.partitionBy(*key, *group, "_chunk").orderBy(F.unix_micros("at")).rangeBetween(-span * _US, 0)
+    summed = each.withColumn("n", F.sum("_c").over(frame)).where("_own").select(*by, "n")
     return found.join(summed, by)
 
 
@@ -66,26 +76,39 @@ def value_count(matches: DataFrame, group: Sequence[str], field: str, span: int,
     """matches with n: how many distinct values of field (a missing one counts as one value) lie in the
     span seconds up to each.
 
-    Repeats of a value at one instant go first.
+    Repeats of a value at one instant go first.  A value then counts from each of its instants until it comes
+    again or the span is over, so a running sum of beginnings and ends gives n; no window holds values.
     """
     found = with_groups(matches, group)
     by = [*key, *group, "at"]
     value = F.coalesce(F.to_json(F.struct(F.col(field).alias("v"))), F.lit("null"))
-    each = found.select(*by, value.alias("_v")).distinct()
-    counted = each.withColumn("n", F.size(F.collect_set("_v").over(_frame(group, span, key))).cast("long")).select(*by, "n").distinct()
+    each = _chunked(found.select(*by, F.xxhash64(value).alias("_v"), value.alias("_text")).distinct(), span)
+    part = [*key, *group, "_chunk"]
+    us = F.unix_micros("at")
+    again = F.lead(us).over(Window.partitionBy(*part, "_v", "_text").orderBy("at"))
+    over = F.least(F.coalesce(again, us + span * _US + 1), us + span * _US + 1)
+    steps = F.array(F.struct(us.alias("us"), F.lit(1).alias("by"), F.col("_own").alias("own")), F.struct(over.alias("us"), F.lit(-1).alias("by"), F.lit(False).alias("own")))
+    step = each.withColumn("_s", steps).select(*part, "at", F.explode("_s").alias("_s"))
+    frame = Window.partitionBy(*part).orderBy("_s.us").rangeBetween(Window.unboundedPreceding, 0)
+    counted = step.withColumn("n", F.sum("_s.by").over(frame)).where("_s.own").select(*by, "n").distinct()
     return found.join(counted, by)
 
 
 def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",), arrived: str = "event_id") -> DataFrame:
-    """Like event_count(), counting only matches that had arrived (by ``arrived``) when each one came."""
+    """Like event_count(), counting only matches that had arrived (by ``arrived``) when each one came.
+
+    A match meets those of its stretch of time and the one before it, not all of its key.
+    """
     found = with_groups(matches, group)
-    same = [*key, *group]
-    past = found.select(*same, F.col("at").alias("_at"), F.col(arrived).alias("_id"))
-    low = F.timestamp_micros(F.unix_micros("at") - span * 1_000_000)
+    same = [*key, *group, "_chunk"]
+    near = _chunked(found, span)
+    past = near.select(*same, F.col("at").alias("_at"), F.col(arrived).alias("_id"))
+    low = F.timestamp_micros(F.unix_micros("at") - span * _US)
     return (
-        found.join(past, same)
+        near.where("_own")
+        .join(past, same)
         .where((F.col("_id") <= F.col(arrived)) & F.col("_at").between(low, F.col("at")))
-        .groupBy(*[c for c in found.columns])
+        .groupBy(*found.columns)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -95,16 +118,25 @@ def fired(counted: DataFrame, op: str, limit: int) -> DataFrame:
     return counted.where(COMPARE[op](F.col("n"), F.lit(limit)))
 
 
-def backtest(events: DataFrame, rules: Sequence[Rule], hours: int | None = None, limit: int | None = 20_000) -> DataFrame:
+def backtest(events: DataFrame, rules: Sequence[Rule], hours: int | None = None, limit: int | None = 20_000, ids: int | None = None) -> DataFrame:
     """rule_id, kind (base or rule), n, event_ids of matches in the latest events (by event_id, and within
-    hours of the newest if given); rules without matches are there with none."""
+    hours of the newest if given); rules without matches are there with none.
+
+    ids: how many event ids of a rule are kept, the first ones; give it where limit is None, as a rule's
+    matches then grow with the table.
+    """
     picked = events.orderBy(F.desc("event_id")).limit(limit) if limit else events
     if hours is not None:
         newest = events.agg(F.max("at").alias("_max"))
         picked = picked.join(F.broadcast(newest)).where(F.unix_micros("at") >= F.unix_micros("_max") - hours * 3_600_000_000)
     bases = {b for r in rules if r.correlation for b in r.correlation.get("rules", ())}
     known = events.sparkSession.createDataFrame([(r.id, "base" if r.id in bases else "rule") for r in rules if r.test is not None], "rule_id string, kind string")
-    found = match_rules(picked, rules, ("event_id",)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+    found = match_rules(picked, rules, ("event_id",))
+    sizes = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids is not None:  # the first ones of each rule; a rule that matches everywhere is no list of everything
+        order = Window.partitionBy("rule_id").orderBy("event_id")
+        found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= ids)
+    found = sizes.join(found.groupBy("rule_id").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids")), "rule_id")
     return F.broadcast(known).join(found, "rule_id", "left").select(
         "rule_id", "kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("event_ids", F.expr("cast(array() as array<bigint>)")).alias("event_ids")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -38,13 +39,14 @@ def matches_stream(events: DataFrame, rules: Sequence[Rule], keep: Sequence[str]
     return match_rules(events, rules, keep)
 
 
-def correlation_stream(matches: DataFrame, group: Sequence[str], span: int, late: str = "1 hour") -> DataFrame:
+def correlation_stream(matches: DataFrame, group: Sequence[str], span: int, late: str = "1 hour", field: str | None = None) -> DataFrame:
     """A stream of matches (event_id, source, at, group) with n: how many matches of the same sender and
-    group that had arrived lie in the span seconds up to each.
+    group that had arrived lie in the span seconds up to each, or how many distinct values of field they
+    have (a missing one counts as a value).
 
-    State is the arrival-ordered times of a key that the watermark can still reach, so it shrinks with
-    time; a key without matches for that long is dropped.  Matches that arrive later than ``late`` are
-    dropped by the watermark: the documented difference to the batch form.
+    State is a key's matches that the watermark can still reach, sorted by time, so it shrinks with time; a
+    key without matches for that long is dropped.  Matches that arrive later than ``late`` are dropped by
+    the watermark: the documented difference to the batch form.
     """
     keys = ["source", *group]
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
@@ -54,20 +56,23 @@ def correlation_stream(matches: DataFrame, group: Sequence[str], span: int, late
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
+        times, values = map(list, state.get) if state.exists else ([], [])
         out = []
         for frame in sorted_frames(frames):
-            for event_id, us in zip(frame["event_id"], frame["us"]):
-                times.append(int(us))
-                out.append((*key, int(event_id), sum(us - span * 1_000_000 <= t <= us for t in times)))
-        reach = state.getCurrentWatermarkMs() * 1000 - span * 1_000_000
-        times = [t for t in times if t >= reach]
-        state.update((times,))
+            for event_id, us, value in zip(frame["event_id"], frame["us"], frame["value"]):
+                at = bisect_right(times, us)
+                times.insert(at, int(us))
+                values.insert(at, value)
+                first = bisect_left(times, us - span * 1_000_000)
+                out.append((*key, int(event_id), len(set(values[first : at + 1])) if field else at + 1 - first))
+        gone = bisect_left(times, state.getCurrentWatermarkMs() * 1000 - span * 1_000_000)
+        state.update((times[gone:], values[gone:]))
         state.setTimeoutTimestamp(max(max(times, default=0) // 1000 + span * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*keys, "event_id", "n"])
 
-    rows = matches.withWatermark("at", late).withColumn("us", F.unix_micros("at")).select(*keys, "event_id", "us", "at")
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    value = F.coalesce(F.to_json(F.struct(F.col(field).alias("v"))), F.lit("null")) if field else F.lit("")
+    rows = matches.withWatermark("at", late).withColumn("us", F.unix_micros("at")).withColumn("value", value).select(*keys, "event_id", "us", "value", "at")
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>, values array<string>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def sorted_frames(frames: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:

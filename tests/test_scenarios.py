@@ -147,6 +147,38 @@ def test_refused_envelopes(spark):
     assert bad.count() == 4
 
 
+def test_counts_and_alerts_by_stretches_of_time(spark):
+    """Windows and islands across the edges of stretches and blocks, against loops over all rows."""
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), r.choice(["x", "y", None]), T0 + timedelta(seconds=r.randint(0, 900), microseconds=r.choice([0, 0, 1])), r.choice(["1", "2", "3", None])) for i in range(250)]
+    df = spark.createDataFrame(rows, "event_id long, source string, ip string, at timestamp, port string")
+    span = timedelta(seconds=60)
+    past = {e[0]: [p for p in rows if p[1:3] == e[1:3] and e[3] - span <= p[3] <= e[3]] for e in rows if e[2]}
+    for found, want in (
+        (detection.event_count(df, ["ip"], 60), {i: len(p) for i, p in past.items()}),
+        (detection.value_count(df, ["ip"], "port", 60), {i: len({x[4] for x in p}) for i, p in past.items()}),
+        (detection.live_count(df, ["ip"], 60), {i: sum(x[0] <= i for x in p) for i, p in past.items()}),
+    ):
+        assert sorted((x["event_id"], x["n"]) for x in found.collect()) == sorted(want.items())
+    hits = df.select(F.lit("rule").alias("kind"), F.lit("r").alias("rule_id"), "source", F.col("ip").alias("group_key"), "event_id", "at", F.lit(None).cast("long").alias("n"))
+    closed = hits.where("event_id % 40 = 7").drop("at", "n")
+    columns = [*alerts.KEY, "alert_no", "first_seen", "last_seen", "count", "first_event"]
+    for marks in (None, closed):
+        whole, cut = (sorted((tuple(x[c] for c in columns) for x in alerts.dedup(hits, 1, marks, block).collect()), key=str) for block in (1 << 20, 9))
+        assert whole == cut and len(whole) > 20
+    open_, want = {}, []
+    for i, source, ip, at, _ in rows:  # one after the other
+        last = open_.get((source, ip))
+        if last and at - timedelta(minutes=1) <= last[1]:
+            last[1], last[2] = max(last[1], at), last[2] + 1
+        else:
+            open_[source, ip] = last = [i, at, 1]
+            want.append(last)
+    assert sorted((x["first_event"], x["last_seen"].replace(tzinfo=timezone.utc), x["count"]) for x in alerts.dedup(hits, 1, None, 9).collect()) == sorted(map(tuple, want))
+
+
 LINES = {
     "dns query from anna-pc to nas.home.lan": ["fqdn:nas.home.lan"],
     'devname="fw-edge" srcip=192.0.2.44 user="j.doe" action=deny': ["host:fw-edge", "ipv4:192.0.2.44", "user:j.doe"],
