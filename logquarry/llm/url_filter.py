@@ -113,11 +113,13 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damp
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("into"))
     links = save(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")))
-    ranks = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    ranks = save(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
     last = None
     for _ in itertools.count() if rounds is None else range(rounds):
-        trust = links.join(ranks, links["src"] == ranks["host"]).where("trust > 0").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        distrust = links.join(ranks, links["dst"] == ranks["host"]).where("distrust > 0").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
+        # Both sides are written tables: where ranks are too many to be broadcast, a hub's edges are split by skew.
+        of = small(ranks)
+        trust = links.join(of, F.col("src") == F.col("host")).where("trust > 0").select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
+        distrust = links.join(of, F.col("dst") == F.col("host")).where("distrust > 0").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         gained = trust.unionByName(distrust).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         mix = lambda seed, gain: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(gain, F.lit(0.0))
         new = save(seeds.join(gained, "host", "left").select("host", mix("good", F.col("t")).alias("trust"), mix("bad", F.col("d")).alias("distrust")))

@@ -8,7 +8,9 @@ from collections import Counter
 
 import pytest
 import xxhash
+import zstandard
 
+from logquarry.llm import quality as quality_rules
 from logquarry.llm.license_scan import BASE, Signature, scan_licenses, signatures
 from logquarry.llm.quality import quality
 from logquarry.llm.toxicity import OrdinalModel, fit, severity, train_on_labels
@@ -51,6 +53,34 @@ def test_quality(make):
     assert len(twice) == 3
 
 
+def verdict_of(text):
+    """The verdict of a text, with ratios from the compressor itself."""
+    data = (text or "").encode()
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    n_words, *_, failed = counts(text)
+    if failed:
+        return "few words" if n_words < 50 else "repeated phrases"
+    n = max(1, (len(data) + quality_rules.CHUNK // 2) // quality_rules.CHUNK) if len(data) >= quality_rules.CHUNK // 2 else 0
+    pieces = [data[i * quality_rules.CHUNK : (i + 1) * quality_rules.CHUNK if i < n - 1 else None] for i in range(n)]
+    judged = [(ratio(data), *max((b for b in quality_rules.WHOLE_BANDS if b[0] <= len(data)))[1:])]
+    judged += [(ratio(p), *max((b for b in quality_rules.CHUNK_BANDS if b[0] <= len(p)))[1:]) for p in pieces]
+    if any(x > most for x, _, most in judged):
+        return "repetitive"
+    return "incompressible" if any(x < least for x, least, _ in judged) else "kept"
+
+
+def test_verdicts_against_brute_force(make):
+    r = random.Random(12)
+    noise = lambda n: " ".join("".join(r.choice(PRINTABLE) for _ in range(6)) for _ in range(n // 7))
+    texts = [*TEXTS, prose(r, 60) + " " + "zzzzz" * 4000]
+    for size in (300, 1000, 2040, 2048, 2060, 4096, 5000, 6143, 6144, 8192, 10239, 10240, 40000):
+        texts += [prose(r, size // 6)[:size], noise(size)[:size], prose(r, size // 6)[: size // 2] + " " + noise(size // 2), (prose(r, 70) + "\n") * (size // 300 + 1)]
+        texts.append(prose(r, size // 6)[:size] + noise(1900))  # noise in a rest shorter than half a chunk
+    got = {x["doc_id"]: x["verdict"] for x in quality(make(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == [verdict_of(t) for t in texts]
+    assert {"kept", "incompressible", "repetitive"} <= set(got.values())
+
+
 BASE64, PRINTABLE = string.ascii_letters + string.digits + "+/", "".join(map(chr, range(33, 127)))
 
 
