@@ -28,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 WHOLE_BANDS = (
     (0, 1.18, 3.4), (256, 1.22, 3.4), (384, 1.26, 3.4), (512, 1.36, 3.4), (768, 1.38, 3.4), (1024, 1.42, 4.0), (2048, 1.5, 4.0), (4096, 1.7, 4.6), (16384, 1.7, 5.2),
 )
-#: Bytes of a chunk, and bands of chunks; a shorter rest is judged from half that on.
+#: Bytes of a chunk, and bands of chunks by their bytes; a last one has half to one and a half of that.
 CHUNK, CHUNK_BANDS = 4096, ((2048, 1.5, 4.4), (4096, 1.7, 4.4))
 
 SCHEMA = (
@@ -60,6 +60,13 @@ def _band(bands: tuple, size: int) -> tuple[float, float]:
     return next((a, b) for start, a, b in reversed(bands) if size >= start)
 
 
+def chunks_of(data: bytes) -> list[bytes]:
+    """All of data in chunks; a rest below half a chunk belongs to the one before it.  Shorter data is one
+    chunk from half of one on, and is judged as a whole only below that."""
+    starts = list(range(0, max(len(data) - CHUNK // 2, 0) + 1, CHUNK)) if len(data) >= CHUNK // 2 else []
+    return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
+
+
 def judge(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     """The columns of SCHEMA after doc_id for one text."""
     words = data.split()
@@ -73,7 +80,7 @@ def judge(data: bytes, packer: zstandard.ZstdCompressor) -> tuple:
     verdict = "few words" if n < 50 else "repeated phrases" if failed else "kept"
     if data:
         whole = _ratio(data, packer)
-        chunks = [c for i in range(0, len(data), CHUNK) if len(c := data[i : i + CHUNK]) >= CHUNK // 2]
+        chunks = chunks_of(data)
         ratios = [_ratio(c, packer) for c in chunks]
         bands = [_band(CHUNK_BANDS, len(c)) for c in chunks]
         low, high = (min(ratios), max(ratios)) if ratios else (None, None)

@@ -114,7 +114,6 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damp
     into = links.groupBy("dst").agg(F.sum("n").alias("into"))
     links = save(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")))
     ranks = save(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
-    last = None
     for _ in itertools.count() if rounds is None else range(rounds):
         # Both sides are written tables: where ranks are too many to be broadcast, a hub's edges are split by skew.
         of = small(ranks)
@@ -124,9 +123,8 @@ def spread(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damp
         mix = lambda seed, gain: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * F.coalesce(gain, F.lit(0.0))
         new = save(seeds.join(gained, "host", "left").select("host", mix("good", F.col("t")).alias("trust"), mix("bad", F.col("d")).alias("distrust")))
         settled = rounds is None and _settled(ranks, new)
-        if last is not None:
-            drop(last)
-        ranks = last = new
+        drop(ranks)
+        ranks = new
         if settled:
             break
     return ranks
