@@ -238,7 +238,24 @@ MASK_SQL = f"""{LINES_SQL}, m as (select source, doc_id * 100000 + line_no as li
     regexp_replace(regexp_replace(regexp_replace(line, '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', '<*>', 'g'), '\\b0x[0-9a-fA-F]+\\b|\\b[0-9a-f]{{8,}}\\b', '<*>', 'g'), '\\d+', '<*>', 'g') as masked from lines)"""
 
 
-@query()
+def _meeting(after: str, name: str, word: str) -> str:
+    """One step: forms left alone meet by a word."""
+    return f"""{name} as (select source, masked, n, first_line, w, k, case when joins and count(*) filter (joins) over (partition by source, k, key, own) > 1 then md5(array_to_string(head, ' ')) else grp end as grp
+        from (select *, grp is null and len(list_filter(list_zip(w, head), lambda x: x[1] = x[2])) >= 0.5 * k as joins
+            from (select *, first_value(w) over (partition by source, k, key, own order by n desc, masked desc) as head
+                from (select *, case when grp is null then w[{word}] end as key, case when grp is not null then masked end as own from {after}))))"""
+
+
+TEMPLATE_SQL = f"""{MASK_SQL}, g0 as (select source, masked, count(*) as n, min(line_no) as first_line, string_split(masked, ' ') as w, len(string_split(masked, ' ')) as k, null::varchar as grp from m group by source, masked),
+    {_meeting('g0', 'g1', '1')}, {_meeting('g1', 'g2', 'k')}, {_meeting('g2', 'g3', '2')}, {_meeting('g3', 'g4', 'k // 2 + 1')},
+    words as (select source, grp, unnest(w) as v, generate_subscripts(w, 1) as i from g4 where grp is not null),
+    places as (select source, grp, i, case when min(v) = max(v) then min(v) else '<*>' end as v from words group by all),
+    texts as (select source, grp, string_agg(v, ' ' order by i) as template from places group by all),
+    sizes as (select source, grp, sum(n)::bigint as size, min(first_line) as first_line from g4 where grp is not null group by all)"""
+
+
+@query(f"""with {TEMPLATE_SQL} select g4.source, md5(masked) as form, md5(coalesce(template, masked)) as template, coalesce(size, n) as size, coalesce(sizes.first_line, g4.first_line) as first_line
+    from g4 left join texts using (source, grp) left join sizes using (source, grp)""")
 def q_templates(spark, d):
     return op.templates(doc_lines(spark, d)).select("source", F.md5("masked").alias("form"), F.md5("template").alias("template"), "size", F.col("first_line").cast("long").alias("first_line"))
 

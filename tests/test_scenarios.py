@@ -284,6 +284,10 @@ def test_templates_mask_what_varies(spark):
     rows = [("s", i, f"user {n} logged in from 10.0.0.{i}") for i, n in enumerate(["anna", "bob", "anna", "carl"])] + [("s", 9, "disk full")]
     got = {r["template"]: r["size"] for r in parsing.templates(spark.createDataFrame(rows, "source string, line_no int, line string")).collect()}
     assert got == {"user <*> logged in from <*>": 4, "disk full": 1}
+    # The first two share their last words only, the third has a word of its own everywhere.
+    rows = [("s", 0, "alpha port is now down"), ("s", 1, "beta port is now down"), ("s", 2, "gamma fan was here today"), ("t", 3, "alpha port is now down")]
+    got = {(r["source"], r["template"]): r["size"] for r in parsing.templates(spark.createDataFrame(rows, "source string, line_no int, line string")).collect()}
+    assert got == {("s", "<*> port is now down"): 2, ("s", "gamma fan was here today"): 1, ("t", "alpha port is now down"): 1}
 
 
 def test_entry_without_the_text_operations(tmp_path):
