@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logquarry.llm import embedding_dedup
@@ -156,6 +157,21 @@ def test_estimates_are_unbiased_and_lose_no_pair():
     assert abs(off.mean()) < 2e-3 and off.std() < 0.05
 
 
+def test_short_runs_are_worked_off_alike():
+    """Block pairs of several sizes, kinds and code lengths, together or one by one."""
+    r = np.random.default_rng(9)
+    rows, cuts = [], [0]
+    for k in range(60):
+        base = r.integers(0, 2, 640)
+        for m in range(int(r.integers(1, 9))):
+            code = np.where(r.random(640) < r.choice([0.02, 0.3]), 1 - base, base)[: 640 if m % 5 else 320]
+            rows.append({"group": len(rows), "no": k % 3, "bucket": k, "x": k % 2, "y": 1, "block": m % 2 if k % 2 == 0 else 1, "kind": len(code), "code": np.packbits(code).tobytes()})
+        cuts.append(len(rows))
+    data = pa.Table.from_pylist(rows)
+    found = [sorted(g for batch in embedding_dedup._open(data, cuts, 16, 0.93, few) for g in batch.column(0).to_pylist()) for few in (1, 4, 12)]
+    assert found[0] == found[1] == found[2] and 20 < len(found[0]) < len(rows)
+
+
 def test_recall_near_the_threshold(make):
     """Planted pairs of cosine 0.93 to 0.94, against the full product: links found, none of them wrong."""
     r = np.random.default_rng(7)
