@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,38 @@ def test_ranks_settle(spark):
         assert got[i] == pytest.approx((trust[i], distrust[i]), rel=1e-8)
 
 
+def test_verdicts_against_brute_force(make):
+    """Whole tables of pages: links read from the html, ranks by dense iteration, verdicts from both."""
+    r = random.Random(11)
+    hosts = [f"{n}.example.{'net' if i % 4 else 'org' if i % 8 else 'com'}" for i, n in enumerate("abcdefghijklmnop")]
+    rows = []
+    for i in range(300):
+        to = [f'<a href="{r.choice(["http:", "https:", ""])}//{h.upper() if r.random() < 0.2 else h}/x?y">l</a>' for h in r.sample(hosts, r.choice([0, 1, 3]))]
+        named = f" see {r.choice(hosts)} and nobody@{r.choice(hosts)} or unknown.example.io " if r.random() < 0.3 else ""
+        rows.append((i, f"http://{r.choice(hosts)}/{r.choice(['de', 'fr', 'es', 'en', 'x'])}/{r.randint(0, 20)}", "".join(to) + named))
+    rows += [(300, None, None), (301, "http://q.example.net", None), (302, *rows[0][1:]), (302, *rows[0][1:]), (None, *rows[1][1:])]
+    where = [parts(u) for _, u, _ in rows]
+    fits = [rule(*w) for w in where]
+    names = sorted({h for h, _ in where if h})
+    at = {h: k for k, h in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for (h, _), (_, _, html) in zip(where, rows):
+        linked = set(re.findall(r"(?:href|src)=\"(?:https?:)?//([^/]+)", html or "")) | set(re.findall(r"(?<![A-Za-z0-9.@-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", html or ""))
+        for x in {x.lower() for x in linked}:
+            if h and x in at and x != h:
+                w[at[h], at[x]] += 1
+    good, bad = (np.array([sum(f is not None and f.verdict == v and h == n for (h, _), f in zip(where, fits)) for n in names], float) for v in ("allow", "block"))
+    good, bad = good / good.sum(), bad / bad.sum()
+    forth, back = w / np.maximum(w.sum(1, keepdims=True), 1e-300), w / np.maximum(w.sum(0, keepdims=True), 1e-300)
+    trust = np.linalg.solve(np.eye(len(names)) - DAMPING * forth.T, (1 - DAMPING) * good)
+    distrust = np.linalg.solve(np.eye(len(names)) - DAMPING * back, (1 - DAMPING) * bad)
+    blame = {n: distrust[k] / (trust[k] + distrust[k]) if trust[k] + distrust[k] else 0 for n, k in at.items()}
+    want = [(i, h, p, f and f.text, f.verdict if f else "block" if blame.get(h, 0) >= 0.5 else "allow") for (i, _, _), (h, p), f in zip(rows, where, fits)]
+    got = [(x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]) for x in judge_urls(make(rows, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {v for *_, f, v in want if f is None} == {"allow", "block"} and all(abs(b - 0.5) > 1e-6 for b in blame.values())
+
+
 def brute(rows, threshold=0.93):
     def sound(v):
         return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)

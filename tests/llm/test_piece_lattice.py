@@ -57,3 +57,14 @@ def test_query_columns(make):
     assert rows[1]["restored"] and len(rows[1]["scores"]) == 4 and sorted(rows[1]["scores"], reverse=True) == rows[1]["scores"]
     assert rows[2]["n_pieces"] == rows[3]["n_pieces"] == 0 and rows[None]["restored"]
     assert segment(make([]), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_long_texts_repeated_rows_and_clashing_columns(make):
+    r = random.Random(8)
+    long = " ".join(r.choice(["the", "inn", "tion", "re", "é"]) for _ in range(60_000))
+    schema = "doc_id long, text string, scores string, n_pieces string, path_crc32 int"
+    rows = segment(make([(1, long, "s", "n", 1), (2, "re re", "s", "n", 1), (2, "re re", "s", "n", 1)], schema), vocabulary("piece_bpe_32k.model")).collect()
+    assert sorted(x["doc_id"] for x in rows) == [1, 2, 2] and all(x["restored"] for x in rows)
+    assert max(x["n_pieces"] for x in rows) >= 60_000
+    two = [x.asDict() for x in rows if x["doc_id"] == 2]
+    assert two[0] == two[1]

@@ -71,6 +71,19 @@ def test_edges(spark, make):
         remove_repeats(more, length=20)
 
 
+def test_a_shared_folder_is_asked_for_on_clusters():
+    from types import SimpleNamespace
+
+    from logquarry.llm.tables import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=context)
+    with pytest.raises(ValueError):
+        shared_dir(session)
+    context.getCheckpointDir = lambda: "hdfs://store/x/"
+    assert shared_dir(session) == "hdfs://store/x"
+
+
 def test_anchor_of_a_window_depends_on_its_bytes():
     r = random.Random(3)
     inner = bytes(r.randrange(256) for _ in range(100))

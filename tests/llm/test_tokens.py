@@ -89,3 +89,36 @@ def test_pack(make):
         assert at <= 32
     assert len(places) <= 1.05 * sum(map(len, ids.values())) / 32 + 2
     assert pack(make([]), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_long_texts_repeated_rows_and_clashing_columns(make):
+    r = random.Random(5)
+    long = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9))) for _ in range(120_000))
+    schema = "doc_id long, text string, shard string, place string, ids string, piece string, length string, rank int"
+    extra = ("s", "p", "i", "q", "l", 7)
+    rows = [(9, long, *extra), (4, "a b", *extra), (4, "a b", *extra), (None, None, *extra)]
+    for name, end in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 0)):
+        want = digests([long, "a b", ""], name, end)
+        if end:
+            got = sorted((x["start"], x["n_tokens"], x["ids_crc32"]) for x in token_file_round_trip(make(rows, schema), vocabulary(name)).collect())
+            sizes = [want[2], want[1], want[1], want[0]]  # the null id comes first
+            starts = [sum(map(len, sizes[:k])) for k in range(4)]
+            assert got == [(a, len(x), zlib.crc32(x.tobytes())) for a, x in zip(starts, sizes)]
+        else:
+            got = pack(make(rows, schema), vocabulary(name)).collect()
+            assert sum(x["length"] for x in got) == sum(map(len, want)) + len(want[1])
+            whole = sorted((x["start"], x["length"], x["ids_crc32"]) for x in got if x["doc_id"] == 9)
+            parts = [want[0][k : k + 2048] for k in range(0, len(want[0]), 2048)]
+            assert whole == [(2048 * k, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(parts)]
+
+
+def test_texts_that_are_no_utf8(spark):
+    import pyarrow as pa
+
+    from logquarry.llm.tokens import as_texts, slices
+
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array([b"a\xff b", None, b"x" * 50, b"y" * 50])], names=["doc_id", "text"])
+    assert as_texts(batch.column(1)).to_pylist()[:2] == ["a\ufffd b", ""]
+    assert [part.column(0).to_pylist() for part in slices(batch, 40)] == [[1, 2, 3], [4]]
+    e = Encoder(vocabulary("byte_bpe_50k.json"))
+    assert len(e.lists(pa.array([], pa.string()))) == 0
