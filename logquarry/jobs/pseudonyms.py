@@ -22,16 +22,23 @@ def _hmac(*parts: str) -> str:
 
 #: Values of several kinds made from table columns.
 VALUE_SQL = """vals as (select 'user' as kind, c_name as value from customer union all select 'host', 'srv-' || (c_custkey % 400) from customer union all select 'email', c_name || '@mail' || (c_custkey % 9) || '.example.org' from customer
-    union all select 'fqdn', 'h' || (c_custkey % 300) || '.lab' || (c_custkey % 7) || '.example.net' from customer union all select 'ipv4', case when c_custkey % 2 = 0 then '10.' else '203.' end || (c_custkey % 3) || '.' || (c_custkey % 50) || '.' || (c_custkey % 200) from customer)"""
+    union all select 'fqdn', 'h' || (c_custkey % 300) || '.lab' || (c_custkey % 7) || '.example.net' from customer union all select 'ipv4', case when c_custkey % 2 = 0 then '10.' else '203.' end || (c_custkey % 3) || '.' || (c_custkey % 50) || '.' || (c_custkey % 200) from customer
+    union all select 'mac', printf('00:1b:44:%02x:%02x:%02x', (c_custkey // 65536) % 256, (c_custkey // 256) % 256, c_custkey % 256) from customer
+    union all select 'sid', 'S-1-5-21-' || (c_custkey * 7) || '-' || (c_custkey * 11) || '-' || (c_custkey * 13) || '-' || (1000 + c_custkey % 500) from customer
+    union all select 'ipv6', printf('2a02:810d:%x:%x:0:0:%x:%x', 1 + c_custkey % 9, 1 + c_custkey % 50, 1 + c_custkey % 200, 1 + c_custkey % 3) from customer)"""
 
 
 def values(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = lambda n: (F.col("c_custkey") % n).cast("string")
+    key, byte = F.col("c_custkey"), lambda n: F.expr(f"(c_custkey div {n}) % 256")
     kinds = {
         "user": F.col("c_name"), "host": F.concat(F.lit("srv-"), k(400)), "email": F.concat("c_name", F.lit("@mail"), k(9), F.lit(".example.org")),
         "fqdn": F.concat(F.lit("h"), k(300), F.lit(".lab"), k(7), F.lit(".example.net")),
         "ipv4": F.concat(F.when(F.col("c_custkey") % 2 == 0, "10.").otherwise("203."), k(3), F.lit("."), k(50), F.lit("."), k(200)),
+        "mac": F.format_string("00:1b:44:%02x:%02x:%02x", byte(65536), byte(256), byte(1)),
+        "sid": F.concat_ws("-", F.lit("S-1-5-21"), *(x.cast("string") for x in (key * 7, key * 11, key * 13, F.lit(1000) + key % 500))),
+        "ipv6": F.format_string("2a02:810d:%x:%x:0:0:%x:%x", *(F.lit(1) + key % n for n in (9, 50, 200, 3))),
     }
     rows = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in kinds.items())))
     return c.select(rows.alias("v")).select("v.*")
@@ -49,9 +56,17 @@ def _fqdn_sql(v: str) -> str:
 
 _Q = "'"
 _HEX = lambda h, i: f"('0x' || {h}[{2 * i + 1}:{2 * i + 2}])::int"
+_MAC_H = _hmac("'mac'", "lower(value)", "'0'")
+_SID_H = _hmac("'sid'", "array_to_string(string_split(value, '-')[5:7], '-')", "'0'")
+_V6 = "array_to_string(list_transform(string_split(value, ':'), lambda x: lpad(x, 4, '0')), ':')"
+_V6_H, _V6_P = _hmac("'ipv6'", _V6, "'0'"), _hmac("'ipv6-prefix'", f"({_V6})[1:19]")
+_GROUP = lambda h, i: f"regexp_replace({h}[{4 * i + 1}:{4 * i + 4}], '^0{{1,3}}', '')"
+_MAC_SQL = "'02' || " + " || ".join(f"':' || {_MAC_H}[{2 * i + 1}:{2 * i + 2}]" for i in range(5))
+_SID_SQL = "'S-1-5-21' || " + " || ".join(f"'-' || ('0x' || {_SID_H}[{8 * i + 1}:{8 * i + 8}])::bigint" for i in range(3)) + " || '-' || string_split(value, '-')[8]"
+_V6_SQL = "'2001:db8' || " + " || ".join(f"':' || {g}" for g in [*(_GROUP(_V6_P, i) for i in range(2)), *(_GROUP(_V6_H, i) for i in range(4))])
 TOKEN_SQL = f"""tok as (select distinct kind, value, case kind when 'user' then 'user-' || {_hmac("'user'", 'lower(value)', "'0'")}[1:6] when 'host' then 'host-' || {_hmac("'host'", 'lower(value)', "'0'")}[1:6]
     when 'email' then 'u' || {_hmac("'email'", "lower(split_part(value, '@', 1))", "lower(split_part(value, '@', 2))", "'0'")}[1:6] || '@' || {_fqdn_sql("split_part(value, '@', 2)")}
-    when 'fqdn' then {_fqdn_sql('value')} else case when value like '10.%' then '10.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} else '198.' || (18 + {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} % 2) end
+    when 'fqdn' then {_fqdn_sql('value')} when 'mac' then {_MAC_SQL} when 'sid' then {_SID_SQL} when 'ipv6' then {_V6_SQL} else case when value like '10.%' then '10.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} else '198.' || (18 + {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} % 2) end
         || '.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", 'value', "'0'"), 0)} % 254) end as token from vals)"""
 
 
@@ -160,13 +175,18 @@ def q_propagate(spark, d):
     return _propagated(spark, d).select("line_id", "text")
 
 
-@query("""with p as (select * from (values ('user.name', 'user'), ('source.user.name', 'user'), ('user.email', 'email'), ('host.hostname', 'host'), ('observer.name', 'host'), ('url.domain', 'fqdn'), ('message', null), ('process.name', null)) as t(path, kind)),
-    n as (select count(*) as n from events) select path, kind, n from p, n""")
+FIELD_PATHS = ("user.name", "source.user.name", "user.email", "host.hostname", "observer.name", "url.domain", "message", "process.name")
+
+
+@query("""with leaf as (select case event_id % 8 when 0 then 'user.name' when 1 then 'source.user.name' when 2 then 'user.email' when 3 then 'host.hostname' when 4 then 'observer.name' when 5 then 'url.domain'
+        when 6 then 'message' else 'process.name' end as path, 'v' || user_id as value from events)
+    select path, value, case when path like '%user.name' then 'user' when path = 'user.email' then 'email' when path in ('host.hostname', 'observer.name') then 'host' when path = 'url.domain' then 'fqdn' end as kind, count(*) as n
+    from leaf group by 1, 2""")
 def q_field_kind(spark, d):
-    """The kind of each path, and how many documents carry it."""
-    paths = ("user.name", "source.user.name", "user.email", "host.hostname", "observer.name", "url.domain", "message", "process.name")
-    each = log_events(spark, d).select(F.explode(F.array(*map(F.lit, paths))).alias("path"))
-    return each.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", op.field_kind(F.col("path")))
+    """The kind that each leaf's path implies for its value."""
+    path = F.element_at(F.array(*map(F.lit, FIELD_PATHS)), (F.col("event_id") % 8 + 1).cast("int"))
+    leaf = log_events(spark, d).select(path.alias("path"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("value"))
+    return leaf.withColumn("kind", op.field_kind(F.col("path"))).groupBy("path", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _doc_leaves(spark, d) -> DataFrame:

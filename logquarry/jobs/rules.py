@@ -27,6 +27,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 _PATHS = {
     "event.action": lambda: F.array("action"), "source.ip": lambda: F.array("ip"), "source.port": lambda: F.array("port"), "event.original": lambda: F.array("line"),
+    "client.ip": lambda: F.array(F.format_string("2001:db8:%x::%x", F.col("user_id") % 16, F.col("event_id") % 256)),
     "user.name": lambda: F.array(F.concat(F.lit("User"), F.col("user_id").cast("string"))), "tags": lambda: F.array(F.col("action"), F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string"))),
     "process.name": lambda: F.when(F.col("event_id") % 2 == 0, F.array(F.lit("sshd"))), "event.value": lambda: F.array(F.col("value").cast("string")),
     "destination.port": lambda: F.when(F.col("event_id") % 3 == 0, F.array("port")), "dns.question.name": lambda: F.when(F.col("event_id") % 5 == 0, F.array(F.concat("action", F.lit(".example.net")))),
@@ -61,6 +62,7 @@ _field("pred_startswith", "lower(line) like 'sshd: c%k for%'", "event.original|s
 _field("pred_endswith", "line like '%.1' or line like '%.2'", "event.original|endswith", [".1", ".2"])
 _field("pred_re", "regexp_matches(line, '(?i)USER1[0-9]+ from 10\\.[12]\\.')", "event.original|re|i", r"USER1[0-9]+ from 10\.[12]\.")
 _field("pred_cidr", "user_id % 4 in (2, 3)", "source.ip|cidr", "10.2.0.0/15")
+_field("pred_cidr6", "user_id % 16 < 4", "client.ip|cidr", "2001:db8::/46")
 _field("pred_cmp", "try_cast(port as double) >= 70", "source.port|gte", 70)
 _field("pred_exists", "port is null", "source.port|exists", False)
 _field("pred_null", "port is null", "source.port", None)
