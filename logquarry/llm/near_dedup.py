@@ -15,7 +15,7 @@ pairs but a spanning edge for each row.  So a group of copies costs its size, no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ PERMS, ROWS = 40, 4
 BANDS = 2 * PERMS // ROWS
 #: Bit masks that order ids differently; the first (none) makes the least id the one to compare with.
 _MASKS = ((0,), (0x2AAA_AAAA_AAAA_AAAA, 0x5555_5555_5555_5555))
-#: Rows of a block of sets.
-BLOCK = 384
+#: Rows of a block of sets, and rows of a block pair up to which it is compared pair by pair.
+BLOCK, FEW = 384, 12
 
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,6 +141,25 @@ def _block_links(data: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return rep[moved], rep[edge[moved]]
 
 
+def _few_links(data: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as (rep, rep) for a block pair of a few rows, pair by pair: each pair in its first bucket."""
+    rep, component, block = (data[c].to_numpy() for c in ("rep", "component", "block"))
+    x, y, band = (data[c][0].as_py() for c in ("x", "y", "band"))
+    sets = [np.frombuffer(v, np.uint64) for v in data["items"].to_pylist()]
+    earlier = [{(b["band"], b["hash"]) for b in row if b["band"] < band} for row in data["buckets"].to_pylist()]
+    links = []
+    for i, j in combinations(range(len(rep)), 2):
+        if component[i] == component[j] or {block[i], block[j]} != {x, y}:
+            continue
+        few, many = sorted((len(sets[i]), len(sets[j])))
+        if 100 * few < percent * many or earlier[i] & earlier[j]:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * both >= percent * (few + many - both):
+            links.append((rep[i], rep[j]))
+    return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of each block pair; rows come sorted by it."""
     held = None
@@ -152,7 +171,7 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         keys = [held[c].to_numpy() for c in _BLOCKS]
         change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         cuts = [0, *change.tolist(), *([held.num_rows] if batch is None else [])]
-        made = [_block_links(held.slice(a, b - a), percent) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        made = [(_few_links if b - a <= FEW else _block_links)(held.slice(a, b - a), percent) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
         held = held.slice(cuts[-1])
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*made)], names=["a", "b"])
@@ -172,6 +191,7 @@ def _compare_buckets(open_: DataFrame, sets: DataFrame, percent: int) -> DataFra
         .withColumn("block", F.expr("cast(if(component = main, minor + pmod(xxhash64(rep), major), pmod(xxhash64(rep), minor)) as int)"))
         .withColumn("with", F.explode(F.expr("if(component = main, sequence(0, minor - 1), sequence(0, minor + major - 1))")))
         .select(*_BUCKET, F.expr("cast(least(block, with) as int) as x"), F.expr("cast(greatest(block, with) as int) as y"), "block", "rep", "component")
+        .join(open_.groupBy("rep").agg(F.collect_set(F.struct(*_BUCKET)).alias("buckets")), "rep")  # a few for each band
         .join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
     )
     return placed.repartition(*_BLOCKS).sortWithinPartitions(*_BLOCKS).mapInArrow(lambda b: _compared(b, percent), "a long, b long")

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from logquarry.llm import near_dedup
 from logquarry.llm.near_dedup import _compared, near_duplicates
 
 
@@ -65,8 +66,6 @@ def test_against_brute_force(make):
 
 def test_wide_family_in_blocks(make, monkeypatch):
     """Drifting copies whose members mostly miss each other, in blocks of any size."""
-    from logquarry.llm import near_dedup
-
     r = random.Random(9)
     base = [f"w{r.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -101,8 +100,31 @@ def test_block_pairs_are_compared_as_batches_come():
         for g in range(6):
             taken.append(g)
             items = np.arange(9, dtype=np.uint64).tobytes()
-            yield pa.RecordBatch.from_pylist([{"band": g, "hash": -1, "x": 0, "y": 0, "block": 0, "rep": i, "component": i, "items": items} for i in (2 * g, 2 * g + 1)])
+            yield pa.RecordBatch.from_pylist([{"band": g, "hash": -1, "x": 0, "y": 0, "block": 0, "rep": i, "component": i, "buckets": [{"band": g, "hash": -1}], "items": items} for i in (2 * g, 2 * g + 1)])
 
     made = _compared(batches(), 80)
-    assert next(made).to_pydict() == {"a": [1], "b": [0]} and taken == [0, 1]
-    assert [a for batch in made for a in batch.column(0).to_pylist()] == [3, 5, 7, 9, 11]
+    assert next(made).to_pydict() == {"a": [0], "b": [1]} and taken == [0, 1]
+    assert [a for batch in made for a in batch.column(0).to_pylist()] == [2, 4, 6, 8, 10]
+
+
+def test_few_rows_are_compared_like_blocks():
+    r = random.Random(2)
+    for x, y in ((0, 0), (0, 1)):
+        base = np.array(sorted(r.sample(range(10**6), 200)), np.uint64)
+        rows = []
+        for i in range(12):
+            items = np.unique(np.concatenate((base[r.randint(0, 60) :], np.array(r.sample(range(10**6), 10), np.uint64))))
+            rows.append({"band": 3, "hash": 5, "x": x, "y": y, "block": i % 2 if y else 0, "rep": i, "component": i % 9, "buckets": [{"band": 3, "hash": 5}], "items": items.tobytes()})
+        data = pa.Table.from_pylist(rows)
+
+        def classes(links):
+            of = {i: i % 9 for i in range(12)}
+            for a, b in zip(*(c.tolist() for c in links)):
+                p, q = sorted((of[a], of[b]))
+                of = {i: p if c == q else c for i, c in of.items()}
+            return of
+
+        assert classes(near_dedup._few_links(data, 80)) == classes(near_dedup._block_links(data, 80)) != classes((np.empty(0, int),) * 2)
+        for row in rows:  # an earlier bucket has met them all
+            row["buckets"].append({"band": 1, "hash": 7})
+        assert not len(near_dedup._few_links(pa.Table.from_pylist(rows), 80)[0])
