@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions import entities as ent
@@ -132,6 +132,24 @@ def q_detect_entities(spark, d):
     return rows.select("line_id", "e.kind", "e.value")
 
 
+@query("""with e as (select event_id as line_id, event_id % 9 as k, 'anna' || user_id as u, 'box' || (user_id % 20) as h, '10.9.' || (user_id % 200) || '.7' as ip, '2001:db8::' || (1 + user_id % 9) as v6 from events)
+    select line_id, 'user' as kind, u as value from e where k not in (2, 8) union all select line_id, 'host', h from e where k in (2, 6) union all select line_id, 'ipv4', ip from e where k = 1
+    union all select line_id, 'ipv6', v6 from e where k = 8 union all select line_id, 'mac', '00:1b:44:11:3a:b7' from e where k = 8""")
+def q_detect_contexts(spark, d):
+    """Names that only their place tells: behind a domain, in web and device headers, phrases, keys and paths."""
+    ev = log_events(spark, d)
+    t = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    number = F.col("user_id").cast("string")
+    user, host = t("anna", number), t("box", (F.col("user_id") % 20).cast("string"))
+    lines = (
+        t("logon of CORP\\", user), t("10.9.", (F.col("user_id") % 200).cast("string"), ".7 - ", user, ' [10/Oct/2024:13:55:36 +0200] "GET / HTTP/1.1" 200 5'), t("<189>", host, " %LINK-3-UPDOWN: up"),
+        t("authentication failure for ", user), t("denied user '", user, "'"), t("user <", user, "> left"), t("xauthuser=", user, " dvc_host=", host), t("read /home/", user, "/notes"),
+        t("outside:2001:db8::", (F.lit(1) + F.col("user_id") % 9).cast("string"), " 00:1b:44:11:3a:b7"),
+    )
+    line = F.element_at(F.array(*lines), (F.col("event_id") % len(lines) + 1).cast("int"))
+    return ev.select(F.col("event_id").alias("line_id"), F.explode(ent.entities(line)).alias("e")).select("line_id", "e.kind", "e.value")
+
+
 @query("""with e as (select event_id as line_id, user_id % 20 as h from events where event_type = 'view') select line_id, 'host' as kind, 'box' || h as value from e
     union all select event_id, 'user', 'anna' || user_id from events where event_type = 'error' union all select event_id, 'user', 'anna' || user_id from events where event_type = 'click'
     union all select event_id, 'host', 'box' || (user_id % 20) from events where event_type = 'click'""")
