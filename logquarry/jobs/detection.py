@@ -142,12 +142,12 @@ _shipped("rule_port_scan", "fw_block", 48, 2, "port")
 _shipped("rule_web_scan", "http_404", 72, 2, None)
 
 
-@query(f"""with {MATCH_SQL}, latest as (select * from doc order by event_id desc limit 5000),
+@query(f"""with {MATCH_SQL}, latest as (select * from doc order by event_id desc limit 20000),
     r as (select * from (values ('failure', 'base'), ('purchase', 'rule'), ('dns_error', 'rule'), ('blocked_port', 'rule'), ('ssh_words', 'rule')) as t(rule_id, kind))
     select rule_id, kind, count(l.event_id) as n, coalesce(string_agg(l.event_id::varchar, ',' order by l.event_id), '') as event_ids
     from r left join (select m.* from matches m join latest using (event_id)) l using (rule_id) group by 1, 2""")
 def q_backtest(spark, d):
-    out = op.backtest(rq.docs(spark, d), rq.compiled(), limit=5000)
+    out = op.backtest(rq.docs(spark, d), rq.compiled())
     return out.select("rule_id", "kind", "n", F.concat_ws(",", F.col("event_ids").cast("array<string>")).alias("event_ids"))
 
 

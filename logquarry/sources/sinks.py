@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +12,30 @@ from pyspark.sql import functions as F
 LEVELS = ("informational", "low", "medium", "high", "critical")
 
 
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """When the driver ends, its scratch folders go."""
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):  # the engine may have ended first
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir, or in the warehouse where there is none.
 
-    On a cluster a warehouse on local disks is refused: each executor would write to its own.
+    On a cluster a warehouse on local disks is refused: each executor would write to its own.  What is
+    written there goes when the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
     if root.startswith("file:") and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
