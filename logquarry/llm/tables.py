@@ -89,9 +89,11 @@ def text_bytes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id long, text binary, carried): whole texts as UTF-8, for functions on Arrow batches.
 
     carried is a struct of the columns named by carry, absent if there are none.  Texts can be long, so
-    batches are held to a thousand rows where the session has Spark's default.
+    batches are held to a thousand rows and 16 MB where the session has Spark's defaults.
     """
     conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(
