@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm.embedding_dedup import near_embeddings
+from logquarry.llm.filter_audit import audit_filters
 from logquarry.llm.license_scan import scan_licenses
+from logquarry.llm.middle import fill_in_middle, restored
 from logquarry.llm.near_dedup import near_duplicates
 from logquarry.llm.packing import pack
 from logquarry.llm.piece_lattice import segment
@@ -66,9 +68,19 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400).withColumnRenamed("kept_text", "text")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    back = restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_piece_lattice, op3_best_fit_packing, op4_url_filter, op5_license_scan, op6_near_embeddings, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings)
+    for f in (op1_toxicity, op2_piece_lattice, op3_best_fit_packing, op4_url_filter, op5_license_scan, op6_near_embeddings, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings, op11_fill_in_middle, op12_filter_audit)
 }
 
 SQL: dict[str, str] = {
@@ -136,5 +148,55 @@ with texts as (
 select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(k)) as kept_sha256,
     decode(unhex(array_to_string(regexp_extract_all(k, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', 1), ''))) as text
 from (select *, coalesce(head, '') || h[2 * coalesce(last_, 0) + 1:] as k from texts left join glued using (r))
+""",
+    "op11_fill_in_middle": r"""
+with drawn as (
+    select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tokens
+    from documents
+), ranks as (
+    select doc_id, text, tokens, len(tokens) as n, ('0x' || h[1:8])::bigint % (len(tokens) + 1) as a, ('0x' || h[9:16])::bigint % (len(tokens) + 1) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 50 then 'plain'
+            when ('0x' || h[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form
+    from drawn
+), parts as (
+    select doc_id, text, n, form, array_to_string(tokens[1:least(a, b)], '') as prefix, array_to_string(tokens[least(a, b) + 1:greatest(a, b)], '') as middle,
+        array_to_string(tokens[greatest(a, b) + 1:n], '') as suffix
+    from ranks
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from parts
+""",
+    "op12_filter_audit": r"""
+with first as (
+    select text, min(doc_id) as doc_id from (select coalesce(text, '') as text, doc_id from documents) group by 1
+), judged as (
+    select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels where doc_id is not null group by 1
+), texts as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), masks as (
+    select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, case when len(words) < 200 then 1 else 0 end
+        + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+        + case when 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * length(t.text) then 4 else 0 end
+        + case when regexp_matches(t.text, '[#$%&*|]') then 8 else 0 end + case when f.doc_id < t.doc_id then 16 else 0 end as mask
+    from texts t left join first f on f.text = t.text left join judged j on j.doc_id = t.doc_id
+), cells as (
+    select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from masks group by 1, 2
+), letters as (
+    select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as t(letter, bit)
+), orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+    from letters a, letters b, letters c, letters d, letters e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps as (
+    select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from (select *, unnest(range(1, 6)) as step from orders)
+), counted as (
+    select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept, coalesce(sum(n) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (mask & bit > 0 and mask & before > 0), 0)::bigint as redundant, coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+        coalesce(sum(good) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (mask & bit > 0 and mask & before = 0), 0)::bigint as toxic_lost
+    from cells, steps group by 1, 2, 3, 4
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from counted
 """,
 }
