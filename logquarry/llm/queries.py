@@ -16,7 +16,8 @@ from logquarry.llm.packing import pack
 from logquarry.llm.piece_lattice import segment
 from logquarry.llm.quality import quality
 from logquarry.llm.repeats import remove_repeats
-from logquarry.llm.tables import table
+from logquarry.llm.secret_scan import labelled_findings, places, scan_secrets, train
+from logquarry.llm.tables import save, table
 from logquarry.llm.token_files import token_file_round_trip
 from logquarry.llm.tokens import vocabulary
 from logquarry.llm.toxicity import severity, train_on_labels
@@ -78,9 +79,17 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, train(save(labelled_findings(docs))))
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("findings", lambda f: f["kind"] != "learned")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(places(base), 256).alias("base_sha256"), places(F.col("findings")).alias("spans"), of("learned"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_piece_lattice, op3_best_fit_packing, op4_url_filter, op5_license_scan, op6_near_embeddings, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings, op11_fill_in_middle, op12_filter_audit)
+    for f in (op1_toxicity, op2_piece_lattice, op3_best_fit_packing, op4_url_filter, op5_license_scan, op6_near_embeddings, op7_near_duplicates, op8_token_files, op9_quality_rules, op10_repeated_strings, op11_fill_in_middle, op12_filter_audit, op13_secret_scan)
 }
 
 SQL: dict[str, str] = {
