@@ -49,7 +49,8 @@ TOLERANCE = 1e-9
 
 #: Host part of absolute links, and host names of two labels or more that the page's text mentions.
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
-_MENTION = r"(?<![A-Za-z0-9.@-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Labels are taken for good (++): Java would go one call deeper for each otherwise, and a page may have thousands.
+_MENTION = r"(?<![A-Za-z0-9.@-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
