@@ -38,17 +38,26 @@ def _places(rules: Sequence[Signature]) -> str:
     negative), np (the priority, negative), label, c."""
     every = f"r'(?<= )(?:{'|'.join(r.pattern for r in rules)})(?= )'"
     which = " ".join(f"when m.t rlike r'^(?:{r.pattern})$' then named_struct('label', '{r.label}', 'c', {r.confidence}D)" for r in rules)
-    return f"""if(norm rlike {every}, transform(transform(
-        aggregate(
-            zip_with(slice(split(norm, {every}, -1), 1, size(regexp_extract_all(norm, {every}, 0))), regexp_extract_all(norm, {every}, 0), (a, b) -> named_struct('skip', length(a), 't', b)),
-            named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,t:string>>)),
-            (acc, x) -> named_struct('at', acc.at + x.skip + length(x.t),
-                'out', array_append(acc.out, named_struct('s', acc.at + x.skip, 'e', acc.at + x.skip + length(x.t), 't', x.t))),
-            acc -> acc.out),
+    pieces = f"zip_with(slice(split(norm, {every}, -1), 1, size(regexp_extract_all(norm, {every}, 0))), regexp_extract_all(norm, {every}, 0), (a, b) -> named_struct('skip', length(a), 't', b))"
+    runs = _let("z", pieces, f"transform(sequence(0, size(z) - 1, {_RUN}), i -> slice(z, i + 1, {_RUN}))")
+    heads = "aggregate(runs, array(0), (h, run) -> array_append(h, element_at(h, -1) + aggregate(run, 0, (n, x) -> n + x.skip + length(x.t))))"
+    placed = """flatten(transform(runs, (run, i) -> aggregate(run, named_struct('at', heads[i], 'out', cast(array() as array<struct<s:int,e:int,t:string>>)),
+        (acc, x) -> named_struct('at', acc.at + x.skip + length(x.t), 'out', array_append(acc.out, named_struct('s', acc.at + x.skip, 'e', acc.at + x.skip + length(x.t), 't', x.t))),
+        acc -> acc.out)))"""
+    return f"""if(norm rlike {every}, transform(transform({_let("runs", runs, _let("heads", heads, placed))},
         m -> named_struct('m', m, 'r', case {which} end)),
         x -> named_struct('s', x.m.s, 'ne', -x.m.e, 'np', -{rules[0].priority}, 'label', x.r.label, 'c', x.r.c)), {_NONE})"""
 
 
+#: Matches whose places are summed up in one run.  Appending copies a list, so long ones are made of runs.
+_RUN = 256
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body, where name stands for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 _NONE = "cast(array() as array<struct<s:int,ne:int,np:int,label:string,c:double>>)"
 
 
