@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from logquarry.llm.tables import text_bytes
 
 BLANK = "▁"
-#: Words that a worker remembers the best paths of.
+#: Words that a worker remembers the best paths of; one counts by its bytes as so many usual ones.  Longer
+#: words than LONG are cut where no piece reaches across, as text without blanks is one word a line.
 CACHE = 700_000
+LONG, USUAL = 64, 64
 _NEVER = 1 << 60
 #: No piece reaches across the end of such a part: a word with the blanks before it, blanks, a line end.
 _WORD = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -41,14 +43,17 @@ class _Words(dict):
 
     def __init__(self, owner: "Lattice"):
         super().__init__()
-        self.owner = owner
+        self.owner, self.size = owner, 0
 
     def __missing__(self, word: str) -> tuple[int, bytes, int]:
         # A mark that no piece joins to what is before it only adds to that: not worth keeping.
         if len(word) > 2 and word[-1] in ".,:;!?" and word[-2:] not in self.owner.joined:
             (s, ids, loss), (t, more, other) = self[word[:-1]], self[word[-1]]
             return s + t, ids + more, min(loss, other)
-        found = self[word] = self.owner.word(word)
+        found = self.owner.word(word)
+        if len(word) <= LONG:
+            self[word] = found
+            self.size += max(USUAL, 4 * len(word) + len(found[1]))
         return found
 
 
@@ -208,9 +213,9 @@ class Lattice:
         """
         if not text:
             return [(0, b"")]
-        if len(self.words) > CACHE:
+        if self.words.size > USUAL * CACHE:
             self._forget()
-        words = _WORD.findall(BLANK + text.replace(" ", BLANK))
+        words = [part for w in _WORD.findall(BLANK + text.replace(" ", BLANK)) for part in (self._cuts(w) if len(w) > LONG else (w,))]
         known = self.words
         scores, chosen, losses = zip(*[known[w] for w in words])
         score, chosen = sum(scores), list(chosen)
@@ -219,11 +224,12 @@ class Lattice:
         paths = []
         for i in few:
             w = words[i]
-            if w not in self.deep:
+            mine = self.deep.get(w) or self.best_of_word(w)
+            if len(w) <= LONG:
                 if len(self.deep) > CACHE // 10:
                     self.deep = {}
-                self.deep[w] = self.best_of_word(w)
-            paths.append(self.deep[w])
+                self.deep[w] = mine
+            paths.append(mine)
         choices: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         for mine in paths:
             choices = heapq.nsmallest(self.n, ((loss + mine[0][0] - s, picks + (k,)) for loss, picks in choices for k, (s, _) in enumerate(mine)))

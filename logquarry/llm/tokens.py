@@ -17,7 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches that a worker remembers: twice so many at most, the older half goes when the newer is full.
+#: Long ones, which hardly come again, are not kept, and a stretch counts by its bytes as so many usual ones.
 CACHE = 400_000
+LONG, USUAL = 64, 32
 _STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_BLANK = re.compile(r"[^\S \n]")
 #: Other blanks, or blanks in a row: these belong together, so cutting at single ones is not enough.
@@ -43,14 +45,14 @@ class _Known(dict):
 
     def __init__(self, owner: "Encoder", prefix: str):
         super().__init__()
-        self.owner, self.prefix, self.older = owner, prefix, {}
+        self.owner, self.prefix, self.older, self.size = owner, prefix, {}, 0
         #: The prefix as the vocabulary writes it, before a word of ASCII letters.
         self.written = prefix.translate(_BYTE_CHARS)
 
     def age(self) -> None:
         """Keep what has been asked for lately."""
-        if len(self) > self.owner.cache:
-            self.older = dict(self)
+        if self.size > USUAL * self.owner.cache:
+            self.older, self.size = dict(self), 0
             self.clear()
 
     def __missing__(self, stretch: str) -> bytes:
@@ -69,8 +71,9 @@ class _Known(dict):
                         ids = array("I", [p.id for p in tokenize(written + (s.lower() if folds else s))]).tobytes()
                     else:
                         ids = rest(self.prefix, s, self)
-                if "\n" not in s or s == "\n":  # others hardly come again
+                if len(s) <= LONG and ("\n" not in s or s == "\n"):  # others hardly come again
                     self[s] = ids
+                    self.size += max(USUAL, len(s) + len(ids))
                 out[i] = ids
         return out
 

@@ -242,3 +242,14 @@ def test_components(spark):
                 comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == comp
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pages_of_dotted_labels(make):
+    """Thousands of labels in a row neither end the engine nor hide other mentions."""
+    pages = [(1, "http://a.net/", "x." * 100_000 + "net <p>see b.net</p> " + "l-1." * 50_000), (2, "http://b.net/", "." * 100_000 + "a" * 100_000), (3, "http://c.net/", "a.net" + "-" * 100_000)]
+    frame = make(pages, "page_id long, url string, html string")
+    from logquarry.llm.url_filter import host_links
+
+    links = host_links(frame.selectExpr("substring(url, 8, 5) as host", "html")).collect()
+    assert [(x["src"], x["dst"], x["n"]) for x in links] == [("a.net", "b.net", 1)]
+    assert judge_urls(frame).count() == 3

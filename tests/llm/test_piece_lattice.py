@@ -68,3 +68,20 @@ def test_long_texts_repeated_rows_and_clashing_columns(make):
     assert max(x["n_pieces"] for x in rows) >= 60_000
     two = [x.asDict() for x in rows if x["doc_id"] == 2]
     assert two[0] == two[1]
+
+
+def test_text_without_blanks(lattice):
+    """Lines of thousands of signs are one word each: cut where no piece reaches across, and not remembered."""
+    r = random.Random(3)
+    signs = [chr(c) for c in range(0x4E00, 0x5200)] + list("aeiourstn0123")
+    lines = ["".join(r.choice(signs) for _ in range(3000)) for _ in range(40)]
+    for text in lines[:3]:
+        whole, parts = lattice._cuts(BLANK + text), lattice.encode(text)
+        assert parts[0][0] == sum(lattice.word(w)[0] for w in whole) and lattice.decode(parts[0][1]) == text
+        assert [s for s, _ in parts] == [s for s, _ in lattice.best_of_word(BLANK + text)]
+    assert max(map(len, lattice.words)) <= 64 and max(map(len, lattice.deep), default=0) <= 64
+    before = lattice.words.size
+    for text in lines:
+        lattice.encode(text)
+    assert lattice.words.size - before < 64 * len(signs) ** 2 / 100  # stretches, not lines
+    assert lattice.decode(lattice.encode("\n".join(lines))[0][1]) == "\n".join(lines)

@@ -265,3 +265,21 @@ def test_clashing_columns(make, schema):
     rows = make([(1, "mit license " + "word " * 60, "n", "f", True)], schema)
     assert scan_licenses(rows).first()["labels"] == "mit"
     assert quality(rows).first()["n_words"] == 62 and severity(rows, OrdinalModel({}, (1.0, 2.0, 3.0))).count() == 1
+
+
+@pytest.mark.parametrize("phrase,label,n", [("mit license", "mit", 200_000), ("cc by", "cc-by", 200_000), ("GPLv3+ and ", "gpl", 20_000)])
+def test_many_matches_in_one_text(make, phrase, label, n):
+    row = scan_licenses(make([(1, f"{phrase} " * n)])).first()
+    assert label in row["labels"].split(",") or any(x.startswith(label) for x in row["labels"].split(","))
+    assert row["n_found"] >= n // 2 and row["n_words"] == n * len(re.findall("[a-z0-9]+", phrase.lower()))
+
+
+def test_places_across_runs(make, monkeypatch):
+    """Places come from sums of runs: the same whatever their length."""
+    from logquarry.llm import license_scan
+
+    docs = make(list(enumerate([t for t in LICENSES if t] + ["x mit license y " * 9 + "gnu general public license v3 " * 7])))
+    whole = sorted(map(str, scan_licenses(docs).collect()))
+    for run in (1, 3):
+        monkeypatch.setattr(license_scan, "_RUN", run)
+        assert sorted(map(str, scan_licenses(docs).collect())) == whole

@@ -122,3 +122,13 @@ def test_texts_that_are_no_utf8(spark):
     assert [part.column(0).to_pylist() for part in slices(batch, 40)] == [[1, 2, 3], [4]]
     e = Encoder(vocabulary("byte_bpe_50k.json"))
     assert len(e.lists(pa.array([], pa.string()))) == 0
+
+
+def test_text_without_blanks_is_not_remembered():
+    r = random.Random(5)
+    encoder = Encoder(vocabulary("byte_bpe_50k.json"), cache=50)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(2000)) for _ in range(30)] + ["".join(r.choice("abcXYZ019+/") for _ in range(40)) for _ in range(400)]
+    for text in texts:
+        assert encoder.encode([text])[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    known = encoder.bare
+    assert max(map(len, known)) <= 64 and known.size <= 3 * 32 * 50 and len(known.older) < 100
