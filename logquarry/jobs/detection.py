@@ -15,7 +15,7 @@ H = 3600
 MATCH_SQL = f"""{rq.DOC_SQL}, matches as (
     select 'failure' as rule_id, event_id from doc where action = 'error' union all select 'purchase', event_id from doc where action = 'purchase'
     union all select 'dns_error', event_id from doc where event_id % 5 = 0 and action = 'error'
-    union all select 'blocked_port', event_id from doc where event_id % 3 = 0 and try_cast(port as double) < 30
+    union all select 'blocked_port', event_id from doc where event_id % 3 = 0 and event_id % 5 <> 0 and event_id % 7 <> 0 and try_cast(port as double) < 30
     union all select 'ssh_words', event_id from doc where event_id % 2 = 0 and user_id in (12, 13)
 )"""
 
@@ -33,7 +33,7 @@ def q_silent_bases(spark, d):
 
 #: Rules of the kinds that such a tool ships, over synthetic service lines made from orders.
 BASES = {
-    "ssh_failure": {"id": "ssh_failure", "logsource": {"service": "sshd"}, "detection": {"a": {"event.original|contains": ["failed password", "invalid user"]}, "condition": "a"}},
+    "ssh_failure": {"id": "ssh_failure", "detection": {"process": {"process.name|contains": "sshd"}, "failure": {"event.original|contains": ["failed password", "invalid user"]}, "condition": "process and failure"}},
     "fw_block": {"id": "fw_block", "logsource": {"category": "firewall"}, "detection": {"a": {"action": ["block", "deny", "drop"]}, "f": {"dst_port": None}, "condition": "a and not f"}},
     "http_404": {"id": "http_404", "logsource": {"category": "webserver"}, "detection": {"a": {"sc-status": 404}, "condition": "a"}},
     "dns_long_label": {"id": "dns_long_label", "logsource": {"category": "dns"}, "detection": {"a": {"query|re": r"(^|\.)[^.]{40,}\."}, "condition": "a"}},

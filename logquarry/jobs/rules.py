@@ -31,6 +31,7 @@ _PATHS = {
     "user.name": lambda: F.array(F.concat(F.lit("User"), F.col("user_id").cast("string"))), "tags": lambda: F.array(F.col("action"), F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string"))),
     "process.name": lambda: F.when(F.col("event_id") % 2 == 0, F.array(F.lit("sshd"))), "event.value": lambda: F.array(F.col("value").cast("string")),
     "destination.port": lambda: F.when(F.col("event_id") % 3 == 0, F.array("port")), "dns.question.name": lambda: F.when(F.col("event_id") % 5 == 0, F.array(F.concat("action", F.lit(".example.net")))),
+    "http.request.method": lambda: F.when(F.col("event_id") % 7 == 0, F.array(F.lit("GET"))),
 }
 
 
@@ -96,9 +97,13 @@ def q_condition(spark, d):
     return _matching(spark, d, op.sure(test))
 
 
-@query(f"""with {DOC_SQL} select event_id, event_id % 5 = 0 as dns, coalesce(event_id % 3 = 0 and port is not null, false) as firewall, event_id % 2 = 0 as sshd, true as own from doc""")
+@query(f"""with {DOC_SQL} select event_id, event_id % 5 = 0 as dns, event_id % 3 = 0 and port is not null and event_id % 5 <> 0 and event_id % 7 <> 0 as firewall, event_id % 7 = 0 as webserver,
+    event_id % 2 = 0 as sshd, event_id % 2 = 0 as auth, event_id % 7 = 0 as nginx, true as syslog, false as sudo, event_id % 2 = 0 as linux, true as own from doc""")
 def q_logsource_filter(spark, d):
-    kinds = {"dns": {"category": "dns"}, "firewall": {"category": "firewall"}, "sshd": {"product": "linux", "service": "sshd"}, "own": {}}
+    kinds = {
+        "dns": {"category": "dns"}, "firewall": {"category": "firewall"}, "webserver": {"category": "webserver", "product": "windows"}, "sshd": {"product": "linux", "service": "sshd"}, "auth": {"service": "auth"},
+        "nginx": {"service": "nginx"}, "syslog": {"product": "linux", "service": "syslog"}, "sudo": {"service": "sudo"}, "linux": {"product": "linux"}, "own": {},
+    }
     return docs(spark, d).select("event_id", *(op.logsource_test(values, k).alias(n) for n, k in kinds.items()))
 
 
@@ -113,17 +118,21 @@ RULES = [
     {"id": "bad_source", "title": "", "logsource": {"category": "process_creation"}, "detection": {"a": {"event.action": "x"}, "condition": "a"}},
     {"id": "burst", "title": "Many failures", "level": "high", "correlation": {"type": "event_count", "rules": ["failure"], "group-by": ["user_id"], "timespan": "6h", "condition": {"gte": 2}}},
     {"id": "temporal", "title": "", "correlation": {"type": "temporal", "rules": ["failure", "purchase"]}},
+    {"id": "unmapped", "title": "", "logsource": {"category": "webserver"}, "detection": {"a": {"foo": None}, "condition": "a"}},
+    {"id": "service_field", "title": "", "logsource": {"product": "linux", "service": "sshd"}, "detection": {"a": {"event.action": "x"}, "condition": "a"}},
+    {"id": "other_product", "title": "", "logsource": {"product": "windows"}, "detection": {"a": {"event.action": "x"}, "condition": "a"}},
+    {"id": "timeframe", "title": "", "detection": {"a": {"event.action": "x"}, "timeframe": "5m", "condition": "a"}},
+    {"id": "two_conditions", "title": "", "detection": {"a": {"event.action": "x"}, "condition": ["a", "not a"]}},
+    {"id": "bad_pattern", "title": "", "detection": {"a": {"event.action|re": "(?P<n>x)"}, "condition": "a"}},
+    {"id": "bad_number", "title": "", "detection": {"a": {"event.value|gt": "abc"}, "condition": "a"}},
+    {"id": "no_bases", "title": "", "correlation": {"type": "event_count", "rules": [], "condition": {"gte": 2}}},
+    {"id": "no_field", "title": "", "correlation": {"type": "value_count", "rules": ["failure"], "condition": {"gte": 2}}},
+    {"id": "two_ops", "title": "", "correlation": {"type": "event_count", "rules": ["failure"], "condition": {"gte": 2, "lt": 9}}},
 ]
 
 
 def compiled() -> list[op.Rule]:
-    out = []
-    for doc in RULES:
-        try:
-            out.append(op.compile_rule(doc, values))
-        except op.UnsupportedRule:
-            continue
-    return out
+    return op.compile_rules(RULES, values)[0]
 
 
 @query(f"with {DOC_SQL} select event_id, action || '.example.net' as name from doc where event_id % 5 = 0 and action = 'error'")
@@ -134,9 +143,11 @@ def q_field_taxonomy(spark, d):
 
 
 @query(f"""with {DOC_SQL}, r as (select * from (values ('bad_condition', false, 'no selection b'), ('bad_modifier', false, 'modifier base64'), ('bad_source', false, 'logsource process_creation'),
-    ('blocked_port', true, ''), ('burst', true, ''), ('dns_error', true, ''), ('failure', true, ''), ('purchase', true, ''), ('ssh_words', true, ''), ('temporal', false, 'correlation temporal')) as t(rule_id, supported, reason)),
+    ('blocked_port', true, ''), ('burst', true, ''), ('dns_error', true, ''), ('failure', true, ''), ('purchase', true, ''), ('ssh_words', true, ''), ('temporal', false, 'correlation temporal'),
+    ('unmapped', false, 'field foo has no path'), ('service_field', false, 'field event.action has no path'), ('other_product', false, 'logsource windows'), ('timeframe', false, 'timeframe'), ('two_conditions', false, 'several conditions'),
+    ('bad_pattern', false, 'bad pattern (?P<n>x)'), ('bad_number', false, 'no number abc'), ('no_bases', false, 'correlation without rules'), ('no_field', false, 'value_count needs a field'), ('two_ops', false, 'correlation needs one comparison')) as t(rule_id, supported, reason)),
     m as (select 'failure' as rule_id, count(*) as n from doc where action = 'error' union all select 'purchase', count(*) from doc where action = 'purchase'
-        union all select 'dns_error', count(*) from doc where event_id % 5 = 0 and action = 'error' union all select 'blocked_port', count(*) from doc where event_id % 3 = 0 and try_cast(port as double) < 30
+        union all select 'dns_error', count(*) from doc where event_id % 5 = 0 and action = 'error' union all select 'blocked_port', count(*) from doc where event_id % 3 = 0 and event_id % 5 <> 0 and event_id % 7 <> 0 and try_cast(port as double) < 30
         union all select 'ssh_words', count(*) from doc where event_id % 2 = 0 and user_id in (12, 13))
     select rule_id, supported, reason, coalesce(n, 0) as n from r left join m using (rule_id)""")
 def q_rule_coverage(spark, d):

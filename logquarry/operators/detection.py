@@ -20,14 +20,19 @@ PER_PASS = 50
 def match_rules(events: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("event_id", "source", "at")) -> DataFrame:
     """rule_id and the columns of keep for every event that a rule matches; correlations match nothing.
 
-    One pass over events evaluates all rules; each event yields an array of rule ids.
+    One pass over events evaluates all rules; each event yields an array of rule ids.  Rules of one kind of
+    log go together behind one test of that, so an event meets only the rules on logs of its kind.
     """
-    tests = [r for r in rules if r.test is not None]
-    groups = [tests[i : i + PER_PASS] for i in range(0, len(tests), PER_PASS)]
+    kinds: dict[str, list[Rule]] = {}
+    for r in rules:
+        if r.matches is not None:
+            kinds.setdefault(r.source, []).append(r)
+    groups = [same[i : i + PER_PASS] for same in kinds.values() for i in range(0, len(same), PER_PASS)]
     flagged = events
+    none = F.array().cast("array<string>")
     for i, group in enumerate(groups):
-        hits = F.array_compact(F.array(*(F.when(r.test, F.lit(r.id)) for r in group)))
-        flagged = flagged.withColumn(f"_hits{i}", hits)
+        hits = F.array_compact(F.array(*(F.when(r.matches, F.lit(r.id)) for r in group)))
+        flagged = flagged.withColumn(f"_hits{i}", F.when(group[0].applies, hits).otherwise(none))
     names = [f"_hits{i}" for i in range(len(groups))]
     found = F.flatten(F.array(*names)) if names else F.array().cast("array<string>")
     return flagged.select(*keep, F.explode(found).alias("rule_id")).select("rule_id", *keep)
@@ -130,7 +135,7 @@ def backtest(events: DataFrame, rules: Sequence[Rule], hours: int | None = None,
         newest = events.agg(F.max("at").alias("_max"))
         picked = picked.join(F.broadcast(newest)).where(F.unix_micros("at") >= F.unix_micros("_max") - hours * 3_600_000_000)
     bases = {b for r in rules if r.correlation for b in r.correlation.get("rules", ())}
-    known = events.sparkSession.createDataFrame([(r.id, "base" if r.id in bases else "rule") for r in rules if r.test is not None], "rule_id string, kind string")
+    known = events.sparkSession.createDataFrame([(r.id, "base" if r.id in bases else "rule") for r in rules if r.matches is not None], "rule_id string, kind string")
     found = match_rules(picked, rules, ("event_id",))
     sizes = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     if ids is not None:  # the first ones of each rule; a rule that matches everywhere is no list of everything

@@ -125,6 +125,74 @@ def test_conditions_that_cannot_run(spark, text):
         rules.condition(text, {"a": F.lit(True)})
 
 
+def event_row(spark, **fields):
+    """One event with fields (a__b for a.b), and its values function."""
+    names = {k.replace("__", "."): v for k, v in fields.items()}
+    frame = spark.createDataFrame([tuple([v] for v in names.values())], ", ".join(f"`{n}` array<string>" for n in names))
+    return frame, lambda path: F.col(f"`{path}`") if path in names else F.lit(None).cast("array<string>")
+
+
+@pytest.mark.parametrize(
+    "source,fields,want",
+    [
+        ({"category": "firewall"}, {"destination__ip": "10.0.0.1"}, True), ({"category": "firewall"}, {"destination__ip": "10.0.0.1", "dns__question__name": "x.y"}, False),
+        ({"category": "firewall"}, {"destination__port": "80", "http__response__status_code": "200"}, False), ({"category": "firewall"}, {"destination__port": "80", "dns": "{}"}, False),
+        ({"product": "linux", "service": "sshd"}, {"process__name": "sshd-session"}, True), ({"service": "auth"}, {"process__name": "SSHD"}, True), ({"service": "auth"}, {"process__name": "sudo"}, False),
+        ({"service": "cron"}, {"process__name": "crond"}, True), ({"service": "nginx"}, {"url__original": "/"}, True), ({"service": "apache"}, {"process__name": "apache2"}, False),
+        ({"service": "syslog"}, {"event__original": "x"}, True), ({"product": "linux"}, {"process__name": "x"}, True), ({"product": "linux"}, {"message": "x"}, False),
+        ({"category": "webserver", "product": "windows"}, {"url__path": "/"}, True), ({}, {"message": "x"}, True), (None, {"message": "x"}, True),
+        ({"product": "windows"}, {"message": "x"}, "logsource windows"), ({"product": "windows", "service": "sshd"}, {"message": "x"}, "logsource windows"), ({"category": "process_creation"}, {"message": "x"}, "logsource process_creation"),
+    ],
+)
+def test_sources_of_rules(spark, source, fields, want):
+    event, values_of = event_row(spark, **fields)
+    rule = {"id": "r", "logsource": source, "detection": {"words": ["x"], "not_words": {"|all": ["never seen"]}, "condition": "words or not not_words"}}
+    made, refused = rules.compile_rules([rule], values_of)
+    assert refused == ({"r": want} if isinstance(want, str) else {})
+    if made:
+        assert event.select(made[0].test).first()[0] is want
+        assert detection.match_rules(event.withColumn("event_id", F.lit(1)), made, ("event_id",)).count() == want
+
+
+@pytest.mark.parametrize(
+    "doc,reason",
+    [
+        ({"logsource": {"category": "webserver"}, "detection": {"a": {"foo": None}, "condition": "a"}}, "field foo has no path"),
+        ({"logsource": {"service": "sshd"}, "detection": {"a": {"user.name": "x"}, "condition": "a"}}, "field user.name has no path"),
+        ({"detection": {"a": {"x|gt": "abc"}, "condition": "a"}}, "no number abc"), ({"detection": {"a": {"x|lte": None}, "condition": "a"}}, ""), ({"detection": {"a": {"x|re": "(?P<n>x"}, "condition": "a"}}, "bad pattern (?P<n>x"),
+        ({"detection": {"a": {"x|re|i": "a{2"}, "condition": "a"}}, "bad pattern (?i)a{2"), ({"detection": {"a": {"x": "1"}, "timeframe": "1m", "condition": "a"}}, "timeframe"), ({"detection": {"a": {"x": "1"}, "condition": ["a"]}}, ""),
+        ({"detection": {"a": {"x": "1"}, "condition": ["a", "a"]}}, "several conditions"), ({"detection": {"a": {"x": "1"}, "condition": []}}, "no condition"), ({"detection": {"a": {"x": "1"}}}, "no condition"),
+        ({"detection": {"a": ["w", {"x": "1"}], "condition": "a"}}, "keywords and maps in one selection"), ({"detection": {"a": {"|all|re": ["w"]}, "condition": "a"}}, "keyword modifier re"), ({"detection": {"a": {"|contains|all": ["w"]}, "condition": "a"}}, ""),
+        ({"detection": {"a": None, "condition": "a"}}, "selection None"), ({"detection": None}, "no condition"), ({"detection": {"a": {"x": "1"}, "condition": "a | count() > 5"}}, "unexpected |"),
+        ({"correlation": {"type": "event_count", "rules": ["r"], "condition": {"gte": 3}}}, ""), ({"correlation": {"type": "event_count", "condition": {"gte": 3}}}, "correlation without rules"),
+        ({"correlation": {"type": "value_count", "rules": ["r"], "condition": {"gte": 3}}}, "value_count needs a field"), ({"correlation": {"type": "value_count", "rules": ["r"], "condition": {"gte": 3, "field": "f"}}}, ""),
+        ({"correlation": {"type": "event_count", "rules": ["r"], "condition": {"gte": 3, "lt": 4}}}, "correlation needs one comparison"), ({"correlation": {"type": "event_count", "rules": ["r"]}}, "correlation needs one comparison"),
+        ({"correlation": {"type": "event_count", "rules": ["r"], "condition": {"eq": 3}, "timespan": "5 minutes"}}, "duration 5 minutes"), ({"correlation": {"type": "temporal_ordered"}}, "correlation temporal_ordered"),
+    ],
+)
+def test_rules_that_cannot_run_say_why(spark, doc, reason):
+    assert rules.coverage([{"id": "r"} | doc], lambda path: F.lit(None).cast("array<string>")) == [("r", not reason, reason)]
+
+
+def test_correlations_as_parameters(spark):
+    doc = {"id": "c", "correlation": {"type": "value_count", "rules": ["a"], "group-by": "source.ip", "condition": {"field": "destination.port", "gt": 15}}}
+    assert rules.correlation_of(doc) == {"type": "value_count", "rules": ["a"], "group": ["source.ip"], "span": 300, "op": "gt", "limit": 15, "field": "destination.port"}
+
+
+def test_a_broken_rule_keeps_none_from_running(spark):
+    """Hundreds of rules of several kinds of log, some broken: the others match what they should."""
+    frame = spark.createDataFrame([(i, [f"v{i}"], ["sshd"] if i % 2 else None, [f"text{i}"]) for i in range(40)], "event_id long, `event.action` array<string>, `process.name` array<string>, `event.original` array<string>")
+    names = {"event.action", "process.name", "event.original"}
+    docs = [{"id": f"r{i}", "detection": {"a": {"event.action": f"v{i % 40}"}, "condition": "a"}} for i in range(150)]
+    docs += [{"id": f"s{i}", "logsource": {"service": "sshd"}, "detection": {"a": [f"text{i}"], "condition": "a"}} for i in range(20)]
+    docs += [{"id": f"x{i}", "detection": {"a": {"event.action|re": "(?P<n>v"}, "condition": "a"}} for i in range(5)]
+    made, refused = rules.compile_rules(docs, lambda p: F.col(f"`{p}`") if p in names else F.lit(None).cast("array<string>"))
+    assert sorted(refused) == [f"x{i}" for i in range(5)]
+    got = {(x["rule_id"], x["event_id"]) for x in detection.match_rules(frame, made, ("event_id",)).collect()}
+    want = {(f"r{i}", i % 40) for i in range(150)} | {(f"s{i}", e) for i in range(20) for e in range(40) if e % 2 and f"text{e}".startswith(f"text{i}")}
+    assert got == want
+
+
 def test_routing_and_onboarding(spark):
     hosts = spark.createDataFrame([("a", "approved"), ("p", "pending"), ("r", "rejected")], "source string, status string")
     records = spark.createDataFrame(
