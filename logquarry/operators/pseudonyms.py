@@ -14,11 +14,36 @@ from logquarry.functions.addresses import ipv4_number, ipv6_digits
 from logquarry.functions.keyed import hmac_hex
 from logquarry.sources.sinks import written
 
-SIMPLE = {"email": (ent.EMAIL, 0), "ipv4": (ent.IPV4, 0), "mac": (ent.MAC, 0), "sid": (ent.SID, 0), "url_host": (ent.URL_HOST, 1)}
+SIMPLE = {"ipv4": (ent.IPV4, 0), "mac": (ent.MAC, 0), "sid": (ent.SID, 0), "url_host": (ent.URL_HOST, 1)}
+#: A sign @ with what may stand before and behind it, taken for good: mail addresses begin so.  Expressions for
+#: whole addresses repeat a group for each label, and Java goes one call deeper for each.  An address that
+#: begins within the domain of another run is not looked for.
+_AT = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++"
+
+
+def _addresses(runs: Column) -> Column:
+    """The mail address that each run of _AT begins with; empty where it is none.
+
+    The domain has two labels or more and ends with letters: at the last label that begins with two to
+    twenty-four of them and goes on with a hyphen or not at all.
+    """
+
+    def one(run: Column) -> Column:
+        labels = F.split(F.substring_index(run, "@", -1), r"\.", -1)
+        gap = F.array_position(labels, "")
+        labels = F.when(gap > 0, F.slice(labels, 1, F.greatest(gap - 1, F.lit(0)).cast("int"))).otherwise(labels)
+        ends = F.transform(labels, lambda label, i: F.when(i > 0, F.regexp_extract(label, "^[A-Za-z]{2,24}(?=-|$)", 0)).otherwise(F.lit("")))
+        last = F.array_max(F.transform(ends, lambda end, i: F.when(end != "", i)))
+        domain = F.concat(F.array_join(F.slice(labels, F.lit(1), last), "."), F.lit("."), F.get(ends, last))
+        return F.coalesce(F.concat(F.substring_index(run, "@", 1), F.lit("@"), domain), F.lit(""))
+
+    return F.transform(runs, one)
 
 
 def detect_simple(text: Column, kind: str) -> Column:
     """Distinct values of one kind in a text, by built-in expressions."""
+    if kind == "email":
+        return F.filter(F.array_distinct(_addresses(F.regexp_extract_all(text, F.lit(_AT), 0))), lambda v: v != "")
     rx, group = SIMPLE[kind]
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(rx), group))
     return F.filter(found, ip_sensitive) if kind == "ipv4" else found
@@ -141,7 +166,7 @@ def quoted(v: Column) -> Column:
 def replace_values(text: Column, pairs: Column) -> Column:
     """A text with every value of pairs (value, token) replaced wherever it stands alone, longest first."""
     order = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["value"])).alias("n"), p["value"].alias("value"), p["token"].alias("token"))))
-    swap = lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?i)(?<![\w.-])"), quoted(p["value"]), F.lit(r"(?![\w-])")), p["token"])
+    swap = lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?i)(?<![\w.-])"), quoted(p["value"]), F.lit(r"(?![\w-])")), F.regexp_replace(p["token"], r"([\\$])", r"\\$1"))
     return F.aggregate(order, text, swap)
 
 
@@ -198,12 +223,17 @@ _TOKENS = r"(?i)\b(?:user|host)-[0-9a-f]{6}\b|\bu[0-9a-f]{6}@[\w.-]+|\bd[0-9a-f]
 
 
 def reidentify(texts: DataFrame, column: str, vault: DataFrame, secret: bytes, key_column: str = "line_id") -> DataFrame:
-    """texts with tokens that the vault knows replaced by their originals; others stay."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(_TOKENS), 0), F.lower))
-    each = texts.select(key_column, F.explode(found).alias("_t"))
-    known = vault.select(F.lower("token").alias("_t"), F.aes_decrypt("enc", F.lit(secret)).cast("string").alias("value"))
-    pairs = each.join(known, "_t").groupBy(key_column).agg(F.collect_list(F.struct(F.col("_t").alias("value"), F.col("value").alias("token"))).alias("_pairs"))
-    return texts.join(pairs, key_column, "left").withColumn(column, F.when(F.col("_pairs").isNull(), F.col(column)).otherwise(replace_values(F.col(column), F.col("_pairs")))).drop("_pairs")
+    """texts with tokens that the vault knows replaced by their originals; others stay.
+
+    A text is cut at its tokens and put together again, each token looked up once: originals may hold any
+    sign, and what they hold is not looked at again, even where it looks like a token.
+    """
+    tokens, gaps = F.regexp_extract_all(column, F.lit(_TOKENS), 0), F.split(column, _TOKENS, -1)
+    each = texts.select(key_column, F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("_t"))
+    known = vault.select(F.lower("token").alias("_t"), F.aes_decrypt("enc", F.lit(secret)).cast("string").alias("_v"))
+    pairs = each.join(known, "_t").groupBy(key_column).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_v"))).alias("_of"))
+    pieces = F.zip_with(gaps, tokens, lambda gap, t: F.concat(gap, F.coalesce(F.col("_of")[F.lower(t)], t, F.lit(""))))
+    return texts.join(pairs, key_column, "left").withColumn(column, F.when(F.col("_of").isNull(), F.col(column)).otherwise(F.array_join(pieces, ""))).drop("_of")
 
 
 def leak_check(outgoing: DataFrame, originals: DataFrame, by: str = "line_id", known: DataFrame | None = None) -> DataFrame:

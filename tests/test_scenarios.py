@@ -215,6 +215,53 @@ def test_refused_envelopes(spark):
     assert bad.count() == 4
 
 
+def test_envelopes_with_braces(spark):
+    from logquarry.sources.records import read_ndjson
+
+    kept = ['{"message":"f{a}{b}","source":"x"}', '{"message":"} {","source":"x"}', ' [{"message":"}{ ]["}] \t', '{"message":"q","source":"","ecs":5}', '{"message":"e","ecs":{"a":{"b":1}}}', '[]', '{"message":"\\u007d\\u007b"}']
+    lost = ['{"message":"m"} {"message":"n"}', '{"message":"m"}{"message":"n"}', '{"message":"m"}, {"message":"n"}', '{"message":"m"}] [', '[{"message":"m"}] []', '"m"', '5', '{"message":"m"},', '{"message":"a","message":"b"}', '}{', '[[{"message":"m"}]]', 'null']
+    good, bad = read_ndjson(spark.createDataFrame([(x,) for x in kept + lost], "value string"))
+    got = sorted((r["source"], r["raw"], r["ecs"]) for r in good.collect())
+    assert got == sorted([("x", "f{a}{b}", None), ("x", "} {", None), ("unknown", "}{ ][", None), ("unknown", "q", None), ("unknown", "e", '{"a":{"b":1}}'), ("unknown", "}{", None)], key=lambda r: (r[0], r[1]))
+    assert sorted(r["value"] for r in bad.collect()) == sorted(lost)
+
+
+def test_originals_with_any_sign_come_back(spark):
+    """Values with signs that mean something in replacements, and values that look like tokens of others."""
+    values_ = [("user", "svc$"), ("user", "a$1b"), ("user", "DOM\\bob"), ("user", "x\\"), ("user", "$0"), ("ipv4", "10.5.6.7"), ("ipv4", "10.5.6.8"), ("user", "(a|b)*"), ("fqdn", "h1.corp.lan"), ("email", "a@h1.corp.lan")]
+    vault = pseudonyms.build_vault(spark.createDataFrame(values_, "kind string, value string"), KEY, b"k" * 16)
+    tokens = {r["v"]: r["token"] for r in vault.select("token", F.aes_decrypt("enc", F.lit(b"k" * 16)).cast("string").alias("v")).collect()}
+    # One value's token is another's original.
+    odd = vault.unionByName(vault.limit(1).select("kind", F.lit("d").alias("digest"), F.lit(tokens["a$1b"].replace("user-", "host-")).alias("token"), "salt", "collided", F.aes_encrypt(F.lit(tokens["svc$"]), F.lit(b"k" * 16)).alias("enc")))
+    lines = [(i, f"{tokens[v]}: <{tokens[v].upper()}> and {tokens['svc$']}", f"{v}: <{v}> and svc$") for i, (_, v) in enumerate(values_)]
+    lines += [(100, tokens["a$1b"].replace("user-", "host-") + " stays once", tokens["svc$"] + " stays once"), (101, "user-zzzzzz 10.1.1.1 none", "user-zzzzzz 10.1.1.1 none"), (102, None, None), (103, "", "")]
+    back = pseudonyms.reidentify(spark.createDataFrame([x[:2] for x in lines], "line_id long, text string"), "text", odd, b"k" * 16)
+    assert {r["line_id"]: r["text"] for r in back.collect()} == {i: want for i, _, want in lines}
+    done = pseudonyms.pseudonymise_doc(spark.createDataFrame([(1, "user.name", "bob"), (1, "message", "bob and BOB")], "doc_id long, path string, value string"), KEY)
+    assert {r["path"]: r["value"] for r in done.collect()}["message"] == f"{tokens_of(spark, 'user', 'bob')} and {tokens_of(spark, 'user', 'bob')}"
+
+
+def tokens_of(spark, kind, value):
+    return spark.range(1).select(pseudonyms.token(KEY, F.lit(kind), F.lit(value))).first()[0]
+
+
+MAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\b", re.A)
+
+
+def test_mail_addresses_as_columns(spark):
+    import random
+
+    r = random.Random(7)
+    texts = ["a@b.com, a@b.com.123 x.y@z.org. u@h-1.example.net-x é@b.de a@b.c a@b..com @b.com a@ a@b a@b.co1 z@-.com"]
+    texts += ["".join(r.choice("aB1.- _%é") for _ in range(r.randint(0, 40))) + "@" + "".join(r.choice(["ab", "c", ".", ".com", "-", "1"]) for _ in range(r.randint(0, 8))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for x in frame.select("i", pseudonyms.detect_simple(F.col("t"), "email").alias("v")).collect():
+        assert sorted(x["v"]) == sorted({m[0] for m in MAIL.finditer(texts[x["i"]])}), texts[x["i"]]
+    long = "a@" + "label." * 100_000 + "com " + "x." * 100_000 + "@" + "y-" * 100_000
+    got = spark.createDataFrame([(long,)], "t string").select(pseudonyms.detect_simple(F.col("t"), "email").alias("v")).first()["v"]
+    assert [len(v) for v in got] == [len("a@") + 600_003]
+
+
 def test_counts_and_alerts_by_stretches_of_time(spark):
     """Windows and islands across the edges of stretches and blocks, against loops over all rows."""
     import random
@@ -271,6 +318,8 @@ MORE_LINES = {
     "cat /home/lmaurer/x": ["user:lmaurer"],
     "xauthuser=moser remuser: nagel client_name=pc-77 dvc_host=fw-3 srcname=\"nas 2\" dst_user_name=opitz uid=0": ["host:fw-3", "host:nas 2", "host:pc-77", "user:moser", "user:nagel", "user:opitz"],
     "outside:2a02:810d::1/443 seen, key aa:bb:cc:dd:ee:ff:00:11": ["ipv6:2a02:810d::1"],
+    "src.user=bobby dst.host: box7 a/b.user='carl x' login='dora\" x/user=emil1": ["host:box7", "user:bobby", "user:carl x", "user:dora", "user:emil1"],
+    "src_user=frank my-user=nobody2 http.host=web.lan srv.host=web.example.org": ["fqdn:web.example.org", "fqdn:web.lan", "user:frank"],
     "GET https://Intra.Example.ORG:8443/a?b std::vector 10.1.2.3:80, 10.1.2.300": ["fqdn:Intra.Example.ORG", "ipv4:10.1.2.3"],
 }
 
