@@ -9,6 +9,7 @@ from logquarry.functions import entities as ent
 from logquarry.functions.keyed import pads
 from logquarry.jobs.query import LINES_SQL, log_events, query, raw_lines, table
 from logquarry.operators import pseudonyms as op
+from logquarry.sources.sinks import scratch_path
 
 KEY, SECRET = b"a key for test tables", b"0123456789abcdef"
 
@@ -28,8 +29,8 @@ VALUE_SQL = """vals as (select 'user' as kind, c_name as value from customer uni
     union all select 'ipv6', printf('2a02:810d:%x:%x:0:0:%x:%x', 1 + c_custkey % 9, 1 + c_custkey % 50, 1 + c_custkey % 200, 1 + c_custkey % 3) from customer)"""
 
 
-def values(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer")
+def values(spark: SparkSession, d: str, of: str = "true") -> DataFrame:
+    c = table(spark, d, "customer").where(of)
     k = lambda n: (F.col("c_custkey") % n).cast("string")
     key, byte = F.col("c_custkey"), lambda n: F.expr(f"(c_custkey div {n}) % 256")
     kinds = {
@@ -44,30 +45,36 @@ def values(spark: SparkSession, d: str) -> DataFrame:
     return c.select(rows.alias("v")).select("v.*")
 
 
-def _fqdn_sql(v: str) -> str:
-    """Tokens of three- and four-label names."""
-    part = lambda suffix: f"'d' || {_hmac(chr(39) + 'fqdn' + chr(39), suffix, chr(39) + '0' + chr(39))}[1:6]"
+def _fqdn_sql(v: str, salt: str = "'0'") -> str:
+    """Tokens of three- and four-label names; the salt moves the first label."""
+    part = lambda suffix, s="'0'": f"'d' || {_hmac(chr(39) + 'fqdn' + chr(39), suffix, s)}[1:6]"
     low = f"lower({v})"
     tail = lambda i: f"array_to_string(string_split({low}, '.')[{i}:], '.')"
     n = f"len(string_split({low}, '.'))"
     last = f"string_split({low}, '.')[-1]"
-    return f"case when {n} = 3 then {part(tail(1))} || '.' || {part(tail(2))} || '.' || {last} else {part(tail(1))} || '.' || {part(tail(2))} || '.' || {part(tail(3))} || '.' || {last} end"
+    return f"case when {n} = 3 then {part(tail(1), salt)} || '.' || {part(tail(2))} || '.' || {last} else {part(tail(1), salt)} || '.' || {part(tail(2))} || '.' || {part(tail(3))} || '.' || {last} end"
 
 
 _Q = "'"
 _HEX = lambda h, i: f"('0x' || {h}[{2 * i + 1}:{2 * i + 2}])::int"
-_MAC_H = _hmac("'mac'", "lower(value)", "'0'")
-_SID_H = _hmac("'sid'", "array_to_string(string_split(value, '-')[5:7], '-')", "'0'")
 _V6 = "array_to_string(list_transform(string_split(value, ':'), lambda x: lpad(x, 4, '0')), ':')"
-_V6_H, _V6_P = _hmac("'ipv6'", _V6, "'0'"), _hmac("'ipv6-prefix'", f"({_V6})[1:19]")
 _GROUP = lambda h, i: f"regexp_replace({h}[{4 * i + 1}:{4 * i + 4}], '^0{{1,3}}', '')"
-_MAC_SQL = "'02' || " + " || ".join(f"':' || {_MAC_H}[{2 * i + 1}:{2 * i + 2}]" for i in range(5))
-_SID_SQL = "'S-1-5-21' || " + " || ".join(f"'-' || ('0x' || {_SID_H}[{8 * i + 1}:{8 * i + 8}])::bigint" for i in range(3)) + " || '-' || string_split(value, '-')[8]"
-_V6_SQL = "'2001:db8' || " + " || ".join(f"':' || {g}" for g in [*(_GROUP(_V6_P, i) for i in range(2)), *(_GROUP(_V6_H, i) for i in range(4))])
-TOKEN_SQL = f"""tok as (select distinct kind, value, case kind when 'user' then 'user-' || {_hmac("'user'", 'lower(value)', "'0'")}[1:6] when 'host' then 'host-' || {_hmac("'host'", 'lower(value)', "'0'")}[1:6]
-    when 'email' then 'u' || {_hmac("'email'", "lower(split_part(value, '@', 1))", "lower(split_part(value, '@', 2))", "'0'")}[1:6] || '@' || {_fqdn_sql("split_part(value, '@', 2)")}
-    when 'fqdn' then {_fqdn_sql('value')} when 'mac' then {_MAC_SQL} when 'sid' then {_SID_SQL} when 'ipv6' then {_V6_SQL} else case when value like '10.%' then '10.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} else '198.' || (18 + {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 0)} % 2) end
-        || '.' || {_HEX(_hmac("'ipv4-prefix'", "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"), 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", 'value', "'0'"), 0)} % 254) end as token from vals)"""
+_NET = "regexp_extract(value, '^(.*)\\.[0-9]+$', 1)"
+
+
+def _token_sql(salt: str = "'0'") -> str:
+    """The token of kind and value with a salt."""
+    mac, sid, v6, v6_net, net = _hmac("'mac'", "lower(value)", salt), _hmac("'sid'", "array_to_string(string_split(value, '-')[5:7], '-')", salt), _hmac("'ipv6'", _V6, salt), _hmac("'ipv6-prefix'", f"({_V6})[1:19]"), _hmac("'ipv4-prefix'", _NET)
+    mac_sql = "'02' || " + " || ".join(f"':' || {mac}[{2 * i + 1}:{2 * i + 2}]" for i in range(5))
+    sid_sql = "'S-1-5-21' || " + " || ".join(f"'-' || ('0x' || {sid}[{8 * i + 1}:{8 * i + 8}])::bigint" for i in range(3)) + " || '-' || string_split(value, '-')[8]"
+    v6_sql = "'2001:db8' || " + " || ".join(f"':' || {g}" for g in [*(_GROUP(v6_net, i) for i in range(2)), *(_GROUP(v6, i) for i in range(4))])
+    return f"""case kind when 'user' then 'user-' || {_hmac("'user'", 'lower(value)', salt)}[1:6] when 'host' then 'host-' || {_hmac("'host'", 'lower(value)', salt)}[1:6]
+    when 'email' then 'u' || {_hmac("'email'", "lower(split_part(value, '@', 1))", "lower(split_part(value, '@', 2))", salt)}[1:6] || '@' || {_fqdn_sql("split_part(value, '@', 2)")}
+    when 'fqdn' then {_fqdn_sql('value', salt)} when 'mac' then {mac_sql} when 'sid' then {sid_sql} when 'ipv6' then {v6_sql} else case when value like '10.%' then '10.' || {_HEX(net, 0)} else '198.' || (18 + {_HEX(net, 0)} % 2) end
+        || '.' || {_HEX(net, 1)} || '.' || (1 + {_HEX(_hmac("'ipv4'", 'value', salt), 0)} % 254) end"""
+
+
+TOKEN_SQL = f"tok as (select distinct kind, value, {_token_sql()} as token from vals)"
 
 
 @query(f"with {VALUE_SQL}, {TOKEN_SQL} select kind, value, token from tok")
@@ -84,6 +91,25 @@ def q_build_vault(spark, d):
     return vault.select("kind", "digest", "salt", F.when(F.col("salt") == 0, F.col("token")).alias("token0"), F.aes_decrypt("enc", F.lit(SECRET)).cast("string").alias("original"))
 
 
+EARLY_SQL = """early as (select 'user' as kind, c_name as value from customer where c_acctbal < 4000 union select 'host', 'srv-' || (c_custkey % 400) from customer where c_acctbal < 4000
+    union select 'ipv4', case when c_custkey % 2 = 0 then '10.' else '203.' end || (c_custkey % 3) || '.' || (c_custkey % 50) || '.' || (c_custkey % 200) from customer where c_acctbal < 4000)"""
+
+
+@query(f"""with {VALUE_SQL}, {EARLY_SQL}, tok0 as (select kind, value, {_token_sql()} as token, e.value is not null as first from (select distinct kind, value from vals) left join early e using (kind, value)),
+    v as (select kind, {_hmac('kind', 'lower(trim(value))')} as digest, min(value) as value, min(token) as token, bool_or(first) as first from tok0 group by 1, 2),
+    one as (select kind, digest, value, row_number() over (partition by token order by digest) - 1 as salt from v where first),
+    held as (select kind, digest, value, 0 as batch, salt, {_token_sql('salt::varchar')} as token from one),
+    two as (select kind, digest, value, 1 as batch, row_number() over (partition by token order by digest) - 1 + (token in (select token from held))::int as salt from v where not first)
+    select kind, digest, batch, salt, token, value as original from held union all select kind, digest, batch, salt, {_token_sql('salt::varchar')} as token, value from two""")
+def q_extend_vault(spark, d):
+    """A vault of the users, hosts and addresses of some customers, extended by all values of all of them."""
+    path = scratch_path(spark, "vault")
+    early = values(spark, d, "c_acctbal < 4000").where("kind in ('user', 'host', 'ipv4')")
+    op.extend_vault(early, path, KEY, SECRET)
+    op.extend_vault(values(spark, d), path, KEY, SECRET)
+    return op.open_vault(spark, path).select("kind", "digest", F.col("batch").cast("int").alias("batch"), "salt", "token", F.aes_decrypt("enc", F.lit(SECRET)).cast("string").alias("original"))
+
+
 @query("""with n as (select distinct 'h' || (c_custkey % 300) || '.lab' || (c_custkey % 7) || '.example.net' as name from customer)
     select name, name || ',' || regexp_extract(name, '^[^.]*\\.(.*)$', 1) || ',example.net' as suffixes from n""")
 def q_fqdn_suffixes(spark, d):

@@ -6,12 +6,13 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import entities as ent
 from logquarry.functions.addresses import ipv4_number, ipv6_digits
 from logquarry.functions.keyed import hmac_hex
+from logquarry.sources.batches import BatchStore
 from logquarry.sources.sinks import written
 
 SIMPLE = {"ipv4": (ent.IPV4, 0), "mac": (ent.MAC, 0), "sid": (ent.SID, 0), "url_host": (ent.URL_HOST, 1)}
@@ -124,31 +125,68 @@ def fqdn_suffixes(name: Column) -> Column:
     return F.filter(F.transform(places, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")), lambda s: F.contains(s, F.lit(".")))
 
 
-def build_vault(found: DataFrame, key: bytes, secret: bytes, width: int = 6, rounds: int = 100) -> DataFrame:
-    """kind, digest, token, salt, collided, enc for the distinct values of found (kind, value).
+def build_vault(found: DataFrame, key: bytes, secret: bytes, width: int = 6, rounds: int = 64, known: DataFrame | None = None) -> DataFrame:
+    """kind, digest, token, salt, collided, enc for the distinct values of found (kind, value) that are not known.
 
-    Values are one if their digests are.  Where values share a token, the one with the least digest keeps
-    it and each other takes its place among them as salt; whoever meets a token of a lesser salt again
-    takes the next salt, until no two tokens are equal.  collided counts who still shares the token after
-    so many rounds: 0 unless tokens have too few digits for the values.  enc is the value, encrypted with
-    secret (16, 24 or 32 bytes).
+    Values are one if their digests are.  Where new values share a token, the one with the least digest gets
+    it and each other takes its place among them as salt; known (kind, digest, token) rows keep their tokens
+    whatever comes, so a new value that meets one counts behind it.  Whoever meets a token that is given
+    takes the next salt, until no two tokens are equal; tokens once given are never given again.
+
+    collided is 0; 1 marks values that still had none of their own after so many rounds, as tokens have
+    too few digits for them.  enc is the value, encrypted with secret (16, 24 or 32 bytes).
     """
     values = found.where("value is not null").select("kind", "value", digest(key, F.col("kind"), F.col("value")).alias("digest"))
     distinct = values.groupBy("kind", "digest").agg(F.min("value").alias("value"))
+    given = known.select("token") if known is not None else None
+    if known is not None:
+        distinct = distinct.join(known.select("kind", "digest"), ["kind", "digest"], "left_anti")
+    salted = lambda: token(key, F.col("kind"), F.col("value"), F.col("salt"), width)
     first = distinct.withColumn("_t", token(key, F.col("kind"), F.col("value"), width=width))
     place = F.row_number().over(Window.partitionBy("_t").orderBy("digest")) - 1
-    salted = lambda: token(key, F.col("kind"), F.col("value"), F.col("salt"), width)
-    vault = first.withColumn("salt", place.cast("long")).withColumn("token", F.when(F.col("salt") == 0, F.col("_t")).otherwise(salted())).drop("_t")
+    if given is not None:
+        taken = given.select(F.col("token").alias("_t"), F.lit(1).alias("_taken"))
+        first, place = first.join(taken, "_t", "left"), place + F.coalesce("_taken", F.lit(0))
+    open_ = first.withColumn("salt", place.cast("long")).select("kind", "digest", "value", "salt").withColumn("token", salted())
     order = Window.partitionBy("token").orderBy("salt", "digest")
+    done = None
     for _ in range(rounds):
-        vault = written(vault.withColumn("_late", F.row_number().over(order) > 1), "vault")
-        if vault.where("_late").limit(1).count() == 0:
+        open_ = open_.withColumn("_late", F.row_number().over(order) > 1)
+        if given is not None:
+            open_ = open_.join(given.withColumn("_given", F.lit(True)), "token", "left").withColumn("_late", F.col("_late") | F.col("_given").isNotNull())
+        open_ = written(open_.select("kind", "digest", "value", "salt", "token", "_late"), "vault")
+        settled = open_.where("not _late").drop("_late")
+        done = settled if done is None else done.unionByName(settled)
+        given = settled.select("token") if given is None else given.unionByName(settled.select("token"))
+        open_ = open_.where("_late").drop("_late").withColumn("salt", F.col("salt") + 1).withColumn("token", salted())
+        if open_.limit(1).count() == 0:
             break
-        moved = vault.where("_late").withColumn("salt", F.col("salt") + 1)
-        vault = vault.where("not _late").unionByName(moved.withColumn("token", salted())).drop("_late")
-    return vault.select(
-        "kind", "digest", "token", "salt", (F.count(F.lit(1)).over(Window.partitionBy("token")) - 1).alias("collided"), F.aes_encrypt(F.col("value"), F.lit(secret)).alias("enc")
-    )
+    whole = done.withColumn("collided", F.lit(0).cast("long")).unionByName(open_.withColumn("collided", F.lit(1).cast("long")))
+    return whole.select("kind", "digest", "token", "salt", "collided", F.aes_encrypt(F.col("value"), F.lit(secret)).alias("enc"))
+
+
+VAULT = "kind string, digest string, token string, salt long, enc binary"
+
+
+def open_vault(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the vault at path: kind, digest, token, salt, enc, and the batch that brought each."""
+    return BatchStore(spark, path).read("rows", VAULT)
+
+
+def extend_vault(found: DataFrame, path: str, key: bytes, secret: bytes, width: int = 6, rounds: int = 64) -> int:
+    """Add the values of found (kind, value) that the vault at path does not have; the number of the batch.
+
+    A vault only grows: what it once gave out for a value stays, so texts of any age can be restored.  New
+    rows are there all together or not at all.  If tokens have too few digits for the values, none is added
+    and ValueError is raised.  A vault has one writer at a time.
+    """
+    store = BatchStore(found.sparkSession, path)
+    number = store.next_number()
+    new = store.put(number, "rows", build_vault(found, key, secret, width, rounds, open_vault(found.sparkSession, path)))
+    if new.where("collided > 0").limit(1).count():
+        raise ValueError(f"tokens of {width} digits do not suffice for these values")
+    store.commit(number)
+    return number
 
 
 def replace_spans(text: Column, spans: Column) -> Column:

@@ -347,12 +347,40 @@ def test_pseudonyms_keep_shape_and_leak_nothing(spark):
 
 def test_colliding_tokens_get_salts(spark):
     found = spark.createDataFrame([("user", f"u{i}") for i in range(60)], "kind string, value string")
-    vault = pseudonyms.build_vault(found, KEY, b"k" * 16, width=1).collect()
-    assert len(vault) == 60 and max(r["salt"] for r in vault) > 0
+    vault = pseudonyms.build_vault(found, KEY, b"k" * 16, width=1, rounds=4).collect()
+    assert len(vault) == 60 and max(r["salt"] for r in vault) > 0 and sum(r["collided"] for r in vault) >= 44
     few = pseudonyms.build_vault(found.limit(14), KEY, b"k" * 16, width=1).collect()  # of 16 tokens
     assert len({r["token"] for r in few}) == 14 and not any(r["collided"] for r in few)
 
 
+def test_a_vault_only_grows(spark, tmp_path):
+    """Values come in batches under tokens of two digits: what was given out stays, and nothing is given twice."""
+    import shutil
+
+    path, secret, first = f"file://{tmp_path}/vault", b"k" * 16, {}
+    names = [("user", f"u{i}") for i in range(120)] + [("host", f"u{i}") for i in range(60)]
+    steps = [names[:60], names[:60], names[100:180] + [("user", "U3")], names]
+    for n, rows in enumerate(steps):
+        assert pseudonyms.extend_vault(spark.createDataFrame(rows, "kind string, value string"), path, KEY, secret, width=2) == n
+        vault = pseudonyms.open_vault(spark, path).collect()
+        now = {(r["kind"], r["digest"]): (r["token"], bytes(r["enc"]), r["salt"], r["batch"]) for r in vault}
+        assert len(now) == len(vault) == len({k for s in steps[: n + 1] for k in ((kind, v.lower()) for kind, v in s)})
+        assert len({t[0] for t in now.values()}) == len(now) and now.items() >= first.items()
+        first = now
+    assert max(t[2] for t in first.values()) > 0 and {t[3] for t in first.values()} == {0, 2, 3}
+    texts = spark.createDataFrame([(i, f"<{t[0]}>") for i, t in enumerate(sorted(first.values()))], "line_id long, text string")
+    back = {r["line_id"]: r["text"] for r in pseudonyms.reidentify(texts, "text", pseudonyms.open_vault(spark, path), secret).collect()}
+    assert {x.strip("<>").lower() for x in back.values()} == {v.lower() for _, v in names}
+    # A lost run leaves rows without a mark: they do not count, and the next run replaces them.
+    shutil.copytree(tmp_path / "vault/rows/batch=0", tmp_path / "vault/rows/batch=4")
+    assert pseudonyms.open_vault(spark, path).count() == len(first)
+    with pytest.raises(ValueError):  # 256 tokens for each kind
+        pseudonyms.extend_vault(spark.createDataFrame([("user", f"w{i}") for i in range(300)], "kind string, value string"), path, KEY, secret, width=2, rounds=3)
+    assert {(r["kind"], r["digest"]) for r in pseudonyms.open_vault(spark, path).collect()} == set(first)
+    assert pseudonyms.extend_vault(spark.createDataFrame([("user", "last")], "kind string, value string"), path, KEY, secret, width=2) == 4
+    assert pseudonyms.open_vault(spark, path).count() == len(first) + 1
+
+
 def test_hmac_and_addresses(spark):
     import hashlib
     import hmac
