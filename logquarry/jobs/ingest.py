@@ -9,6 +9,7 @@ from logquarry.jobs.query import EV_SQL, HOSTS_SQL, LINES_SQL, at_literal, host_
 from logquarry.operators import ingest as op
 from logquarry.sources import records as src
 from logquarry.sources import sinks
+from logquarry.sources.batches import BatchStore
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -186,6 +187,22 @@ def q_backfill(spark, d):
     return done.select("line_id", "source", "doc", F.lit(True).alias("moved")).unionByName(rest.select("line_id", "source", none.alias("doc"), F.lit(False).alias("moved")))
 
 
+@query(f"""with {BACK_SQL}, gained as (select source, (us // 60000000) * 60000000 as minute_us, count(*) as n, coalesce(sum(case when line_id % 3 = 0 then (line_id % 100) / 4 end), 0) as s, count(case when line_id % 3 = 0 then 1 end) as k from done group by 1, 2),
+    counters as (select source, (us // 60000000) * 60000000 as minute_us, count(*) as total, count(*) filter (route = 'event') as parsed, coalesce(sum(skew), 0) as skew_sum, count(skew) as skew_n from routed where route <> 'dropped' group by 1, 2)
+    select source, minute_us, total, parsed + coalesce(n, 0) as parsed, round(skew_sum + coalesce(s, 0), 4) as skew_sum, skew_n + coalesce(k, 0) as skew_n from counters left join gained using (source, minute_us)""")
+def q_backfill_counters(spark, d):
+    """Minute counters after a backfill in two runs, of which the second is tried twice; a third of the lines has a time of its own."""
+    q = quarantine(spark, d)
+    own = F.when(F.col("line_id") % 3 == 0, F.timestamp_micros(micros("received_at") - (F.col("line_id") % 100) * 250_000))
+    parsed = q.select("line_id", F.when(F.col("raw").isin("click", "view"), F.concat(F.lit("doc:"), "raw")).alias("doc"), own.alias("event_at"))
+    store = BatchStore(spark, sinks.scratch_path(spark, "backfill"))
+    first = q.join(op.backfill(q, parsed, 200)[0].select("line_id"), "line_id", "left_semi")  # both runs together try the oldest 200
+    for run, tried in ((0, first.where("raw = 'click'")), (1, first), (1, first)):
+        op.run_backfill(store, run, tried, parsed)
+    out = op.mend_counters(op.minute_stats(routed(spark, d)), op.merge_counters(store.read("counters", op.GAINED)))
+    return out.select("source", micros("minute").alias("minute_us"), "total", "parsed", F.round("skew_sum", 4).alias("skew_sum"), "skew_n")
+
+
 @query("""select p_partkey as parser_id, p_brand as source, case when p_size % 2 = 1 then 'proposed'
     when row_number() over (partition by p_brand, p_size % 2 order by p_size desc, p_partkey desc) > 1 then 'superseded' else 'approved' end as status from part""")
 def q_activate_parser(spark, d):

@@ -9,6 +9,8 @@ from logquarry.jobs import alerting, ingest
 from logquarry.jobs import rules as rq
 from logquarry.jobs.detection import MATCH_SQL
 from logquarry.jobs.query import EV_SQL, LINES_SQL, host_table, instant, micros, query, table
+from logquarry.operators import ingest as ingest_op
+from logquarry.sources.batches import BatchStore
 from logquarry.sources.sinks import scratch_path
 from logquarry.streaming import jobs as op
 
@@ -24,17 +26,18 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ran(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    path = scratch_path(spark, "stream")
-    op.run_once(stream, path, mode)
-    return spark.read.parquet(f"{path}/rows")
+    return op.run_once(stream, scratch_path(spark, "stream"), mode)
 
 
-def routed_stream(spark, d) -> DataFrame:
-    records = event_stream(spark, d).select(
+def record_stream(spark, d) -> DataFrame:
+    return event_stream(spark, d).select(
         "event_id", "source", F.col("action").alias("raw"), F.col("at").alias("received_at"), F.when(F.col("value") >= 20, F.to_json(F.struct("port"))).alias("ecs"),
         F.when(F.col("event_id") % 5 == 0, "").otherwise("p1").alias("parser_id"), F.when(F.col("value") >= 20, F.col("value") * 10).alias("skew"),
     )
-    return op.route_stream(records, host_table(spark, d))
+
+
+def routed_stream(spark, d) -> DataFrame:
+    return op.route_stream(record_stream(spark, d), host_table(spark, d))
 
 
 @query(f"with {ingest.REC_SQL} select event_id, route, held from routed")
@@ -42,6 +45,27 @@ def q_stream_route(spark, d):
     return _ran(spark, routed_stream(spark, d)).select("event_id", "route", "held")
 
 
+@query(f"""with {ingest.REC_SQL}, minutes as (select source, count(distinct us // 60000000) as minutes, count(*) as total, count(*) filter (route = 'event') as parsed, round(coalesce(sum(skew), 0), 4) as skew_sum from routed where route <> 'dropped' group by 1)
+    select r.source, count(*) filter (route = 'event') as events, count(*) filter (route = 'quarantine') as quarantined, count(*) filter (held) as held, coalesce(sum(event_id) filter (route <> 'dropped'), 0)::bigint as ids,
+        count(*) as lines, min(us) as first_us, max(us) as last_us, min(status) as status, coalesce(any_value(minutes), 0) as minutes, coalesce(any_value(total), 0) as total, coalesce(any_value(parsed), 0) as parsed, coalesce(any_value(skew_sum), 0) as skew_sum
+    from routed r left join minutes m on m.source = r.source group by r.source""")
+def q_stream_sinks(spark, d):
+    """A stream routed into events, quarantine, senders and minute counters, a batch at a time, by sender."""
+    path = scratch_path(spark, "sinks")
+    store = BatchStore(spark, path)
+    op.route_to(record_stream(spark, d), host_table(spark, d), store, f"{path}/checkpoint", key="event_id")
+    of = lambda route: F.count_if(F.col("route") == route)
+    lines = op.routed_lines(store, "event_id long").groupBy("source").agg(of("event").alias("events"), of("quarantine").alias("quarantined"), F.count_if("held").alias("held"), F.sum("event_id").alias("ids"))
+    none = spark.createDataFrame([], op.HOST_GAINS)
+    known = host_table(spark, d).join(none.drop("status"), "source", "left")
+    hosts = op.host_gains(store, known).where("lines > 0").select("source", "status", "lines", micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"))
+    merged = ingest_op.merge_counters(store.read("counters", op.COUNTER_GAINS)).groupBy("source").agg(
+        F.count(F.lit(1)).alias("minutes"), F.sum("total").alias("total"), F.sum("parsed").alias("parsed"), F.round(F.sum("skew_sum"), 4).alias("skew_sum")
+    )
+    filled = {c: 0 for c in ("events", "quarantined", "held", "ids", "minutes", "total", "parsed", "skew_sum")}
+    return hosts.join(lines, "source", "left").join(merged, "source", "left").fillna(filled)
+
+
 @query(f"""with {ingest.REC_SQL} select source, (us // 60000000) * 60000000 as minute_us, count(*) as total, count(*) filter (route = 'event') as parsed, round(coalesce(sum(skew), 0), 4) as skew_sum, count(skew) as skew_n from routed where route <> 'dropped' group by 1, 2""")
 def q_stream_minute_stats(spark, d):
     rows = op.latest(_ran(spark, op.minute_stats_stream(routed_stream(spark, d)), "update"), ["source", "minute"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logquarry.sources.batches import BatchStore
+
 THRESHOLDS = (
     "silence_min_minutes", "silence_factor", "volume_drop", "volume_spike", "parse_rate_warning", "parse_rate_critical", "skew_seconds",
 )
@@ -80,15 +82,70 @@ def set_thresholds(hosts: DataFrame, changes: DataFrame) -> DataFrame:
 def backfill(quarantine: DataFrame, parsed: DataFrame, limit: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(events, remaining quarantine) after parsing the oldest limit lines of each sender again.
 
-    quarantine: line_id, source, received_at, raw, held; parsed: line_id, doc (null where it failed).
-    Held lines stay.  An event keeps its line as raw.
+    quarantine: line_id, source, received_at, raw, held; parsed: line_id, doc (null where it failed), and
+    event_at, the document's own time, if there is one.  Held lines stay.  An event keeps its line as raw.
+    backfill_counters() tells what minute counters gain.
     """
     first = Window.partitionBy("source").orderBy("line_id")
     tried = quarantine.where("not held").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
-    done = tried.join(parsed.where("doc is not null").select("line_id", "doc"), "line_id").select("line_id", "source", "received_at", "raw", "doc")
+    made = ["doc", *(c for c in parsed.columns if c == "event_at")]
+    done = tried.join(parsed.where("doc is not null").select("line_id", *made), "line_id").select("line_id", "source", "received_at", "raw", *made)
     return done, quarantine.join(done.select("line_id"), "line_id", "left_anti")
 
 
+COUNTERS = ("total", "parsed", "skew_sum", "skew_n")
+
+
+def _minute(at: Column | str) -> Column:
+    return F.timestamp_micros((F.floor(F.unix_micros(at) / 60_000_000) * 60_000_000).cast("long"))
+
+
+def merge_counters(counters: DataFrame) -> DataFrame:
+    """Counters of each source and minute, summed: tables of counters, batch by batch, are one table."""
+    return counters.groupBy("source", "minute").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+
+
+def backfill_counters(done: DataFrame) -> DataFrame:
+    """What minute counters gain by lines that were counted as not parsed when they came: source, minute,
+    total (0), parsed, skew_sum, skew_n.
+
+    done (line_id, source, received_at, and event_at, the document's own time, if it has one): a line counts
+    once, however often it is there.
+    """
+    skew = clock_skew(F.col("event_at"), F.col("received_at"))
+    each = done.groupBy("line_id").agg(F.min(F.struct("source", "received_at", "event_at")).alias("_l")).select("_l.*")
+    return each.withColumn("_skew", skew).groupBy("source", _minute("received_at").alias("minute")).agg(
+        F.lit(0).cast("long").alias("total"), F.count(F.lit(1)).alias("parsed"), F.coalesce(F.sum("_skew"), F.lit(0.0)).alias("skew_sum"), F.count("_skew").alias("skew_n")
+    )
+
+
+def mend_counters(counters: DataFrame, gained: DataFrame) -> DataFrame:
+    """counters with what they gained added; minutes that have no counter gain none."""
+    kept = gained.join(counters.select("source", "minute"), ["source", "minute"], "left_semi").select("source", "minute", *COUNTERS)
+    return merge_counters(counters.select("source", "minute", *COUNTERS).unionByName(kept))
+
+
+#: The tables of a backfill store: lines moved to events, and what counters gained.
+MOVED = "line_id long, source string, received_at timestamp, raw string, doc string, event_at timestamp"
+GAINED = "source string, minute timestamp, total long, parsed long, skew_sum double, skew_n long"
+
+
+def run_backfill(store: BatchStore, run: int, quarantine: DataFrame, parsed: DataFrame, limit: int = 5000) -> None:
+    """backfill() as a batch of a store: moved lines (events) and what counters gained (counters).
+
+    run numbers the attempts, one for each activation of a parser.  A run that was written is not written
+    again, and lines that earlier runs have moved are not tried, so each line changes its counter once.
+    """
+    if store.has(run):
+        return
+    earlier = store.read("events", MOVED).select("line_id")
+    done, _ = backfill(quarantine.join(earlier, "line_id", "left_anti"), parsed, limit)
+    kept = [f.split()[0] for f in MOVED.split(", ")]
+    moved = store.put(run, "events", (done if "event_at" in done.columns else done.withColumn("event_at", F.lit(None).cast("timestamp"))).select(*kept))
+    store.put(run, "counters", backfill_counters(moved))
+    store.commit(run)
+
+
 def activate_parser(parsers: DataFrame) -> DataFrame:
     """parsers (parser_id, source, status, decided_at): of a source's approved ones only the latest stays
     approved, the others are superseded."""
@@ -145,10 +202,9 @@ def minute_stats(routed: DataFrame) -> DataFrame:
 
     Held lines count in total, dropped ones nowhere.  Partial sums keep chatty senders off the shuffle.
     """
-    minute = F.timestamp_micros((F.floor(F.unix_micros("received_at") / 60_000_000) * 60_000_000).cast("long"))
     return (
         routed.where("route <> 'dropped'")
-        .groupBy("source", minute.alias("minute"))
+        .groupBy("source", _minute("received_at").alias("minute"))
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("route") == "event").alias("parsed"),

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logquarry.operators.detection import match_rules
-from logquarry.operators.ingest import route_records
+from logquarry.operators.ingest import minute_stats, route_records, upsert_hosts
 from logquarry.operators.rules import Rule
+from logquarry.sources.batches import BatchStore, latest_batch
 
 
 def route_stream(records: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -20,6 +21,52 @@ def route_stream(records: DataFrame, hosts: DataFrame) -> DataFrame:
     return route_records(records, hosts)
 
 
+#: What a routed stream's records are kept with, and the tables made of them.
+LINES = "source string, raw string, received_at timestamp, ecs string, parser_id string, skew double, held boolean, route string"
+HOST_GAINS = "source string, status string, first_seen timestamp, last_seen timestamp, lines long"
+COUNTER_GAINS = "source string, minute timestamp, total long, parsed long, skew_sum double, skew_n long"
+
+
+def route_to(records: DataFrame, hosts: DataFrame, store: BatchStore, checkpoint: str, auto_approve: bool = False, key: str | None = None) -> None:
+    """Route a stream of records (source, raw, received_at, ecs, parser_id, skew) until there are no more: into
+    the store's tables lines (events and quarantine, by route), hosts and counters (what senders and minute
+    counters gain), all of one batch together.
+
+    A batch that the store has is not written again, so a run that dies between the store's mark and the
+    checkpoint's does not double it; one that dies before the mark leaves nothing that counts.  Counters are
+    made of the lines as written, so both tell the same even if hosts change meanwhile.  key: a column of
+    records to keep with the lines.
+    """
+    kept = [*([key] if key else []), *(f.split()[0] for f in LINES.split(", "))]
+
+    def write(batch: DataFrame, number: int) -> None:
+        if store.has(number):
+            return
+        routed = route_records(batch, hosts, auto_approve)
+        lines = store.put(number, "lines", routed.where("route <> 'dropped'").select(*kept), ["route"])
+        store.put(number, "counters", minute_stats(lines))
+        none = batch.sparkSession.createDataFrame([], HOST_GAINS)
+        store.put(number, "hosts", upsert_hosts(none, batch, auto_approve))
+        store.commit(number)
+
+    query = records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
+def routed_lines(store: BatchStore, key: str = "") -> DataFrame:
+    """The lines that route_to() has written; key: its column as text, such as 'event_id long'."""
+    return store.read("lines", f"{key}, {LINES}" if key else LINES)
+
+
+def host_gains(store: BatchStore, hosts: DataFrame) -> DataFrame:
+    """hosts (source, status, first_seen, last_seen, lines) after all batches of a store."""
+    gained = store.read("hosts", HOST_GAINS).groupBy("source").agg(F.min("status").alias("_s"), F.min("first_seen").alias("_f"), F.max("last_seen").alias("_l"), F.sum("lines").alias("_n"))
+    return hosts.join(gained, "source", "full").select(
+        "source", F.coalesce("status", "_s").alias("status"), F.coalesce("first_seen", "_f").alias("first_seen"), F.greatest("last_seen", "_l").alias("last_seen"),
+        (F.coalesce("lines", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("lines"),
+    )
+
+
 def minute_stats_stream(routed: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Counters per sender and minute of a routed stream (received_at, route, skew).
 
@@ -111,18 +158,24 @@ def silence_stream(lines: DataFrame, by: str, minutes: int, late: str = "0 minut
     return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, last_us long", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Process what there is and stop: rows go to Parquet files under path/rows, the checkpoint beside them.
+def run_once(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Process what there is and stop; the rows of this and earlier runs with batch, the number of the batch
+    that wrote them.  Rows are in a store under path, the checkpoint beside them.
 
-    In update mode rows carry batch, the number of the batch that wrote them; in complete mode the last
-    batch replaces what was there.
+    A batch that the store has is not written again, so replays double nothing.  In complete mode the rows
+    are those of the last batch.
     """
+    store = BatchStore(stream.sparkSession, path)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        if not store.has(number):
+            store.put(number, "rows", batch)
+            store.commit(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    rows = store.read("rows", stream)
+    return latest_batch(rows) if mode == "complete" else rows
 
 
 def latest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
