@@ -215,7 +215,9 @@ class Lattice:
             return [(0, b"")]
         if self.words.size > USUAL * CACHE:
             self._forget()
-        words = [part for w in _WORD.findall(BLANK + text.replace(" ", BLANK)) for part in (self._cuts(w) if len(w) > LONG else (w,))]
+        words = _WORD.findall(BLANK + text.replace(" ", BLANK))
+        if max(map(len, words)) > LONG:
+            words = [part for w in words for part in (self._cuts(w) if len(w) > LONG else (w,))]
         known = self.words
         scores, chosen, losses = zip(*[known[w] for w in words])
         score, chosen = sum(scores), list(chosen)
@@ -224,11 +226,13 @@ class Lattice:
         paths = []
         for i in few:
             w = words[i]
-            mine = self.deep.get(w) or self.best_of_word(w)
-            if len(w) <= LONG:
-                if len(self.deep) > CACHE // 10:
-                    self.deep = {}
-                self.deep[w] = mine
+            mine = self.deep.get(w)
+            if mine is None:
+                mine = self.best_of_word(w)
+                if len(w) <= LONG:
+                    if len(self.deep) > CACHE // 10:
+                        self.deep = {}
+                    self.deep[w] = mine
             paths.append(mine)
         choices: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         for mine in paths:
