@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logquarry.operators.dominance import arrived_within
 from logquarry.operators.rules import Rule
+from logquarry.sources.sinks import written
 
 COMPARE = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le, "eq": operator.eq}
 
@@ -99,23 +101,28 @@ def value_count(matches: DataFrame, group: Sequence[str], field: str, span: int,
     return found.join(counted, by)
 
 
-def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",), arrived: str = "event_id") -> DataFrame:
-    """Like event_count(), counting only matches that had arrived (by ``arrived``) when each one came.
+#: Rows of a key in a stretch of time and the one before it, up to which they meet pair by pair.
+_FEW = 256
 
-    A match meets those of its stretch of time and the one before it, not all of its key.
+
+def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",), arrived: str = "event_id", few: int = _FEW) -> DataFrame:
+    """Like event_count(), counting only matches that had arrived (by ``arrived``, unique) when each one came.
+
+    A match meets those of its stretch of time and the one before it, not all of its key.  Where these are
+    more than ``few``, as a flooding sender's are, they are counted by blocks of arrivals and slices of time
+    (dominance.py), never met in pairs.
     """
     found = with_groups(matches, group)
     same = [*key, *group, "_chunk"]
-    near = _chunked(found, span)
-    past = near.select(*same, F.col("at").alias("_at"), F.col(arrived).alias("_id"))
-    low = F.timestamp_micros(F.unix_micros("at") - span * _US)
-    return (
-        near.where("_own")
-        .join(past, same)
-        .where((F.col("_id") <= F.col(arrived)) & F.col("_at").between(low, F.col("at")))
-        .groupBy(*found.columns)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    us, low = F.unix_micros("at"), F.unix_micros("at") - span * _US
+    near = _chunked(found, span).select(*same, F.col(arrived).cast("long").alias("id"), us.alias("us"), low.alias("low"), F.col("_own").alias("asks"))
+    sizes = near.groupBy(*same).agg((F.count(F.lit(1)) > few).alias("_many"))
+    sized = written(near.join(sizes, same), "arrivals")
+    little = sized.where("not _many")
+    past = little.select(*same, F.col("us").alias("_us"), F.col("id").alias("_id"))
+    met = little.where("asks").join(past, same).where("_id <= id and _us between low and us").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    counted = met.unionByName(arrived_within(sized.where("_many").drop("_many"), same))
+    return found.join(counted.select(F.col("id").alias("_id"), "n"), F.col(arrived) == F.col("_id")).drop("_id")
 
 
 def fired(counted: DataFrame, op: str, limit: int) -> DataFrame:

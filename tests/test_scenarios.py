@@ -206,6 +206,33 @@ def test_routing_and_onboarding(spark):
     assert {r["source"]: r["lines"] for r in ingest.upsert_hosts(known, records).collect()} == {"a": 3, "p": 1, "r": 1, "new": 1}
 
 
+def test_arrivals_in_two_orders(spark):
+    """Counts by blocks, slices and cells against loops: late and equal times, one flooding sender."""
+    import random
+
+    import numpy as np
+
+    from logquarry.operators.dominance import arrived_within, count_before
+
+    r = random.Random(6)
+    for n in (0, 1, 2, 7, 300):
+        a = [np.array([r.randint(0, 20) for _ in range(n)], np.int64) for _ in range(3)]
+        ask = [np.array([r.randint(-1, 22) for _ in range(50)], np.int64) for _ in range(2)]
+        want = [sum(w for f, s, w in zip(*(x.tolist() for x in a)) if f < i and s <= t) for i, t in zip(*(x.tolist() for x in ask))]
+        assert count_before(*a, *ask).tolist() == want
+    rows = [(k, 10 * i + r.randint(0, 9), us, us - r.choice([0, 5, 40, 900]), r.random() < 0.8) for k in "ab" for i, us in enumerate(r.choice([i, i - r.randint(0, 60), 30, 1000]) for i in range(400))]
+    rows = [(k, j, us, low, asks) for j, (k, _, us, low, asks) in enumerate(r.sample(rows, len(rows)))]
+    want = {i: sum(k == p[0] and p[1] <= i and low <= p[2] <= us for p in rows) for k, i, us, low, asks in rows if asks}
+    frame = spark.createDataFrame(rows, "k string, id long, us long, low long, asks boolean")
+    for block, slices in ((1 << 16, 64), (50, 5), (7, 2)):
+        assert {x["id"]: x["n"] for x in arrived_within(frame, ["k"], block, slices).collect()} == want
+    # A sender that floods a span, and others, through the operator; both ways give the same.
+    flood = [(i, "s", "x" if i % 10 else "y", T0 + timedelta(microseconds=r.randint(0, 4_000_000)), None) for i in range(2500)]
+    df = spark.createDataFrame(flood, "event_id long, source string, ip string, at timestamp, port string")
+    few, many = ({x["event_id"]: x["n"] for x in detection.live_count(df, ["ip"], 1, few=f).collect()} for f in (3000, 100))
+    assert few == many and len(few) == 2500 and max(few.values()) > 500
+
+
 def routed_of(spark, folder):
     from logquarry.sources.batches import BatchStore
 
