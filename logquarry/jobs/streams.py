@@ -103,6 +103,21 @@ def q_stream_alert_dedup(spark, d):
     return rows.select("source", F.col("group_key").cast("long").alias("user_id"), micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"), F.col("count").alias("n"))
 
 
+CLOSED_SQL = f"""{alerting.HITS_SQL}, marks as (select source, user_id, event_id, us, 0 as ends from hits union all select source, user_id, event_id, null, 1 from ev where event_id % 11 = 0),
+    eras as (select *, sum(ends) over (partition by source, user_id order by event_id, ends) as era from marks),
+    marked as (select *, case when us - 86400000000 > max(us) over w or max(us) over w is null then 1 else 0 end as fresh from eras where ends = 0 window w as (partition by source, user_id, era order by event_id rows between unbounded preceding and 1 preceding)),
+    islands as (select *, sum(fresh) over (partition by source, user_id order by event_id) as alert_no from marked)"""
+
+
+@query(f"""with {CLOSED_SQL} select source, user_id, alert_no::bigint as alert_no, min(us) as first_us, max(us) as last_us, count(*) as n, min(event_id) as first_event from islands group by 1, 2, 3""")
+def q_stream_alert_fold(spark, d):
+    """Alerts of failures in order of arrival; events with a number divisible by eleven close their user's alert."""
+    rows = event_stream(spark, d).select(F.lit("rule").alias("kind"), F.lit("failure").alias("rule_id"), "source", F.col("user_id").cast("string").alias("group_key"), "event_id", "at", "action", F.lit(None).cast("long").alias("n"))
+    found = _ran(spark, op.alert_fold_stream(rows.where("action = 'error'"), 1440, rows.where("event_id % 11 = 0")), "update")
+    last = op.latest(found, ["kind", "rule_id", "source", "group_key", "alert_no"])
+    return last.select("source", F.col("group_key").cast("long").alias("user_id"), "alert_no", micros("first_seen").alias("first_us"), micros("last_seen").alias("last_us"), F.col("count").alias("n"), "first_event")
+
+
 @query(f"""with {EV_SQL}, last as (select user_id, max(us) as last_us from ev group by 1) select user_id, last_us from last where last_us // 1000 + 6 * 3600000 < (select max(us) // 1000 from ev)""")
 def q_stream_silence(spark, d):
     return _ran(spark, op.silence_stream(event_stream(spark, d), "user_id", 360), "update").select("user_id", "last_us")

@@ -154,23 +154,25 @@ def backtest(events: DataFrame, rules: Sequence[Rule], hours: int | None = None,
     )
 
 
-def best_windows(counted: DataFrame, group: Sequence[str], span: int, op: str, limit: int, key: Sequence[str] = ("source",)) -> DataFrame:
+def best_windows(counted: DataFrame, group: Sequence[str], span: int, op: str, limit: int, key: Sequence[str] = ("source",), ids: int | None = None) -> DataFrame:
     """key, group, n, at, event_ids: each group's best window (most matches, the earliest on ties) where it
     meets the condition.
 
     counted has n for each match.  The best window is found first; only its matches are collected.
+
+    ids: how many event ids of a window are kept, the first ones.  Give it where a group may match without
+    end: n still counts all, and up to a thousand ids each task sends on no more than so many of a group.
     """
     same = [*key, *group]
     best = counted.groupBy(*same).agg(F.max(F.struct("n", (-F.unix_micros("at")).alias("_t"))).alias("_b")).select(*same, F.col("_b.n").alias("n"), F.timestamp_micros(-F.col("_b._t")).alias("at"))
     best = fired(best, op, limit)
     inside = counted.select(*same, F.col("at").alias("_at"), "event_id")
     low = F.unix_micros("at") - span * 1_000_000
-    return (
-        best.join(inside, same)
-        .where(F.unix_micros("_at").between(low, F.unix_micros("at")))
-        .groupBy(*same, "n", "at")
-        .agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
-    )
+    held = best.join(inside, same).where(F.unix_micros("_at").between(low, F.unix_micros("at")))
+    if ids is not None:
+        first = Window.partitionBy(*same).orderBy("event_id")
+        held = held.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= ids)
+    return held.groupBy(*same, "n", "at").agg(F.array_sort(F.collect_list("event_id")).alias("event_ids"))
 
 
 def backtest_summary(tested: DataFrame, groups: DataFrame, ids: int = 50, top: int = 20, each: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -139,6 +139,42 @@ def alert_stream(hits: DataFrame, minutes: int = 60, late: str = "1 hour") -> Da
     )
 
 
+def alert_fold_stream(hits: DataFrame, minutes: int = 60, closed: DataFrame | None = None) -> DataFrame:
+    """Alerts folded as alerts.dedup() does, from a stream of hits (kind, rule_id, source, group_key, event_id,
+    at, n) and one of decisions (the key, event_id): rows of update mode by key and alert_no.
+
+    Hits count in order of arrival: by batches, and by event_id within one.  A late hit joins the latest open
+    alert, whatever its time, so there is no watermark that could lose it.  A decision closes what is open
+    when it comes; the next hit opens another alert.  State is one alert for each key, whatever its hits.
+    """
+    key = ["kind", "rule_id", "source", "group_key"]
+    rows = hits.select(*key, "event_id", F.unix_micros("at").alias("us"), "n", F.lit(False).alias("ends"))
+    if closed is not None:
+        rows = rows.unionByName(closed.select(*key, "event_id", F.lit(True).alias("ends")), allowMissingColumns=True)
+    schema = "kind string, rule_id string, source string, group_key string, alert_no long, first_us long, last_us long, count long, first_event long"
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        no, open_, first, last, hits_n, most, first_event = state.get if state.exists else (0, False, 0, 0, 0, -1, 0)
+        changed: dict[int, tuple] = {}
+        mine = pd.concat([f for f in frames if len(f)]).sort_values(["event_id", "ends"])
+        for event_id, us, n, ends in zip(mine["event_id"], mine["us"], mine["n"], mine["ends"]):
+            if ends:
+                open_ = False
+                continue
+            if not open_ or us - minutes * 60_000_000 > last:
+                no, open_, first, last, hits_n, most, first_event = no + 1, True, us, us, 0, -1, event_id
+            first, last, hits_n = min(first, us), max(last, us), hits_n + 1
+            most = most if pd.isna(n) else max(most, n)
+            changed[no] = (no, first, last, hits_n if most < 0 else most, first_event)
+        state.update(tuple(map(int, (no,))) + (bool(open_),) + tuple(map(int, (first, last, hits_n, most, first_event))))
+        yield pd.DataFrame([(*k, *map(int, c)) for c in changed.values()], columns=[*key, "alert_no", "first_us", "last_us", "count", "first_event"])
+
+    kept = "no long, open boolean, first long, last long, hits long, most long, first_event long"
+    found = rows.groupBy(*key).applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.NoTimeout)
+    seen = [F.timestamp_micros(c).alias(n) for c, n in (("first_us", "first_seen"), ("last_us", "last_seen"))]
+    return found.select(*key, "alert_no", *seen, "count", "first_event")
+
+
 def silence_stream(lines: DataFrame, by: str, minutes: int, late: str = "0 minutes") -> DataFrame:
     """by, last_us of senders that sent nothing for minutes while others did: an event-time timer per sender."""
     kind = {f.name: f.dataType.simpleString() for f in lines.schema}[by]

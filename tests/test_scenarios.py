@@ -233,6 +233,39 @@ def test_arrivals_in_two_orders(spark):
     assert few == many and len(few) == 2500 and max(few.values()) > 500
 
 
+def test_back_tests_keep_the_first_ids(spark):
+    counted = detection.event_count(events(spark, burst(400) + burst(30, "198.51.100.7", 5)), ["ip"], 300)
+    whole = {r["ip"]: r for r in detection.best_windows(counted, ["ip"], 300, "gte", 10).collect()}
+    few = {r["ip"]: r for r in detection.best_windows(counted, ["ip"], 300, "gte", 10, ids=7).collect()}
+    assert {k: (r["n"], r["at"], r["event_ids"][:7]) for k, r in whole.items()} == {k: (r["n"], r["at"], r["event_ids"]) for k, r in few.items()}
+    assert len(whole["203.0.113.5"]["event_ids"]) == 301 and len(few) == 2
+    plan = detection.best_windows(counted, ["ip"], 300, "gte", 10, ids=7)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # no task gets a whole group
+
+
+def test_folded_stream_is_the_batch(spark, tmp_path):
+    """Hits out of order of time, decisions among them, in several batches; with and without counts of their own."""
+    import random
+
+    from logquarry.streaming import jobs
+
+    r = random.Random(12)
+    schema = "kind string, rule_id string, source string, group_key string, event_id long, at timestamp, n long, ends boolean"
+    rows = [("rule", r.choice("xy"), "s", r.choice("gh"), i, T0 + timedelta(minutes=r.choice([i * 7, i * 7 - 300, 0])), r.choice([None, None, i]), i % 9 == 4) for i in range(240)]
+    for k in range(6):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = jobs.run_once(jobs.alert_fold_stream(stream.where("not ends").drop("ends"), 60, stream.where("ends")), f"file://{tmp_path}/out", "update")
+    assert found.select("batch").distinct().count() == 6
+    frame = spark.createDataFrame(rows, schema)
+    want = alerts.dedup(frame.where("not ends").drop("ends"), 60, frame.where("ends").select(*alerts.KEY, "event_id"))
+    columns = [*alerts.KEY, "alert_no", "first_seen", "last_seen", "count", "first_event"]
+    got = sorted(map(str, (tuple(x[c] for c in columns) for x in jobs.latest(found, [*alerts.KEY, "alert_no"]).collect())))
+    assert got == sorted(map(str, (tuple(x[c] for c in columns) for x in want.collect()))) and len(got) > 40
+    again = jobs.run_once(jobs.alert_fold_stream(stream.where("not ends").drop("ends"), 60, stream.where("ends")), f"file://{tmp_path}/out", "update")
+    assert again.count() == found.count()
+
+
 def routed_of(spark, folder):
     from logquarry.sources.batches import BatchStore
 
