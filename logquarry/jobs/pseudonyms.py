@@ -186,6 +186,17 @@ def q_learned_rules(spark, d):
     return rows.where("e.kind in ('user', 'host')").select("line_id", "e.kind", "e.value")
 
 
+@query("""with e as (select event_id as line_id, user_id % 20 as h from events where event_type = 'view') select line_id, 'host' as kind, 'box' || h as value from e
+    union all select event_id, 'user', 'anna' || user_id from events where event_type = 'error' union all select event_id, 'user', 'anna' || user_id from events where event_type = 'click'
+    union all select event_id, 'host', 'box' || (user_id % 20) from events where event_type = 'click'""")
+def q_learned_values(spark, d):
+    """Value rules for every user and host that there is, found together; users and hosts only are shown."""
+    people = [("value", "user", f"anna{r[0]}") for r in log_events(spark, d).select("user_id").distinct().collect()]  # rules are a small table
+    extra, known = op.rule_sets([*people, *(("value", "host", f"box{i}") for i in range(20)), ("key", "user", "nobody_has_this")])
+    rows = security_lines(spark, d).select("line_id", F.explode(ent.entities(F.col("line"), extra, known)).alias("e"))
+    return rows.where("e.kind in ('user', 'host')").select("line_id", "e.kind", "e.value")
+
+
 @query("""select p_partkey as rule_id, case p_partkey % 10 when 0 then 'kind' when 1 then 'type' when 2 then 'key shape' when 3 then 'generic key' when 4 then 'short value' when 5 then 'nested quantifier' when 6 then 'groups' when 7 then 'matches nothing' end as refused from part""")
 def q_validate_learned_rule(spark, d):
     cases = [("key", "planet", "login"), ("sort", "user", "x"), ("key", "user", "a b"), ("key", "user", "Message"), ("value", "host", "ab"), ("regex", "user", "(a+)+b"), ("regex", "user", "(a)(b)"), ("regex", "host", ".*"), ("key", "user", "suser"), ("regex", "host", r"on (\w+)")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -213,10 +213,10 @@ def with_tokens(spans: Column, key: bytes) -> Column:
     return F.transform(spans, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"), token(key, e["kind"], e["value"]).alias("token")))
 
 
-def pseudonymise_text(lines: DataFrame, column: str, key: bytes, extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
+def pseudonymise_text(lines: DataFrame, column: str, key: bytes, extra: Sequence[tuple[str, str]] = (), values: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """lines with outgoing (the text with detected values replaced, everywhere in the line) and found (kind,
     start, end, value, token).  Tokens are functions of key and value: lines need no join."""
-    spans = lines.withColumn("_e", ent.entities(F.col(column), extra)).withColumn("found", with_tokens(F.col("_e"), key)).drop("_e")
+    spans = lines.withColumn("_e", ent.entities(F.col(column), extra, values)).withColumn("found", with_tokens(F.col("_e"), key)).drop("_e")
     return spans.withColumn("outgoing", replace_values(replace_spans(F.col(column), F.col("found")), F.col("found")))
 
 
@@ -319,6 +319,13 @@ def rule_pattern(rtype: str, pattern: str) -> str:
     return rf"(?<![\w.-])({re.escape(pattern)})(?![\w-])" if rtype == "value" else pattern
 
 
+def rule_sets(rules: Iterable[tuple[str, str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(patterns, values) of learned rules (rtype, kind, pattern), as entities() takes them: values that are
+    known whole are looked for together, whatever their number."""
+    rules = list(rules)
+    return [(kind, rule_pattern(rtype, p)) for rtype, kind, p in rules if rtype != "value"], [(kind, p) for rtype, kind, p in rules if rtype == "value"]
+
+
 #: The value of a learned context, and how many contexts of a value are kept.
 CONTEXT_VALUE, CONTEXTS = r"([\w.$@-]+)", 3
 
@@ -331,13 +338,20 @@ def context_of(line: Column, value: Column) -> Column:
     return F.when(before != "", F.concat(F.lit(r"\b"), before, F.lit(f" {CONTEXT_VALUE} "), after, F.lit(r"\b")))
 
 
+def _grams(text: Column, both: bool = False) -> Column:
+    """The runs of three signs of a text, or of two if it has no more; of both lengths if both."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return F.concat(runs(3), runs(2)) if both else F.when(F.length(text) > 2, runs(3)).otherwise(runs(2))
+
+
 def ground_candidates(candidates: DataFrame, lines: DataFrame, by: str = "source") -> DataFrame:
     """source, value, kind, lines, key, contexts of plausible candidates (source, value, kind) found in lines
     (source, line_id, line): in how many; the key before them where it is the same everywhere and not
     generic; without one, the most frequent expressions for the words around them.
 
-    Values of single words meet lines by their words.  Others meet, by their first word, only lines that
-    hold that word; those without a word are compared with their sender's lines.
+    Values of single words meet lines by their words.  Others meet, by a word that surely stands whole in
+    the line, only lines that hold that word; those without one, by one of their runs of three signs (two,
+    if they have no more), only lines that hold that run.
     """
     pieces = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(r"[\w.@-]+"), 0), F.lower))
     words = lines.select(by, "line_id", "line", F.explode(pieces).alias("_w"))
@@ -347,7 +361,10 @@ def ground_candidates(candidates: DataFrame, lines: DataFrame, by: str = "source
     c = c.withColumn("_w", F.when(F.col("value").rlike(r"^[\w.@-]+$"), F.lower("value")).when(inner != "", inner))
     held = (F.lower("value") == F.col("_w")) | F.contains(F.lower("line"), F.lower("value"))
     hits = words.join(c.where("_w is not null"), [by, "_w"]).where(held).select(by, "value", "kind", "line_id", "line")
-    hits = hits.unionByName(lines.join(c.where("_w is null").drop("_w"), by).where(F.contains(F.lower("line"), F.lower("value"))).select(by, "value", "kind", "line_id", "line"))
+    odd = c.where("_w is null").drop("_w").withColumn("_g", F.array_min(_grams(F.lower("value"))))
+    runs = lines.join(odd.select(by).distinct(), by, "left_semi").select(by, "line_id", "line", F.explode(F.array_distinct(_grams(F.lower("line"), both=True))).alias("_g"))
+    met = runs.join(odd, [by, "_g"]).where(F.contains(F.lower("line"), F.lower("value")))
+    hits = hits.unionByName(met.select(by, "value", "kind", "line_id", "line"))
     key = F.regexp_substr("line", F.concat(F.lit(r"(?i)[A-Za-z_][\w.-]*(?=[\"']?\s?[=:]\s?[\"']?"), quoted(F.col("value")), F.lit(r"(?![\w-]))")))
     found = hits.withColumn("_key", F.coalesce(F.lower(key), F.lit(""))).withColumn("_context", context_of(F.col("line"), F.col("value")))
     same = [by, "value", "kind"]

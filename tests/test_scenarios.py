@@ -527,6 +527,34 @@ def test_hmac_and_addresses(spark):
     assert row["d"] == ipaddress.IPv6Address("2001:db8::1:0").exploded.replace(":", "") and row["x"] is None and row["n"] is False
 
 
+def test_known_values_in_one_pass():
+    """Ten thousand value rules together find what each would find by itself."""
+    import random
+    import time
+
+    r = random.Random(2)
+    values_ = sorted({"".join(r.choice("ab1._-é ") for _ in range(r.randint(2, 6))).strip() for _ in range(300)} - {""})
+    rules_ = [("value", r.choice(["user", "host"]), v) for v in values_] + [("value", "host", values_[0]), ("regex", "user", r"on (\w+)")]
+    extra, known = pseudonyms.rule_sets(rules_)
+    assert len(extra) == 1 and len(known) == len(values_) + 1
+    slow = [(k, re.compile(pseudonyms.rule_pattern(t, p))) for t, k, p in rules_]
+    fast, one = ent.Literals(known), [(k, re.compile(p)) for k, p in extra]
+    texts = ["".join(r.choice("ab1._-é ,=") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    assert all(ent.detect(t, one, fast) == ent.detect(t, slow) for t in texts)
+    many = ent.Literals([("user", f"person{i}") for i in range(10_000)])
+    line = "nothing here but person9999 and person77 and xperson5 " * 20
+    began = time.perf_counter()
+    found = ent.detect(line, (), many)
+    assert {v for _, _, _, v in found} == {"person9999", "person77"} and time.perf_counter() - began < 1
+
+
+def test_grounding_values_without_a_whole_word(spark):
+    lines = [("s", 1, "x a+b/c y"), ("s", 2, "x A+B/C y"), ("s", 3, "x a+b y"), ("t", 4, "x a+b/c y"), ("s", 5, "k=§§a"), ("s", 6, "")]
+    candidates = [("s", "a+b/c", "user"), ("s", "+b", "user"), ("s", "§§a", "host"), ("s", "q+r+s", "user"), ("t", "a+", "host")]
+    got = pseudonyms.ground_candidates(spark.createDataFrame(candidates, "source string, value string, kind string"), spark.createDataFrame(lines, "source string, line_id long, line string")).collect()
+    assert sorted((r["source"], r["value"], r["lines"]) for r in got) == [("s", "+b", 3), ("s", "a+b/c", 2), ("s", "§§a", 1), ("t", "a+", 1)]
+
+
 def test_learned_rules_refused(spark):
     rows = [("1", "key", "user", "suser"), ("2", "key", "user", "msg"), ("3", "regex", "user", "(a+)+"), ("4", "regex", "user", "(a)(b)"), ("5", "regex", "host", r"on (\w+)"), ("6", "value", "planet", "abc")]
     got = {r["rule_id"]: r["refused"] for r in pseudonyms.validate_rules(spark.createDataFrame(rows, "rule_id string, rtype string, kind string, pattern string")).collect()}
