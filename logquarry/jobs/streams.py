@@ -82,7 +82,10 @@ def q_stream_matches(spark, d):
     and p.us between e.us - 86400000000 and e.us group by all having count(*) >= 2""")
 def q_stream_correlation(spark, d):
     failures = event_stream(spark, d).where("action = 'error'").select("event_id", "source", "user_id", "at")
-    return _ran(spark, op.correlation_stream(failures, ["user_id"], 86_400), "update").where("n >= 2").select("event_id", "source", "user_id", "n")
+    path = scratch_path(spark, "correlated")
+    store = BatchStore(spark, path)
+    op.correlate_to(failures, ["user_id"], 86_400, store, f"{path}/checkpoint")
+    return op.correlated(store, failures, ["user_id"]).where("n >= 2").select("event_id", "source", "user_id", "n")
 
 
 @query(f"""with {EV_SQL}, m as (select *, coalesce(case when event_id % 9 <> 0 then port end, 'none') as v from ev where action <> 'view') select e.event_id, e.source, e.user_id, count(distinct p.v) as n

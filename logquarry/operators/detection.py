@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -105,8 +105,9 @@ def value_count(matches: DataFrame, group: Sequence[str], field: str, span: int,
 _FEW = 256
 
 
-def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",), arrived: str = "event_id", few: int = _FEW) -> DataFrame:
+def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",), arrived: str = "event_id", few: int = _FEW, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Like event_count(), counting only matches that had arrived (by ``arrived``, unique) when each one came.
+    save: writes a table and reads it back, if not in the scratch folder that goes when the driver ends.
 
     A match meets those of its stretch of time and the one before it, not all of its key.  Where these are
     more than ``few``, as a flooding sender's are, they are counted by blocks of arrivals and slices of time
@@ -117,7 +118,7 @@ def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequenc
     us, low = F.unix_micros("at"), F.unix_micros("at") - span * _US
     near = _chunked(found, span).select(*same, F.col(arrived).cast("long").alias("id"), us.alias("us"), low.alias("low"), F.col("_own").alias("asks"))
     sizes = near.groupBy(*same).agg((F.count(F.lit(1)) > few).alias("_many"))
-    sized = written(near.join(sizes, same), "arrivals")
+    sized = save(near.join(sizes, same)) if save else written(near.join(sizes, same), "arrivals")
     little = sized.where("not _many")
     past = little.select(*same, F.col("us").alias("_us"), F.col("id").alias("_id"))
     met = little.where("asks").join(past, same).where("_id <= id and _us between low and us").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -125,6 +126,23 @@ def live_count(matches: DataFrame, group: Sequence[str], span: int, key: Sequenc
     return found.join(counted.select(F.col("id").alias("_id"), "n"), F.col(arrived) == F.col("_id")).drop("_id")
 
 
+def earlier_count(matches: DataFrame, past: DataFrame, group: Sequence[str], span: int, key: Sequence[str] = ("source",)) -> DataFrame:
+    """matches with earlier: how many of past (key, group, at, c: rows at that instant) lie in the span seconds
+    up to each.
+
+    Both are summed by instant; of past, only keys' stretches of time that matches reach are shuffled on.
+    """
+    by = [*key, *group, "at"]
+    same = [*key, *group, "_chunk"]
+    asked = matches.select(*by).distinct()
+    own = asked.withColumn("_chunk", F.floor(F.unix_micros("at") / (max(span, 1) * _US)))
+    reached = _chunked(past.groupBy(*by).agg(F.sum("c").alias("c")), span).select(*same, "at", "c").join(own.select(*same).distinct(), same, "left_semi")
+    both = reached.withColumn("_asks", F.lit(False)).unionByName(own.select(*same, "at", F.lit(0).cast("long").alias("c"), F.lit(True).alias("_asks")))
+    frame = Window.partitionBy(*same).orderBy(F.unix_micros("at")).rangeBetween(-span * _US, 0)
+    summed = both.withColumn("earlier", F.sum("c").over(frame)).where("_asks").select(*by, "earlier")
+    return matches.join(summed, by)
+
+
 def fired(counted: DataFrame, op: str, limit: int) -> DataFrame:
     """Rows whose n meets the condition."""
     return counted.where(COMPARE[op](F.col("n"), F.lit(limit)))

@@ -76,7 +76,8 @@ def arrived_within(rows: DataFrame, same: Sequence[str], block: int = BLOCK, sli
     slice_of = lambda c: F.aggregate("_cuts", F.lit(0).cast("long"), lambda n, cut: n + (cut < F.col(c)).cast("long"))
     # The time below the lowest that counts: what lies up to it is taken off again.
     step = step.join(cuts, list(same)).withColumn("_under", F.col("low") - 1).withColumn("_slice", slice_of("us")).withColumn("_low", slice_of("_under")).drop("_cuts")
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    # Points have no id and no low; a null would turn the column, and ids with it, into floating point.
+    zero = F.lit(0).cast("long")
 
     def part(kind: str, no, first, second, low, weight, id_):
         fields = {"kind": F.lit(kind), "no": no, "first": first, "second": second, "low": low, "weight": weight, "id": id_}
@@ -85,9 +86,9 @@ def arrived_within(rows: DataFrame, same: Sequence[str], block: int = BLOCK, sli
     us, under, b, s, id_ = (F.col(c) for c in ("us", "_under", "_block", "_slice", "id"))
     one = F.lit(1).cast("long")
     # In a block, points come by id and time; in a slice, by block and time: those of equal ones are one point.
-    inside = step.select(*same, part("block", b, id_, us, none, one, none).alias("p")).unionByName(
-        step.groupBy(*same, "_block", "_slice", "us").agg(F.count(F.lit(1)).alias("w")).select(*same, part("slice", s, b, us, none, F.col("w"), none).alias("p"))
-    ).unionByName(step.groupBy(*same, "_block", "_slice").agg(F.count(F.lit(1)).alias("w")).select(*same, part("cell", zero, b, s, none, F.col("w"), none).alias("p")))
+    inside = step.select(*same, part("block", b, id_, us, zero, one, zero).alias("p")).unionByName(
+        step.groupBy(*same, "_block", "_slice", "us").agg(F.count(F.lit(1)).alias("w")).select(*same, part("slice", s, b, us, zero, F.col("w"), zero).alias("p"))
+    ).unionByName(step.groupBy(*same, "_block", "_slice").agg(F.count(F.lit(1)).alias("w")).select(*same, part("cell", zero, b, s, zero, F.col("w"), zero).alias("p")))
     asks = step.where("asks")
     # A question is asked of its block, of the cells, and of the slices of both of its times.
     never = F.lit(-(1 << 62)).cast("long")

@@ -47,6 +47,11 @@ class BatchStore:
         fs, mark = self._file(f"marks/{number}")
         fs.create(mark, True).close()
 
+    def drop(self, number: int, table: str) -> None:
+        """Delete a batch's rows of a table that was only needed to make the others."""
+        fs, folder = self._file(f"{table}/batch={number}")
+        fs.delete(folder, True)
+
     def read(self, table: str, like: DataFrame | str) -> DataFrame:
         """All rows of a table, with batch; like has its columns (a frame, or a schema as text)."""
         return self._read(table, self.numbers(), like)

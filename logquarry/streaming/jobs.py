@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logquarry.operators.detection import match_rules
+from logquarry.operators.detection import earlier_count, live_count, match_rules, with_groups
 from logquarry.operators.ingest import minute_stats, route_records, upsert_hosts
 from logquarry.operators.rules import Rule
 from logquarry.sources.batches import BatchStore, latest_batch
@@ -86,40 +87,101 @@ def matches_stream(events: DataFrame, rules: Sequence[Rule], keep: Sequence[str]
     return match_rules(events, rules, keep)
 
 
+def correlate_to(matches: DataFrame, group: Sequence[str], span: int, store: BatchStore, checkpoint: str, key: Sequence[str] = ("source",)) -> None:
+    """Correlate a stream of matches (event_id, key, group, at) until there are no more: into the store's table
+    counts (the match, n), where n says how many matches of its key and group that had arrived lie in the span
+    seconds up to it.  Earlier batches have arrived; within a batch arrival goes by event_id, unique in it.
+    Matches without a time, a key or one of the grouping fields count nowhere.
+
+    What is remembered is a table too, instants: one row for each batch, key, group and instant, so a flooding
+    sender is summed and no task holds a key.  A batch reads only the days that its own times reach back to,
+    and there is no watermark: however late a match is, it is counted and counts for those that come after
+    it.  A batch that the store has is not written again.
+    """
+    by = [*key, *group]
+    kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
+    instants = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "at"]) + ", c long, day long"
+    us, a_day = F.unix_micros("at"), 86_400_000_000
+    given = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*key, "at"]))
+
+    def write(batch: DataFrame, number: int) -> None:
+        if store.has(number):
+            return
+        rows = store.put(number, "matches", with_groups(batch, group).where(given).select("event_id", *by, "at")).drop("batch")
+        day = F.floor(us / a_day).alias("day")
+        store.put(number, "instants", rows.groupBy(*by, "at").agg(F.count(F.lit(1)).alias("c")).select(*by, "at", "c", day), ["day"])
+        first, last = rows.agg(F.min(us), F.max(us)).first()
+        if first is None:
+            store.put(number, "counts", rows.withColumn("n", F.lit(0).cast("long")))
+        else:
+            low = first - span * 1_000_000
+            past = store.read("instants", instants).where(us.between(low, last) & F.col("day").between(low // a_day, last // a_day))
+            now = live_count(rows, group, span, key, save=lambda df: store.put(number, "arrivals", df).drop("batch"))
+            counted = earlier_count(now, past, group, span, key).withColumn("n", F.col("n") + F.col("earlier"))
+            store.put(number, "counts", counted.select("event_id", *by, "at", "n"))
+        for helper in ("matches", "arrivals"):
+            store.drop(number, helper)
+        store.commit(number)
+
+    query = matches.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+
+
+def correlated(store: BatchStore, like: DataFrame, group: Sequence[str], key: Sequence[str] = ("source",)) -> DataFrame:
+    """The matches that correlate_to() has counted, with n; like has their columns."""
+    return store.read("counts", like.select("event_id", *key, *group, "at", F.lit(0).cast("long").alias("n")))
+
+
 def correlation_stream(matches: DataFrame, group: Sequence[str], span: int, late: str = "1 hour", field: str | None = None) -> DataFrame:
     """A stream of matches (event_id, source, at, group) with n: how many matches of the same sender and
     group that had arrived lie in the span seconds up to each, or how many distinct values of field they
     have (a missing one counts as a value).
 
-    State is a key's matches that the watermark can still reach, sorted by time, so it shrinks with time; a
-    key without matches for that long is dropped.  Matches that arrive later than ``late`` are dropped by
-    the watermark: the documented difference to the batch form.
+    A match is seen for the span seconds from its time on; where a match of its value that came before it is
+    seen already, only for the rest, which is one stretch as all are equally long.  So n is the number of
+    stretches that have begun less those that are over, two searches in sorted lists whatever the window
+    holds.  State is what the watermark can still reach, so it shrinks with time; a key without matches for
+    that long is dropped.  Matches that arrive later than ``late`` are dropped by the watermark:
+    correlate_to() counts those too.
     """
     keys = ["source", *group]
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", event_id long, n long"
+    reach = span * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, values = map(list, state.get) if state.exists else ([], [])
+        starts, ends, names, lists = map(list, state.get) if state.exists else ([], [], [], [])
+        times = {v: list(ts) for v, ts in zip(names, lists)}
         out = []
         for frame in sorted_frames(frames):
-            for event_id, us, value in zip(frame["event_id"], frame["us"], frame["value"]):
-                at = bisect_right(times, us)
-                times.insert(at, int(us))
-                values.insert(at, value)
-                first = bisect_left(times, us - span * 1_000_000)
-                out.append((*key, int(event_id), len(set(values[first : at + 1])) if field else at + 1 - first))
-        gone = bisect_left(times, state.getCurrentWatermarkMs() * 1000 - span * 1_000_000)
-        state.update((times[gone:], values[gone:]))
-        state.setTimeoutTimestamp(max(max(times, default=0) // 1000 + span * 1000, state.getCurrentWatermarkMs() + 1))
+            for event_id, us, value in zip(frame["event_id"], map(int, frame["us"]), frame["value"]):
+                start, end = us, us + reach + 1
+                if field:
+                    same = times.setdefault(value, [])
+                    at = bisect_left(same, us)
+                    start = max(start, same[at - 1] + reach + 1) if at else start
+                    end = min(end, same[at]) if at < len(same) else end
+                    if at == len(same) or same[at] != us:
+                        same.insert(at, us)
+                if start < end:
+                    insort(starts, start)
+                    insort(ends, end)
+                out.append((*key, int(event_id), bisect_right(starts, us) - bisect_right(ends, us)))
+        horizon = state.getCurrentWatermarkMs() * 1000
+        over = bisect_right(ends, horizon)  # as many have begun before, and none of them is asked for again
+        known = {v: ts[bisect_left(ts, horizon - reach) :] for v, ts in times.items()}
+        known = {v: ts for v, ts in known.items() if ts}
+        state.update((starts[over:], ends[over:], list(known), list(known.values())))
+        state.setTimeoutTimestamp(max(max(ends, default=0) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*keys, "event_id", "n"])
 
     value = F.coalesce(F.to_json(F.struct(F.col(field).alias("v"))), F.lit("null")) if field else F.lit("")
     rows = matches.withWatermark("at", late).withColumn("us", F.unix_micros("at")).withColumn("value", value).select(*keys, "event_id", "us", "value", "at")
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>, values array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+    kept = "starts array<long>, ends array<long>, names array<string>, times array<array<long>>"
+    return rows.groupBy(*keys).applyInPandasWithState(step, schema, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def sorted_frames(frames: Iterator[pd.DataFrame]) -> list[pd.DataFrame]:

@@ -226,6 +226,10 @@ def test_arrivals_in_two_orders(spark):
     frame = spark.createDataFrame(rows, "k string, id long, us long, low long, asks boolean")
     for block, slices in ((1 << 16, 64), (50, 5), (7, 2)):
         assert {x["id"]: x["n"] for x in arrived_within(frame, ["k"], block, slices).collect()} == want
+    # Ids that floating point cannot tell apart.
+    big = 1 << 60
+    far = spark.createDataFrame([(k, big + i, us, low, asks) for k, i, us, low, asks in rows], frame.schema)
+    assert {x["id"] - big: x["n"] for x in arrived_within(far, ["k"], 50, 5).collect()} == want
     # A sender that floods a span, and others, through the operator; both ways give the same.
     flood = [(i, "s", "x" if i % 10 else "y", T0 + timedelta(microseconds=r.randint(0, 4_000_000)), None) for i in range(2500)]
     df = spark.createDataFrame(flood, "event_id long, source string, ip string, at timestamp, port string")
@@ -323,6 +327,81 @@ def test_a_routed_stream_can_be_replayed(spark, tmp_path, monkeypatch, dies):
     assert plain(jobs.host_gains(store, known), *of_host) == plain(ingest.upsert_hosts(known, spark.createDataFrame(rows, schema)), *of_host)
 
 
+def late_rows(seed, n, late):
+    """Matches in order of arrival whose times lag behind by up to late minutes: (event_id, source, ip, at, port)."""
+    import random
+
+    r = random.Random(seed)
+    return [(i, r.choice("ab"), r.choice(["x", "x", "y", None]), T0 + timedelta(seconds=10 * i, minutes=-r.choice([0, 0, r.randint(0, late)])), r.choice(["1", "2", "3", None])) for i in range(n)]
+
+
+def live_brute(rows, span, of=None):
+    """How many matches, or values of one column, each match can see of those that came before it."""
+    out = {}
+    for at, e in enumerate(rows):
+        seen = [p for p in rows[: at + 1] if p[1:3] == e[1:3] and e[3] - timedelta(seconds=span) <= p[3] <= e[3]]
+        out[e[0]] = len({p[of] for p in seen}) if of else len(seen)
+    return {e[0]: out[e[0]] for e in rows if e[2]}
+
+
+@pytest.mark.parametrize("dies", [None, "instants", "arrivals", "counts", "mark"])
+def test_correlation_by_tables_counts_late_rows_and_can_be_replayed(spark, tmp_path, monkeypatch, dies):
+    from logquarry.sources.batches import BatchStore
+    from logquarry.streaming import jobs
+
+    schema = "event_id long, source string, ip string, at timestamp, port string"
+    rows = late_rows(5, 120, 4000)
+    rows = [((x[0] * 7919) % 120 + 120 * (k // 40), *x[1:]) for k, x in enumerate(rows)]  # ids rise from batch to batch only
+    rows = [x for k in range(3) for x in sorted(rows[40 * k : 40 * k + 40])]
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    store, calls = routed_of(spark, tmp_path), []
+    run = lambda: jobs.correlate_to(stream(), ["ip"], 900, store, f"{tmp_path}/checkpoint")
+    put, commit = BatchStore.put, BatchStore.commit
+
+    def failing_put(self, number, table, frame, by=()):
+        out = put(self, number, table, frame, by)
+        if number == 1 and table == dies and not calls:
+            calls.append(1)
+            raise RuntimeError("the run dies")
+        return out
+
+    def failing_commit(self, number):
+        if number == 1 and dies == "mark" and not calls:
+            calls.append(1)
+            raise RuntimeError("the run dies")
+        commit(self, number)
+
+    monkeypatch.setattr(BatchStore, "put", failing_put)
+    monkeypatch.setattr(BatchStore, "commit", failing_commit)
+    if dies:
+        with pytest.raises(Exception):
+            run()
+        assert store.numbers() == [0]
+    run()
+    got = [(x["event_id"], x["n"]) for x in jobs.correlated(store, stream(), ["ip"]).collect()]
+    assert sorted(got) == sorted(live_brute(rows, 900).items()) and max(n for _, n in got) > 5
+    assert store.numbers() == [0, 1, 2] and bool(calls) == bool(dies)
+    left = [p.name for p in (tmp_path / "store").iterdir()]
+    assert not any(list((tmp_path / "store" / t).iterdir()) for t in ("matches", "arrivals") if t in left)
+
+
+def test_correlation_by_state_counts_matches_and_values(spark, tmp_path):
+    """Matches out of order within what the watermark can reach, in several batches."""
+    from logquarry.streaming import jobs
+
+    schema = "event_id long, source string, ip string, at timestamp, port string"
+    rows = late_rows(6, 150, 40)
+    for k in range(3):
+        spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").where("ip is not null")
+    for field, of in ((None, None), ("port", 4)):
+        found = jobs.run_once(jobs.correlation_stream(stream, ["ip"], 300, "1 hour", field), f"file://{tmp_path}/{field}", "update")
+        assert sorted((x["event_id"], x["n"]) for x in found.collect()) == sorted(live_brute(rows, 300, of).items())
+        assert found.select("batch").distinct().count() == 3
+
+
 def test_backfill_mends_counters_once(spark, tmp_path):
     store = routed_of(spark, tmp_path)
     at = lambda m: T0 + timedelta(minutes=m)
