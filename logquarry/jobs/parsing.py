@@ -260,6 +260,13 @@ def q_templates(spark, d):
     return op.templates(doc_lines(spark, d)).select("source", F.md5("masked").alias("form"), F.md5("template").alias("template"), "size", F.col("first_line").cast("long").alias("first_line"))
 
 
+@query()
+def q_template_clusters(spark, d):
+    """Templates with several leaders where forms meet: as they meet until nobody joins, a test holds it
+    against a brute-force version."""
+    return op.template_clusters(doc_lines(spark, d)).select("source", F.md5("masked").alias("form"), F.md5("template").alias("template"), "size", F.col("first_line").cast("long").alias("first_line"))
+
+
 @query("""with l as (select event_id as line_no, event_type || user_id % 30 as template from events), s as (select template, count(*) as size, min(line_no) as first from l group by 1),
     r as (select l.*, row_number() over (partition by l.template order by line_no) as depth, size, first from l join s using (template)) select line_no, template from r order by depth, size desc, first limit 400""")
 def q_stratified_sample(spark, d):

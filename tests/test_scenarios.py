@@ -678,6 +678,83 @@ def test_templates_mask_what_varies(spark):
     assert got == {("s", "<*> port is now down"): 2, ("s", "gamma fan was here today"): 1, ("t", "alpha port is now down"): 1}
 
 
+def clusters_brute(forms, near, heads):
+    """The leader of each form {(source, masked): n} that has a group, one meeting after the other."""
+    import math
+    import re
+
+    words = {f: f[1].split(" ") for f in forms}
+    named = {f: [x for x in enumerate(w) if re.search("[A-Za-z]", x[1])] or list(enumerate(w)) for f, w in words.items()}
+    shared = lambda f, g: sum(a == b != "<*>" for a, b in zip(words[f], words[g]))
+    like = lambda f, g: shared(f, g) >= max(1, math.ceil(near * sum(w != "<*>" for w in words[g])))
+    group, led, quiet, turn = {}, set(), 0, 0
+    while quiet < 4:
+        p, meetings, joins = turn % 4, {}, {}
+        for f in forms:
+            at = named[f][[0, -1, 1, len(named[f]) // 2][p]] if p != 2 or len(named[f]) > 1 else None
+            if at and group.get(f, f) == f:
+                meetings.setdefault((f[0], len(words[f]), at), []).append(f)
+        for members in meetings.values():
+            if len(members) < 2 or all(f in group for f in members):
+                continue
+            leaders = []
+            for f in sorted((f for f in members if (f, p) not in led), key=lambda f: (-forms[f], f[1]))[:heads]:
+                if not any(like(f, g) for g in leaders):
+                    leaders.append(f)
+            led |= {(g, p) for g in leaders}
+            for f in members:
+                fit = [g for g in leaders if like(f, g)]
+                if f not in group and f not in leaders and fit:
+                    joins[f] = max(fit, key=lambda g: (shared(f, g), -leaders.index(g)))
+        group |= joins | {g: g for g in joins.values()}
+        turn, quiet = turn + 1, 0 if joins else quiet + 1
+    return group
+
+
+def test_template_clusters_follow_every_leader(spark):
+    import random
+
+    # What one head a meeting leaves alone: words that differ at all places but two.
+    r = random.Random(8)
+    rows = [("s", i, f"accepted key {x}") for i, x in enumerate(["alice web one", "bob db two", "carol mail six"])] + [("s", 9, "closed door by hand again"), (None, 10, "fan alpha down"), (None, 11, "fan beta down"), ("s", 12, None), ("s", 13, "")]
+    frame = lambda rows: spark.createDataFrame(rows, "source string, line_no int, line string")
+    got = {(x["source"], x["template"]): x["size"] for x in parsing.template_clusters(frame(rows)).collect()}
+    assert got == {("s", "accepted key <*> <*> <*>"): 3, ("s", "closed door by hand again"): 1, (None, "fan <*> down"): 2, ("s", None): 1, ("s", ""): 1}
+    assert parsing.template_clusters(frame([])).count() == 0
+    # Against loops, with so few heads that many turns are needed.
+    lines = [(r.choice("st"), i, " ".join(r.choice(["a", "b", "c", "dd", "7", "x9"]) for _ in range(r.randint(2, 5)))) for i in range(260)]
+    forms, found = {}, {}
+    for x in parsing.template_clusters(frame(lines), 0.6, 2).collect():
+        found[x["source"], x["masked"]] = (x["template"], x["size"])
+    for source, _, line in lines:
+        f = (source, line.replace("7", "<*>").replace("x9", "x<*>"))
+        forms[f] = forms.get(f, 0) + 1
+    group = clusters_brute(forms, 0.6, 2)
+    of = {}
+    for f in forms:
+        of.setdefault((f[0], group.get(f, f)), []).append(f)
+    want = {}
+    for members in of.values():
+        text = " ".join(w[0] if len(set(w)) == 1 else "<*>" for w in zip(*(f[1].split(" ") for f in members)))
+        want |= {f: (text, sum(forms[m] for m in members)) for f in members}
+    assert found == want and 20 < len(of) < len(forms)
+
+
+def test_template_clusters_find_planted_templates(spark):
+    """Forty templates of one sender that begin alike, with words that never come again at up to half of their places."""
+    import random
+
+    r = random.Random(9)
+    verbs, nouns = ["opened", "closed", "lost", "found", "sent"], ["session", "file", "route", "mail", "lease", "job", "disk", "key"]
+    rows, planted = [], []
+    for verb in verbs:
+        for noun in nouns:
+            planted.append(f"service {verb} {noun} <*> by <*> after {noun}{verb}")
+            rows += [("s", len(rows) + i, planted[-1].replace("<*>", "{}").format(f"w{r.randrange(36**6):x}q", "u" + "".join(r.choice("ghijk") for _ in range(9)))) for i in range(25)]
+    got = {x["template"]: x["size"] for x in parsing.template_clusters(spark.createDataFrame(rows, "source string, line_no int, line string"), 0.6, 8).collect()}
+    assert sum(got.get(t) == 25 for t in planted) >= 0.95 * len(planted)
+
+
 def test_entry_without_the_text_operations(tmp_path):
     import shutil
     import subprocess
