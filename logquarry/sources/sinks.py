@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removable(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Like written(), with what deletes the table as soon as nothing reads it any more."""
+    out = written(df, name)
+    spark, path = _scratch[-1]
+
+    def remove() -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _scratch.remove((spark, path))
+
+    return out, remove
+
+
 def write_by_date(rows: DataFrame, path: str, at: str = "received_at") -> None:
     """Append rows as Parquet, partitioned by the UTC date of a timestamp."""
     day = F.date_format(F.to_utc_timestamp(F.col(at), F.current_timezone()), "yyyy-MM-dd")

@@ -686,7 +686,8 @@ def clusters_brute(forms, near, heads):
     words = {f: f[1].split(" ") for f in forms}
     named = {f: [x for x in enumerate(w) if re.search("[A-Za-z]", x[1])] or list(enumerate(w)) for f, w in words.items()}
     shared = lambda f, g: sum(a == b != "<*>" for a, b in zip(words[f], words[g]))
-    like = lambda f, g: shared(f, g) >= max(1, math.ceil(near * sum(w != "<*>" for w in words[g])))
+    plain = lambda f: sum(w != "<*>" for w in words[f])
+    like = lambda f, g: shared(f, g) >= max(1, math.ceil(near * max(plain(f), plain(g))))
     group, led, quiet, turn = {}, set(), 0, 0
     while quiet < 4:
         p, meetings, joins = turn % 4, {}, {}
@@ -698,8 +699,8 @@ def clusters_brute(forms, near, heads):
             if len(members) < 2 or all(f in group for f in members):
                 continue
             leaders = []
-            for f in sorted((f for f in members if (f, p) not in led), key=lambda f: (-forms[f], f[1]))[:heads]:
-                if not any(like(f, g) for g in leaders):
+            for f in sorted((f for f in members if (f, p) not in led), key=lambda f: (f not in group, -forms[f], f[1]))[:heads]:
+                if f in group or not any(like(f, g) for g in leaders):
                     leaders.append(f)
             led |= {(g, p) for g in leaders}
             for f in members:
