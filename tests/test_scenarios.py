@@ -776,6 +776,50 @@ def clusters_brute(forms, near, heads):
     return group
 
 
+def test_templates_keep_each_form_once(spark):
+    """Long forms of several leaders, against a plain loop; on disk each form lies in one table when all have met."""
+    import random
+
+    from logquarry.sources import sinks
+
+    r = random.Random(4)
+    texts = []
+    for t in range(6):
+        base = [r.choice("abcdefgh") * 2 + r.choice("xyz") for _ in range((1, 2, 40, 62, 63, 131)[t])]
+        texts += [" ".join(w if r.random() < 0.7 else r.choice("pqrs") * r.randint(1, 3) for w in base) for _ in range(25)]
+    rows = [(s, i, x) for s in ("a", "b", None) for i, x in enumerate(texts)]
+    before = len(sinks._scratch)
+    got = {(x["source"], x["masked"]): (x["template"], x["size"], x["first_line"]) for x in parsing.templates(spark.createDataFrame(rows, "source string, line_no int, line string")).collect()}
+    forms = {}
+    for s, i, x in rows:
+        n, first = forms.get((s, x), (0, i))
+        forms[s, x] = n + 1, min(first, i)
+    head = {}
+    for place in (lambda w: w[:1], lambda w: w[-1:], lambda w: w[1:2], lambda w: w[len(w) // 2 : len(w) // 2 + 1]):
+        meet = {}
+        for s, x in forms:
+            if s and (s, x) not in head:
+                w = x.split(" ")
+                meet.setdefault((s, len(w), *place(w)), []).append((forms[s, x][0], x))
+        for key, members in meet.items():
+            top = max(members)[1]
+            like = [x for _, x in members if sum(a == b for a, b in zip(x.split(" "), top.split(" "))) >= 0.5 * key[1]]
+            head |= {(key[0], x): top for x in like if len(like) > 1}
+    want = {}
+    for (s, x), (n, first) in forms.items():
+        group = [y for (z, y), h in head.items() if z == s and h == head[s, x]] if (s, x) in head else []
+        template = " ".join(c[0] if len(set(c)) == 1 else "<*>" for c in zip(*(y.split(" ") for y in group)))
+        want[s, x] = (template, sum(forms[s, y][0] for y in group), min(forms[s, y][1] for y in group)) if group else (x, n, first)
+    assert got == want and len({h for h in head.values()}) > 5
+    assert sum(spark.read.parquet(path).count() for _, path in sinks._scratch[before:] if path not in removed(spark, sinks._scratch[before:])) == len(forms)
+
+
+def removed(spark, paths):
+    """The paths that are not there any more."""
+    there = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return {path for _, path in paths if not there(path)}
+
+
 def test_template_clusters_follow_every_leader(spark):
     import random
 
