@@ -849,6 +849,18 @@ def test_template_clusters_follow_every_leader(spark):
     assert found == want and 20 < len(of) < len(forms)
 
 
+def test_template_clusters_keep_each_form_once(spark):
+    """On disk each form lies in one table when all have met; places beyond the first number of bits count."""
+    from logquarry.sources import sinks
+
+    rows = [("a", i, " ".join("vary" + "xyz"[i % 3] * (i % 5) if k in (3, 64, 129) else f"w{'k' * (k % 9)}" for k in range(130))) for i in range(15)] + [("b", 20, "one of its own"), (None, 21, None)]
+    before = len(sinks._scratch)
+    got = parsing.template_clusters(spark.createDataFrame(rows, "source string, line_no int, line string")).collect()
+    assert {(x["source"], x["size"], tuple(i for i, w in enumerate((x["template"] or "").split(" ")) if w == "<*>")) for x in got} == {("a", 15, (3, 64, 129)), ("b", 1, ()), (None, 1, ())}
+    tables = [path for _, path in sinks._scratch[before:]]
+    assert sum(spark.read.parquet(path).count() for path in tables if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))[1:]) == len(got)
+
+
 def test_template_clusters_find_planted_templates(spark):
     """Forty templates of one sender that begin alike, with words that never come again at up to half of their places."""
     import random
